@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldtrace.operators import frames, islands
 from fieldtrace.operators.ordered import scan, next_, prev, row_number
+from fieldtrace.operators.metrics import quantiles
 from fieldtrace.plans.registry import DAY, EV, HOUR, Tables, query
 
 RUNS = f"""{EV}, mk AS (
@@ -31,9 +32,11 @@ SELECT event_type, count(*) AS runs, CAST(sum(n) AS BIGINT) AS events, max(n) AS
 FROM runs GROUP BY event_type""")
 def _(t: Tables):
     runs = islands.label_runs(t.ev, ["user_id"], ["us"], "event_type", 24 * HOUR)
+    med = quantiles(runs.withColumn("len", F.col("end") - F.col("start")), ["event_type"], "len",
+                    {"median_us": (0.5, "linear")}).drop("n")
     return runs.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("runs"), F.sum("n").alias("events"), F.max("n").alias("longest"),
-        F.expr("median(`end` - `start`)").alias("median_us"), F.count_if(F.col("n") > 1).alias("multi"))
+        F.count_if(F.col("n") > 1).alias("multi")).join(med, "event_type")
 
 
 @query("win01_role_runs", """WITH mk AS (
