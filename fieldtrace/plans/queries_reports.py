@@ -100,7 +100,7 @@ def _(t: Tables):
 
 
 @query("agg36_outage_verdicts", f"""WITH {EV}, a AS (SELECT event_id, user_id, us FROM ev WHERE event_type='purchase'),
-n AS (SELECT a.event_id, count_if(e.event_type='view') AS ball, count_if(e.event_type='click') AS players FROM a LEFT JOIN ev e ON e.user_id=a.user_id AND abs(e.us - a.us) <= {18 * HOUR} AND e.event_type IN ('view','click') GROUP BY 1)
+n AS (SELECT a.event_id, count(*) FILTER (e.event_type='view') AS ball, count(*) FILTER (e.event_type='click') AS players FROM a LEFT JOIN ev e ON e.user_id=a.user_id AND abs(e.us - a.us) <= {18 * HOUR} AND e.event_type IN ('view','click') GROUP BY 1)
 SELECT event_id, ball, players, CASE WHEN ball = 0 AND players = 0 THEN 'outage' WHEN ball = 0 OR players = 0 THEN 'partial' ELSE 'live' END AS verdict FROM n""")
 def _(t: Tables):
     a = t.ev.filter("event_type = 'purchase'").select("event_id", "user_id", "us")
