@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from fieldtrace.operators.ordered import with_slices
-from fieldtrace.session import cut_lineage
+from fieldtrace.session import cut_lineage, spread
 
 
 @dataclass(frozen=True)
@@ -68,7 +68,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], rule: Rule, out: str,
             state, rows = _run(pdf.drop(columns=key_type.names), rule, order, None)
             return frame(rows + rule.close(state), key)
 
-        return df.groupBy(*key_type.names).applyInPandas(whole, full)
+        return spread(df, key_type.names).groupBy(*key_type.names).applyInPandas(whole, full)
 
     part = [*key_type.names, "_slice"]
     rows = sliced.withColumn("_slice", F.coalesce("_slice", F.lit(0)))

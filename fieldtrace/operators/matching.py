@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from fieldtrace.functions.geometry import iou
 from fieldtrace.operators.ordered import SMALL_BYTES
-from fieldtrace.session import cut_lineage, plan_bytes
+from fieldtrace.session import cut_lineage, plan_bytes, spread
 
 GROUP_PAIRS = 200_000  # candidate pairs of one group that a single task may fold
 
@@ -51,7 +51,7 @@ def _fold(pairs: DataFrame, group: list[str], left: str, right: str, order: list
                 used_r.add(b)
         return pdf[keep]
 
-    return pairs.groupBy(*group).applyInPandas(accept, pairs.schema)
+    return spread(pairs, group).groupBy(*group).applyInPandas(accept, pairs.schema)
 
 
 def _rounds(pairs: DataFrame, group: list[str], left: str, right: str, order: list[str]) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from fieldtrace.session import plan_bytes
 
 HOT_ROWS = 2_000_000  # rows of one key that one task may sort
-SMALL_BYTES = 128 * 1024 * 1024  # below this estimate no key can be hot
+SMALL_BYTES = 128 * 1024 * 1024  # inputs below this cannot hold a key worth splitting
 BROADCAST_ROWS = 200_000  # checked bound for the slice tables
 
 

@@ -18,6 +18,7 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("FIELDTRACE_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -47,9 +48,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def plan_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df``, or None where the session does not expose it."""
+    """Bytes of all inputs of ``df`` by Catalyst's statistics, or None where the session hides them.
+
+    The inputs, not the estimated output: an equi join's estimate is the product of its sides.
+    """
     try:
-        stats = df._jdf.queryExecution().optimizedPlan().stats()
-        return int(stats.sizeInBytes().toString())
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except AttributeError:
         return None
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash partitioning on ``keys`` that adaptive coalescing leaves alone: grouped Python work is bound by
+    CPU, not by bytes, so it should keep all its tasks."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
