@@ -263,5 +263,6 @@ def average_precision(curve: DataFrame, keys: list[str], score: str, total: Data
                          F.lead("_i").over(w).alias("_next"))
     # cell i covers the points from the next lower cell (exclusive) up to i
     width = F.col("_i") - F.coalesce(F.col("_next"), F.lit(-1))
-    share = F.sum(F.col("_e").cast(T.DecimalType(28, 9)) * width).cast("double")
+    # narrow decimals: a wide product would lose its scale
+    share = F.sum(F.col("_e").cast(T.DecimalType(18, 9)) * width.cast(T.DecimalType(4, 0))).cast("double")
     return cells.groupBy(*keys).agg((share / F.lit(101.0)).alias("ap"))

@@ -186,6 +186,14 @@ def retrieval_scores(reads: DataFrame, query: list[str], order: list[Column], re
     return d.agg(F.count(F.lit(1)).alias("queries"), F.count_if(F.col("_any")).alias("found"), F.count_if(F.coalesce("_first", F.lit(False))).alias("top1"), F.count("_first").alias("attempted"))
 
 
+def rank_candidates(df: DataFrame, anchor: list[str], k: int, match: str, launch: str, proximity: str, read_conf: str, tie: str) -> DataFrame:
+    """ORD-05: team mismatches last, known launch distance first, then distance (else proximity), then the
+    more confident read."""
+    far = F.col(match).isNotNull() & ~F.col(match)
+    order = [far.cast("int"), F.col(launch).isNull().cast("int"), F.coalesce(F.col(launch), F.col(proximity)), -F.coalesce(F.col(read_conf), F.lit(0.0)), F.col(tie)]
+    return top_k(df, anchor, order, k)
+
+
 def label_consensus(df: DataFrame, keys: list[str], order: list[str], frame: str, label: str, min_frames: int = 2, hot_rows: int | None = None) -> DataFrame:
     """WIN-37: causal consensus at each reading: conflict once two labels have ever been seen, supported
     after ``min_frames`` distinct frames, else provisional. First readings of a frame carry the count."""

@@ -118,3 +118,13 @@ def _(t: Tables):
     d = d.join(e, "v_id", "left").withColumn("gallery", F.when(F.col("embedding").isNotNull() & (F.col("segment") % 5 != 0), F.array(
         F.struct(F.lit(1.0).alias("q"), F.col("embedding").cast("array<double>").alias("v")))))
     return folds.sweep_locks(d, ["court"])
+
+
+@query("win36_bidirectional_seekers")
+def _(t: Tables):
+    """Boxes of each court tracked forward and backward; a tick is half an hour squeezed to 100 ms."""
+    from fieldtrace.operators.seekers import bidirectional
+    x = (F.col("k") * 10).cast("double")
+    d = t.ev.select((F.col("user_id") % 20).alias("court"), (F.floor(F.col("us") / F.lit(6 * HOUR)) * 100).alias("t"), F.floor(F.col("us") / F.lit(6 * HOUR)).alias("frame"), F.col("event_id").alias("det"),
+                    x.alias("x1"), F.lit(0.0).alias("y1"), (x + 40).alias("x2"), F.lit(120.0).alias("y2"))
+    return bidirectional(d, ["court"])

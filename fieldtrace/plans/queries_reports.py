@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldtrace.operators import reports, votes
+from fieldtrace.operators.ordered import row_number, scan
 from fieldtrace.operators.pairs import bridge_by_time
+from fieldtrace.plans import hoops
 from fieldtrace.plans.queries_pairs import EB, event_boxes, right_boxes, sql_iou
 from fieldtrace.plans.registry import DAY, EV, HOUR, Tables, query
 from fieldtrace.sources import stage
@@ -207,3 +209,43 @@ def _(t: Tables):
     """Row expansion with the built-in form."""
     d = t.ev.filter("event_type = 'signup' and k > 0")
     return d.select("event_id", F.explode(F.sequence(F.col("us"), F.col("us") + F.col("k") * HOUR - 1, F.lit(6 * HOUR))).alias("t"))
+
+
+@query("ord05_rank_candidates", f"""WITH {EV}, c AS (SELECT event_id, user_id, CASE event_type WHEN 'view' THEN true WHEN 'error' THEN false END AS m, CASE WHEN k % 3 = 0 THEN k::DOUBLE END AS l, (cents % 90)::DOUBLE AS p, CASE WHEN k % 2 = 0 THEN k / 100.0::DOUBLE END AS rc FROM ev)
+SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN m = false THEN 1 ELSE 0 END, CASE WHEN l IS NULL THEN 1 ELSE 0 END, coalesce(l, p), -coalesce(rc, 0.0::DOUBLE), event_id) AS "rank" FROM c QUALIFY "rank" <= 5""")
+def _(t: Tables):
+    k = F.col("k")
+    d = t.ev.select("event_id", "user_id", F.when(F.col("event_type") == "view", True).when(F.col("event_type") == "error", False).alias("m"), F.when(k % 3 == 0, k.cast("double")).alias("l"),
+                    (F.col("cents") % 90).cast("double").alias("p"), F.when(k % 2 == 0, k / 100.0).alias("rc"))
+    return reports.rank_candidates(d, ["user_id"], 5, "m", "l", "p", "rc", "event_id").select("event_id", "user_id", "rank")
+
+
+PLAYS = f"""{EV}, b AS (SELECT min(us) AS lo FROM ev), pl AS (SELECT user_id, event_id, CASE WHEN event_type = 'signup' THEN 'Free Throw' ELSE 'Jump Shot' END AS ty, event_type <> 'view' AS sh, k % 2 = 0 AS sc, 1 + cents % 3 AS sv, (us - lo) / 1000000.0::DOUBLE AS vt, CASE WHEN event_type='error' THEN 'assist' ELSE 'x' END AS tx FROM ev, b)"""
+
+
+def plays(t: Tables):
+    base = t.ev.agg(F.min("us").alias("lo"))
+    return t.ev.join(F.broadcast(base), F.lit(True)).select(  # one-row bound
+        F.col("user_id").alias("game_key"), F.col("event_id").alias("play_id"), F.when(F.col("event_type") == "signup", "Free Throw").otherwise("Jump Shot").alias("type_text"),
+        (F.col("event_type") != "view").alias("shooting_play"), (F.col("k") % 2 == 0).alias("scoring_play"), (F.lit(1) + F.col("cents") % 3).alias("score_value"), ((F.col("us") - F.col("lo")) / 1e6).alias("video_t"),
+        F.col("k").cast("string").alias("shooter_jersey"), F.when(F.col("event_type") == "error", "assist").otherwise("x").alias("text"))
+
+
+@query("win44_truth_shots", f"""WITH {PLAYS} SELECT event_id AS play_id, ty = 'Free Throw' AS free_throw, CASE WHEN ty <> 'Free Throw' THEN CAST(round_even((vt - 86400.0::DOUBLE) * 1000, 0) AS BIGINT) END AS ts_ms, sc AS made, CASE WHEN sc THEN sv ELSE 0 END AS points
+FROM pl WHERE sh AND vt >= 86400 AND vt < 1728000""")
+def _(t: Tables):
+    """Truth of the second to twentieth day on the segment's own clock."""
+    return hoops.truth_shots(plays(t), 86400.0, 1728000.0).select("play_id", "free_throw", "ts_ms", "made", "points")
+
+
+@query("win44_truth_box", f"""WITH {PLAYS} SELECT user_id AS game_key, count_if(sh AND ty <> 'Free Throw') AS fga, count_if(sh AND ty <> 'Free Throw' AND sc) AS fgm, count_if(sh AND ty = 'Free Throw') AS fta, count_if(sh AND ty = 'Free Throw' AND sc) AS ftm, count_if(tx = 'assist') AS ast FROM pl GROUP BY 1""")
+def _(t: Tables):
+    return hoops.truth_box(plays(t))
+
+
+@query("ord02_event_order", f"WITH {EV} SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY us // {DAY}, event_type, event_id) - 1 AS position FROM ev")
+def _(t: Tables):
+    """Events of a user by day, then type."""
+    d = t.ev.select("user_id", "event_id", "event_type", F.floor(F.col("us") / F.lit(DAY)).alias("d"))
+    d = scan(d, ["user_id"], ["d", "event_type", "event_id"], {"position": row_number()})
+    return d.select("user_id", "event_id", (F.col("position") - 1).alias("position"))

@@ -269,3 +269,15 @@ def test_live_and_dead_spans(spark):
     assert rows(live.select("start", "end")) == [(0, 9), (60, 64)]
     dead = islands.complement_spans(live, ["g"], spark.createDataFrame([(1, 0, 100)], "g int, lo int, hi int"), 1, 1)
     assert rows(dead.select("start", "end")) == [(10, 59), (65, 100)]
+
+
+def test_seekers_coast_and_agree(spark):
+    from fieldtrace.operators.seekers import bidirectional
+    # two bodies walk in parallel; one is unseen for three frames; a flicker never confirms
+    box = lambda f, det, x, y: (1, f * 40, f, det, x, y, x + 40.0, y + 100.0)
+    d = [box(f, 0, 10.0 + 2 * f, 0.0) for f in range(20) if not 8 <= f <= 10] + [box(f, 1, 300.0 - 2 * f, 0.0) for f in range(20)] + [box(5, 2, 600.0, 0.0)]
+    df = spark.createDataFrame(d, "g int, t int, frame int, det int, x1 double, y1 double, x2 double, y2 double")
+    got = bidirectional(df, ["g"])
+    assert got.select("seeker").distinct().count() == 2
+    assert got.count() == 40 and got.filter("coasted").count() == 3 and got.filter("disputed").count() == 0
+    assert got.filter("coasted and frame = 9").first()["x1"] == 28.0
