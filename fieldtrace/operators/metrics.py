@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fieldtrace.operators.ordered import running_sum, scan
+from fieldtrace.operators.ordered import SMALL_BYTES, remaining_sum, running_sum, scan
+from fieldtrace.session import plan_bytes
 
 SLICES = 1024  # score slices of a curve; the slice totals are this many rows
 
@@ -30,13 +31,17 @@ def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tupl
               hot_rows: int | None = None) -> DataFrame:
     """Exact order statistics per key: ``wanted`` maps an output name to (q, method) with method
     ``linear``, ``higher`` (index ceil(q(n-1))) or ``nearest_rank`` (index ceil(qn)-1)."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     key = keys or ["_all"]
+    known = df.filter(F.col(value).isNotNull()).select(*keys, value)
     if not keys:
-        counts = counts.withColumn("_all", F.lit(0))
-    cum = scan(counts, key, [value], {"_c": running_sum(F.col("_n"))}, hot_rows)
-    total = counts.groupBy(*key).agg(F.sum("_n").alias("_t"))
-    d = cum.join(total, key)
+        known = known.withColumn("_all", F.lit(0))
+    size = plan_bytes(known)
+    if hot_rows is None and size is not None and size <= SMALL_BYTES:
+        # one sort per key; grouping equal values first only pays when a key is large
+        by = Window.partitionBy(*key)
+        d = known.select("*", F.row_number().over(by.orderBy(value)).alias("_c"), F.count(F.lit(1)).over(by).alias("_t"))
+    else:
+        d = _ranked_counts(known, key, value, hot_rows)
     aggs = [F.max("_t").alias("n")]
     for name, (q, method) in wanted.items():
         pos = F.lit(float(q)) * (F.col("_t") - 1)
@@ -58,6 +63,12 @@ def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tupl
     return out.select(*keys, "n", *cols)
 
 
+def _ranked_counts(known: DataFrame, key: list[str], value: str, hot_rows: int | None) -> DataFrame:
+    counts = known.groupBy(*key, value).agg(F.count(F.lit(1)).alias("_n"))
+    d = scan(counts, key, [value], {"_c": running_sum(F.col("_n")), "_rest": remaining_sum(F.col("_n"))}, hot_rows)
+    return d.withColumn("_t", F.col("_c") + F.col("_rest") - F.col("_n"))
+
+
 def score_curve(df: DataFrame, keys: list[str], score: str, positive: Column, descending: bool = True) -> DataFrame:
     """Per distinct score: row and positive counts, and both accumulated from the best score on.
 
@@ -241,10 +252,11 @@ def displacement(df: DataFrame, keys: list[str], window: list[str], step: str, e
 
 def robust_prior(df: DataFrame, keys: list[str], value: str, hot_rows: int | None = None) -> DataFrame:
     """AGG-29: median and median absolute deviation per key."""
-    med = quantiles(df, keys, value, {"median": (0.5, "linear")}, hot_rows)
-    dev = df.join(med.select(*keys, "median"), keys).withColumn("_d", F.abs(F.col(value) - F.col("median")))
-    mad = quantiles(dev, keys, "_d", {"mad": (0.5, "linear")}, hot_rows)
-    return med.join(mad.select(*keys, "mad"), keys)
+    med = quantiles(df, keys, value, {"median": (0.5, "linear")}, hot_rows).withColumnRenamed("n", "_rows")
+    dev = df.select(*keys, value).join(med, keys).withColumn("_d", F.abs(F.col(value) - F.col("median")))
+    # the median rides along as part of the key, so the second pass already has it
+    mad = quantiles(dev, [*keys, "_rows", "median"], "_d", {"mad": (0.5, "linear")}, hot_rows).drop("n")
+    return mad.select(*keys, F.col("_rows").alias("n"), "median", "mad")
 
 
 def average_precision(curve: DataFrame, keys: list[str], score: str, total: DataFrame) -> DataFrame:

@@ -54,6 +54,11 @@ def running_sum(value: Column, inclusive: bool = True) -> Scan:
     return Scan("sum", value, inclusive)
 
 
+def remaining_sum(value: Column) -> Scan:
+    """Sum from the row to the end of its key."""
+    return Scan("rsum", value)
+
+
 def running_max(value: Column, inclusive: bool = True) -> Scan:
     return Scan("max", value, inclusive)
 
@@ -150,6 +155,8 @@ def _local(op: Scan, value: Column | None, fwd, back) -> Column:
             back.rowsBetween(Window.unboundedPreceding, 0 if op.inclusive else -1))
     if op.kind == "sum":
         return F.sum(value).over(upto)
+    if op.kind == "rsum":
+        return F.sum(value).over(back.rowsBetween(Window.unboundedPreceding, 0))
     if op.kind == "max":
         return F.max(value).over(upto)
     if op.kind == "min":
@@ -189,7 +196,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], ops: dict[str, Scan],
             "prev": lambda: F.max_by(box, pos), "next": lambda: F.min_by(box, pos),
             "ffill": lambda: F.max_by(box, F.when(v.isNotNull(), pos)),
             "bfill": lambda: F.min_by(box, F.when(v.isNotNull(), pos)),
-            "sum": lambda: F.struct(F.sum(v).alias("v")), "max": lambda: F.struct(F.max(v).alias("v")),
+            "sum": lambda: F.struct(F.sum(v).alias("v")), "rsum": lambda: F.struct(F.sum(v).alias("v")), "max": lambda: F.struct(F.max(v).alias("v")),
             "min": lambda: F.struct(F.min(v).alias("v")),
             "rownum": lambda: F.struct(F.count(F.lit(1)).alias("v")),
         }[op.kind]().alias(f"_a_{a}"))
@@ -204,7 +211,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], ops: dict[str, Scan],
             "next": lambda: F.last(box, ignorenulls=True).over(sb)["v"],
             "ffill": lambda: F.last(v, ignorenulls=True).over(sw),
             "bfill": lambda: F.last(v, ignorenulls=True).over(sb),
-            "sum": lambda: F.sum(v).over(sw), "max": lambda: F.max(v).over(sw),
+            "sum": lambda: F.sum(v).over(sw), "rsum": lambda: F.sum(v).over(sb), "max": lambda: F.max(v).over(sw),
             "min": lambda: F.min(v).over(sw), "rownum": lambda: F.sum(v).over(sw),
         }[op.kind]().alias(f"_c_{a}"))
     carried = summary.select(*[F.col(c).alias(f"_j_{c}") for c in part], *carry)
@@ -221,7 +228,7 @@ def scan(df: DataFrame, keys: list[str], order: list[str], ops: dict[str, Scan],
             res = F.when(F.col("_last") == 1, cv).otherwise(lv)
         elif op.kind in ("ffill", "bfill"):
             res = F.coalesce(lv, cv)
-        elif op.kind in ("sum", "rownum"):
+        elif op.kind in ("sum", "rsum", "rownum"):
             res = F.coalesce(lv + cv, lv, cv)
         elif op.kind == "max":
             res = F.greatest(lv, cv)

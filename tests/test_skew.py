@@ -22,7 +22,7 @@ def test_every_scan_kind(tables):
     d = hot_events(tables)
     ops = {
         "p": o.prev(F.col("v")), "n": o.next_(F.col("v")), "f": o.fill_forward(F.col("v")), "fx": o.fill_forward(F.col("v"), False),
-        "b": o.fill_back(F.col("v")), "bx": o.fill_back(F.col("v"), False), "s": o.running_sum(F.col("v")), "sx": o.running_sum(F.col("v"), False),
+        "b": o.fill_back(F.col("v")), "bx": o.fill_back(F.col("v"), False), "s": o.running_sum(F.col("v")), "sx": o.running_sum(F.col("v"), False), "rs": o.remaining_sum(F.col("v")),
         "m": o.running_max(F.col("v")), "mx": o.running_max(F.col("v"), False), "mi": o.running_min(F.col("v")), "r": o.row_number(),
     }
     plain = o.scan(d, ["key"], ["us"], ops)
