@@ -260,15 +260,16 @@ def believed_chains(chained: DataFrame, keys: list[str], anchored: DataFrame, mi
     """WIN-33: members of chains of ``min_rows`` or more that move: spread at flight scale, or at dribble
     scale with at least half of the members anchored to a player (``anchored`` lists their ids).
 
-    The spread is the largest distance between members; a chain is a short burst, and its members meet
-    only within the chain.
+    The spread is the largest distance between members, found on the hull of each chain.
     """
-    pts = F.collect_list(F.struct("x", "y"))
+    @F.pandas_udf("double")
+    def spread_of(batch: pd.Series) -> pd.Series:
+        from fieldtrace.operators.kernels import diameter
+        return pd.Series([diameter([(p["x"], p["y"]) for p in ps]) for ps in batch])
+
     d = chained.join(anchored.select("id").distinct().withColumn("_a", F.lit(1)), "id", "left")
-    g = d.groupBy(*keys, "chain").agg(F.count(F.lit(1)).alias("_n"), F.count("_a").alias("_an"), pts.alias("_p")).filter(F.col("_n") >= min_rows)
-    far = F.array_max(F.transform("_p", lambda a: F.array_max(F.transform("_p", lambda b: F.sqrt(
-        (a["x"] - b["x"]) * (a["x"] - b["x"]) + (a["y"] - b["y"]) * (a["y"] - b["y"]))))))
-    g = g.withColumn("spread", far)
+    g = d.groupBy(*keys, "chain").agg(F.count(F.lit(1)).alias("_n"), F.count("_a").alias("_an"), F.collect_set(F.struct("x", "y")).alias("_p")).filter(F.col("_n") >= min_rows)
+    g = g.withColumn("spread", spread_of("_p"))
     ok = (F.col("spread") >= flight) | ((F.col("spread") >= dribble) & (F.col("_an") * 2 >= F.col("_n")))
     return chained.join(g.filter(ok).select(*keys, "chain", "spread"), [*keys, "chain"])
 

@@ -54,3 +54,21 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
             owner[col] = owner[via[col]]
             col = via[col]
     return sorted((int(owner[c]), c) for c in range(m) if owner[c] != -1)
+
+
+def diameter(points: np.ndarray) -> float:
+    """Largest distance between two points: only corners of the convex hull can be that far apart."""
+    pts = np.unique(np.asarray(points, dtype=float), axis=0)
+    if len(pts) < 2:
+        return 0.0
+
+    def chain(seq):
+        edge = []
+        for p in seq:
+            while len(edge) > 1 and (edge[-1][0] - edge[-2][0]) * (p[1] - edge[-2][1]) <= (edge[-1][1] - edge[-2][1]) * (p[0] - edge[-2][0]):
+                edge.pop()
+            edge.append(p)
+        return edge
+
+    hull = np.array(chain(pts)[:-1] + chain(pts[::-1])[:-1])
+    return float(max(np.sqrt(((hull - p) ** 2).sum(axis=1)).max() for p in hull))

@@ -20,9 +20,8 @@ def greedy_match(pairs: DataFrame, group: list[str], left: str, right: str, orde
 
     Groups with few candidate pairs are folded in one task each. Larger groups use rounds of pairs that
     are first in order at both ends: each round is exactly a set of pairs the fold would accept, so the
-    result is the same and no group has to fit a task.
+    result is the same and no group has to fit a task. A repeated pair finds its ends taken.
     """
-    pairs = pairs.dropDuplicates([*group, left, right])
     limit = GROUP_PAIRS if max_pairs is None else max_pairs
     if max_pairs is None:
         size = plan_bytes(pairs)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from fieldtrace.operators import linking, matching, reports
-from fieldtrace.operators.kernels import assign, pav
+from fieldtrace.operators.kernels import assign, diameter, pav
 
 
 def test_assignment_is_optimal():
@@ -35,6 +35,16 @@ def test_pooling_in_slices_equals_pooling_at_once():
     assert means == sorted(means)
 
 
+def test_diameter():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 40):
+        p = rng.integers(0, 30, size=(n, 2)).astype(float)
+        want = max(float(np.hypot(*(a - b))) for a in p for b in p)
+        assert abs(diameter(p) - want) < 1e-9
+    line = np.array([[i, 2.0 * i] for i in range(9)], dtype=float)
+    assert abs(diameter(line) - float(np.hypot(8, 16))) < 1e-9
+
+
 def test_retrieval_is_exact(spark):
     rng = np.random.default_rng(1)
     c = rng.normal(size=(300, 6))

@@ -281,3 +281,14 @@ def test_seekers_coast_and_agree(spark):
     assert got.select("seeker").distinct().count() == 2
     assert got.count() == 40 and got.filter("coasted").count() == 3 and got.filter("disputed").count() == 0
     assert got.filter("coasted and frame = 9").first()["x1"] == 28.0
+
+
+def test_chains_must_move(spark):
+    still = [(1, 0.1 * i, 100.0 + i % 2, 50.0, i) for i in range(5)]
+    flight = [(1, 0.1 * i, 200.0 + 30 * i, 50.0, 10 + i) for i in range(4)]
+    bounce = [(1, 0.1 * i, 400.0, 50.0 + 10 * (i % 3), 20 + i) for i in range(4)]
+    d = spark.createDataFrame(still + flight + bounce, "g int, t double, x double, y double, id int")
+    c = folds.chain_candidates(d, ["g"], 0.65, 90.0)
+    near = spark.createDataFrame([(20,), (21,)], "id int")
+    kept = folds.believed_chains(c, ["g"], near, 3, 45.0, 16.0)
+    assert {r["id"] for r in kept.collect()} == {10, 11, 12, 13, 20, 21, 22, 23}
