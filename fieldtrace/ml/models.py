@@ -38,7 +38,7 @@ def class_weights(train: DataFrame, label: str) -> DataFrame:
     n = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     tot = n.agg(F.sum("_n").alias("_t"), F.count(F.lit(1)).alias("_k"))
     w = n.join(F.broadcast(tot), F.lit(True)).select(label, (F.col("_t") / (F.col("_k") * F.col("_n"))).alias("weight"))  # one-row total
-    return train.join(F.broadcast(w), label)  # one row per class
+    return train.join(w, label)
 
 
 def against_prior(scored: DataFrame, label: str, prior: float) -> DataFrame:
@@ -79,7 +79,7 @@ def team_clusters(rows: DataFrame, keys: list[str], row_id: str, vector: str, k:
     first; jobs with fewer than ``min_rows`` rows get -1.
 
     Seeds are the smallest id and then the farthest rows, so the result does not depend on a random draw.
-    A round joins rows to the k centres of their job and averages; no job has to fit a task.
+    A round joins rows to the array of centres of their job and averages; no job has to fit a task.
     """
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     big = cut_lineage(rows.join(n.filter(F.col("_n") >= min_rows).drop("_n"), keys, "left_semi").select(*keys, row_id, F.transform(vector, lambda v: v.cast("double")).alias("_v")))
@@ -87,22 +87,22 @@ def team_clusters(rows: DataFrame, keys: list[str], row_id: str, vector: str, k:
     def sq(a, b):
         return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
 
+    def distances(centres):
+        """Rows with their distances to the centres of their job, nearest first; a job's centres are one array."""
+        packed = centres.groupBy(*keys).agg(F.collect_list(F.struct("_k", "_c")).alias("_all"))
+        near = F.array_sort(F.transform("_all", lambda c: F.struct(F.sqrt(sq(F.col("_v"), c["_c"])).alias("d"), c["_k"].alias("k"))))
+        return big.join(packed, keys).select(*keys, row_id, "_v", near.alias("_near"))
+
+    first = lambda i, f: F.get("_near", F.lit(i))[f]
     centres = big.groupBy(*keys).agg(F.min_by("_v", row_id).alias("_c")).withColumn("_k", F.lit(0))
     for i in range(1, k):
-        far = big.join(centres, keys).groupBy(*keys, row_id).agg(F.min(sq(F.col("_v"), F.col("_c"))).alias("_d"), F.first("_v").alias("_v"))
-        nxt = far.groupBy(*keys).agg(F.max_by("_v", F.struct("_d", -F.col(row_id))).alias("_c")).withColumn("_k", F.lit(i))
-        centres = cut_lineage(centres.unionByName(nxt))
-
-    def assign():
-        d = big.join(centres, keys).withColumn("_d", F.sqrt(sq(F.col("_v"), F.col("_c"))))
-        near = F.array_sort(F.collect_list(F.struct("_d", "_k")))  # k entries
-        return d.groupBy(*keys, row_id).agg(near.alias("_near"), F.first("_v").alias("_v"))
-
+        far = distances(centres).groupBy(*keys).agg(F.max_by("_v", F.struct(first(0, "d").alias("d"), -F.col(row_id))).alias("_c"))
+        centres = cut_lineage(centres.unionByName(far.withColumn("_k", F.lit(i))))
     for _ in range(rounds):
-        cells = assign().select(*keys, F.get("_near", F.lit(0))["_k"].alias("_k"), F.posexplode("_v").alias("_i", "_x"))
+        cells = distances(centres).select(*keys, first(0, "k").alias("_k"), F.posexplode("_v").alias("_i", "_x"))
         mean = cells.groupBy(*keys, "_k", "_i").agg((F.sum(F.col("_x").cast(T.DecimalType(28, 12))).cast("double") / F.count(F.lit(1))).alias("_m"))
         centres = cut_lineage(mean.groupBy(*keys, "_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("_c")))
-    got = assign().select(*keys, row_id, F.get("_near", F.lit(0))["_k"].alias("_k"), (F.get("_near", F.lit(1))["_d"] - F.get("_near", F.lit(0))["_d"]).alias("margin"))
+    got = distances(centres).select(*keys, row_id, first(0, "k").alias("_k"), (first(1, "d") - first(0, "d")).alias("margin"))
     size = got.groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("_n"))
     from fieldtrace.operators.ordered import top_k
     rank = top_k(size, keys, [F.col("_n").desc(), F.col("_k")], k, "_r").select(*keys, "_k", (F.col("_r") - 1).alias("cluster"))

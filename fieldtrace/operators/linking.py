@@ -210,10 +210,12 @@ def nearest_centroid(rows: DataFrame, seeds: DataFrame, keys: list[str], row_id:
     parts = seeds.select(*keys, label, F.posexplode(vector).alias("_i", "_v")).groupBy(*keys, label, "_i").agg(
         (F.sum(F.col("_v").cast(T.DecimalType(28, 12))).cast("double") / F.count(F.lit(1))).alias("_m"))
     means = parts.groupBy(*keys, label).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("_c"))
-    d = rows.join(means, keys) if keys else rows.join(F.broadcast(means), F.lit(True))  # one row per class
-    cos = dot(F.col(vector), F.col("_c")) / (F.sqrt(dot(F.col(vector), F.col(vector))) * F.sqrt(dot(F.col("_c"), F.col("_c"))))
-    two = top_k(d.withColumn("_s", cos).drop("_c"), row_id, [F.col("_s").desc(), F.col(label)], 2, "_r")
-    g = two.groupBy(*row_id).agg(F.max("_s").alias("_s1"), F.min("_s").alias("_s2"), F.max(F.when(F.col("_r") == 1, F.col(label))).alias(label),
-                                 F.count(F.lit(1)).alias("_n"))
-    ok = (F.col("_n") == 1) | (F.col("_s1") - F.col("_s2") >= min_margin)
-    return g.select(*row_id, F.when(ok, F.col(label)).alias(label))
+    # the class means of a key ride in one array, so rows are neither multiplied nor shuffled
+    packed = means.groupBy(*keys).agg(F.collect_list(F.struct(label, "_c")).alias("_all"))
+    d = rows.join(packed, keys) if keys else rows.join(F.broadcast(packed), F.lit(True))  # one row
+    norm = F.sqrt(dot(F.col(vector), F.col(vector)))
+    ranked = F.array_sort(F.transform("_all", lambda m: F.struct(
+        (-(dot(F.col(vector), m["_c"]) / (norm * F.sqrt(dot(m["_c"], m["_c"]))))).alias("o"), m[label].alias("l"))))
+    d = d.select(*row_id, F.get(ranked, F.lit(0)).alias("_1"), F.get(ranked, F.lit(1)).alias("_2"))
+    ok = F.col("_2").isNull() | (F.col("_2.o") - F.col("_1.o") >= min_margin)
+    return d.select(*row_id, F.when(ok, F.col("_1.l")).alias(label))

@@ -33,10 +33,16 @@ def detection_counts(pred: DataFrame, truth: DataFrame, manifest: DataFrame, fra
     tp = F.col("_tp").isNotNull()
     p = p.groupBy(*frame, label).agg(F.count_if(tp).alias("tp"), F.count_if(~tp & F.col("_ig").isNotNull()).alias("ignored"), F.count_if(~tp & F.col("_ig").isNull()).alias("fp"))
     n = truth.filter(~F.col("ignored")).groupBy(*frame, label).agg(F.count(F.lit(1)).alias("truths"))
-    labels = truth.select(label).unionByName(pred.select(label)).distinct()  # a handful of classes
-    spine = manifest.select(*frame).distinct().join(F.broadcast(labels), F.lit(True))
-    d = spine.join(p, [*frame, label], "left").join(n, [*frame, label], "left").fillna(0, ["tp", "fp", "ignored", "truths"])
-    g = d.rollup(label, *by).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("ignored").alias("ignored"), (F.sum("truths") - F.sum("tp")).alias("fn"), F.count_distinct(*frame).alias("frames"))
+    d = p.join(n, [*frame, label], "full_outer").fillna(0, ["tp", "fp", "ignored", "truths"])
+    d = d.join(manifest.select(*frame).distinct(), frame, "left_semi")
+    g = d.rollup(label, *by).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("ignored").alias("ignored"), (F.sum("truths") - F.sum("tp")).alias("fn"))
+    # frames are counted on the manifest, so a frame without any row still counts
+    spine = manifest.select(*frame).distinct().rollup(*by).agg(F.count(F.lit(1)).alias("frames"))
+    cond = F.lit(True)
+    for c in by:
+        spine = spine.withColumnRenamed(c, f"_m_{c}")
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_m_{c}"))
+    g = g.join(spine, cond)
     return g.select(label, *by, "frames", "tp", "fp", "fn", "ignored", F.try_divide("tp", F.col("tp") + F.col("fp")).alias("precision"), F.try_divide("tp", F.col("tp") + F.col("fn")).alias("recall"),
                     F.try_divide("fp", "frames").alias("fp_per_frame"))
 

@@ -126,3 +126,10 @@ def test_parabola_survives_an_outlier(spark):
 def test_table_function(spark):
     reports.register_expand(spark)
     assert rows(spark.sql("select * from expand_span(0, 10, 5)")) == [(0, 0.0), (5, 0.5)]
+
+
+def test_team_clusters(spark):
+    from fieldtrace.ml.models import team_clusters
+    pts = [(1, i, [float(10 * (i % 3)) + 0.01 * i, 0.0]) for i in range(10)] + [(2, i, [1.0, 1.0]) for i in range(4)]
+    got = {(r["job"], r["id"]): r["cluster"] for r in team_clusters(spark.createDataFrame(pts, "job int, id int, v array<double>"), ["job"], "id", "v", rounds=3).collect()}
+    assert {got[(1, i)] for i in (0, 3, 6, 9)} == {0} and len({got[(1, i)] for i in (1, 4, 7)}) == 1 and {got[(2, i)] for i in range(4)} == {-1}
