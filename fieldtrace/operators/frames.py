@@ -37,7 +37,7 @@ def range_frame(df: DataFrame, keys: list[str], clock: str, lo: int, hi: int, ag
 def rows_frame(df: DataFrame, keys: list[str], order: list[str], lo: int, hi: int,
                aggs: dict[str, Column], split: bool | None = None,
                hot_rows: int | None = None) -> DataFrame:
-    """Aggregates over the rows at positions ``lo..hi`` around each row (fewer at the ends)."""
+    """WIN-24 / WIN-41: aggregates over the rows at positions ``lo..hi`` around each row (fewer at the ends)."""
     numbered = scan(df, keys, order, {"_rn": row_number()}, hot_rows)
     return range_frame(numbered, keys, "_rn", lo, hi, aggs, split=split).drop("_rn")
 

@@ -72,7 +72,7 @@ def pick_span(points: DataFrame, pairs: DataFrame, point_id: list[str], take: li
 def first_containing(points: DataFrame, spans: DataFrame, keys: list[str], point_id: list[str], t: str,
                      start: str, end: str, take: list[str], order: list[str], width: int,
                      closed: str = "both") -> DataFrame:
-    """JOIN-04: the first span (by ``order``) that contains the point, or null."""
+    """JOIN-04 / JOIN-13: the first span (by ``order``) that contains the point, or null."""
     pairs = span_pairs(points, spans, keys, t, start, end, width, closed)
     return pick_span(points, pairs, point_id, take, [F.col(c) for c in order])
 
@@ -159,7 +159,7 @@ def asof_revision(targets: DataFrame, reviews: DataFrame, keys: list[str], targe
 
 def first_after(anchors: DataFrame, rows: DataFrame, keys: list[str], anchor_id: list[str], t: str, limit: str,
                 row_t: str, take: dict[str, str], width: int, open_left: bool = True) -> DataFrame:
-    """WIN-23: first row in ``(t, limit]`` of each anchor (nulls where there is none)."""
+    """WIN-23 / AGG-45: first row in ``(t, limit]`` of each anchor (nulls where there is none)."""
     spans = anchors.select(*keys, *[F.col(c).alias(f"_id_{c}") for c in anchor_id],
                            F.col(t).alias("_s"), F.col(limit).alias("_e"))
     pairs = span_pairs(rows, spans, keys, row_t, "_s", "_e", width, "right" if open_left else "both")
@@ -171,7 +171,7 @@ def first_after(anchors: DataFrame, rows: DataFrame, keys: list[str], anchor_id:
 
 
 def neighbours_within(df: DataFrame, keys: list[str], row_id: str, t: str, reach: int, cols: list[str]) -> DataFrame:
-    """Self range join: pairs of different rows of a key at most ``reach`` apart on the clock."""
+    """JOIN-26, self range join: pairs of different rows of a key at most ``reach`` apart on the clock."""
     spans = df.select(*keys, F.col(row_id).alias("_id"), *[F.col(c).alias(f"_{c}") for c in cols],
                       F.col(t).alias("_at"), (F.col(t) - reach).alias("_lo"), (F.col(t) + reach).alias("_hi"))
     width = 2 * reach + 1

@@ -29,7 +29,7 @@ def exact_mean(c: Column, scale: int = 9) -> Column:
 
 def quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, tuple[float, str]],
               hot_rows: int | None = None) -> DataFrame:
-    """Exact order statistics per key: ``wanted`` maps an output name to (q, method) with method
+    """AGG-15 / AGG-25 / AGG-35: exact order statistics per key: ``wanted`` maps an output name to (q, method) with method
     ``linear``, ``higher`` (index ceil(q(n-1))) or ``nearest_rank`` (index ceil(qn)-1)."""
     key = keys or ["_all"]
     known = df.filter(F.col(value).isNotNull()).select(*keys, value)

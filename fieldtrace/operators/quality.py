@@ -16,7 +16,7 @@ def exclude_sealed(rows: DataFrame, sealed: DataFrame, keys: list[str]) -> DataF
 
 
 def split_overlap(splits: dict[str, DataFrame], keys: list[str]) -> DataFrame:
-    """JOIN-18 / ORD-07: keys present in more than one split, with the splits they are in."""
+    """JOIN-18 / ORD-07 / SRC-22: keys present in more than one split, with the splits they are in."""
     parts = [d.select(*keys).distinct().withColumn("split", F.lit(n)) for n, d in splits.items()]
     g = reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.array_sort(F.collect_set("split")).alias("splits"))
     return g.filter(F.size("splits") > 1)

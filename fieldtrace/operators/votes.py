@@ -30,7 +30,7 @@ def weighted_vote(df: DataFrame, keys: list[str], candidate: str, weight: Column
 
 
 def majority(df: DataFrame, keys: list[str], label: str, min_votes: int, dominance: float) -> DataFrame:
-    """AGG-04: the most frequent label when it has enough votes and share, else null."""
+    """AGG-04 / AGG-05: the most frequent label when it has enough votes and share, else null."""
     counts = df.filter(F.col(label).isNotNull()).groupBy(*keys, label).agg(F.count(F.lit(1)).alias("_n"))
     g = counts.groupBy(*keys).agg(
         F.min_by(F.struct(label, "_n"), F.struct((-F.col("_n")).alias("n"), F.col(label))).alias("_b"), F.sum("_n").alias("votes"))
@@ -40,7 +40,7 @@ def majority(df: DataFrame, keys: list[str], label: str, min_votes: int, dominan
 
 def pool_evidence(channels: list[tuple[DataFrame, float]], keys: list[str], label: str, weight: str,
                   allowed: DataFrame | None = None) -> DataFrame:
-    """AGG-06: weighted sums per (key, label) over several channels; winner and its share.
+    """AGG-06 / JOIN-31: weighted sums per (key, label) over several channels; winner and its share.
 
     ``allowed`` optionally lists the permitted (keys, label) pairs.
     """

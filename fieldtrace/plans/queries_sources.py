@@ -76,6 +76,21 @@ def _(t: Tables):
     return tracking.typed_events(raw, "m1", ["event_id"], ["cents"])
 
 
+@query("src10_gsr_labels", f"WITH {EV} SELECT event_id AS frame, k AS track_id, (k + 10)::DOUBLE AS x2, (event_id - 1) / 25.0::DOUBLE AS timestamp_s, k % 2 = 0 AS scored FROM ev WHERE event_type = 'view'")
+def _(t: Tables):
+    """One label document per user: events are images, views carry object annotations."""
+    name = F.concat(F.lpad(F.col("event_id").cast("string"), 9, "0"), F.lit(".jpg"))
+    ident = F.col("event_id").cast("string")
+    image = F.struct(ident.alias("image_id"), name.alias("file_name"), (F.col("k") % 2 == 0).alias("has_labeled_person"), F.lit(True).alias("has_labeled_pitch"), F.lit(True).alias("has_labeled_camera"))
+    note = F.struct(ident.alias("id"), ident.alias("image_id"), F.col("k").alias("track_id"), F.when(F.col("event_type") == "view", "object").otherwise("pitch").alias("supercategory"),
+                    F.struct(F.col("k").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(10.0).alias("w"), F.lit(5.0).alias("h")).alias("bbox_image"))
+    path = stage.scratch(t.spark)
+    t.ev.groupBy("user_id").agg(F.struct(F.lit(25.0).alias("frame_rate")).alias("info"), F.collect_list(image).alias("images"), F.collect_list(note).alias("annotations")).write.json(path)
+    frames, objects = tracking.gsr_labels(t.spark, path, multi_line=False)
+    d = objects.join(frames.select("sequence", "frame", "timestamp_s", "scored"), ["sequence", "frame"])
+    return d.select(F.col("frame").cast("long").alias("frame"), "track_id", "x2", "timestamp_s", "scored")
+
+
 @query("src11_mot_rows", """SELECT l_orderkey AS seq, l_linenumber AS frame, l_partkey AS track_id, l_quantity AS x1, l_quantity + (l_quantity - 5) AS x2, l_discount AS conf FROM lineitem WHERE l_quantity > 5""")
 def _(t: Tables):
     path = stage.scratch(t.spark)
