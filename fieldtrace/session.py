@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +29,35 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSess
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers once per session, wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_fieldtrace_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="spark-")  # on the driver; Spark's file server hands it to the executors
+    path = os.path.join(folder, "fieldtrace.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(at, name)
+                    z.write(full, os.path.join("fieldtrace", os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    sc._fieldtrace_shipped = True
+
+
+def shipped(f):
+    """The query ``f``, with the package on the workers before it runs."""
+
+    @functools.wraps(f)
+    def run(spark, sf_dir):
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder the cluster names; only an unset local session gets its own."""
     sc = spark.sparkContext
