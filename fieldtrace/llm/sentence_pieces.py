@@ -250,8 +250,7 @@ class Coder:
             cut.append(parts)
         new = list({x for parts in cut for x in parts if x not in self.known})
         if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list({x for parts in cut for x in parts})
+            self.known = {x: self.known[x] for parts in cut for x in parts if x in self.known}  # what recurs stays
         self.known.update(zip(new, encode(self.model, [(" " + x).replace(" ", SPACE) for x in new]), strict=True))
         get = self.known.__getitem__
         return [b"".join(map(get, parts)) for parts in cut]
