@@ -31,6 +31,7 @@ BUCKETS, BANDS, WIDTH, MANTISSA = 128, 25, 5, 10
 EMPTY = 0xFFFF
 ERRORS = 5.0  # standard errors that an estimate may lie below the threshold
 BLOCK = 256  # members of a large band bucket, or of a hub, that one group takes
+SMALL = 64  # members of a small band bucket
 _SALT = np.uint64(0x8EBC6AF09C88C6E3)
 
 
@@ -191,42 +192,68 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-_BLOCKED = "key long, i long, j long, block long, doc_id long, comp long, n long, regs binary"
+def _root(parent: dict, x: int) -> int:
+    while parent.get(x, x) != x:
+        parent[x] = x = parent.get(parent[x], parent[x])
+    return x
 
 
 def _across(table: pa.Table) -> pa.Table:
-    """Likely pairs of different components between two blocks of a bucket (or within one)."""
+    """Links between documents of different components in two blocks of a group (or within one): the estimate first,
+    then full shingle sets. Of links within what is already connected here, none more is looked for."""
     i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     block, doc, comp, n = (np.asarray(table.column(c)) for c in ("block", "doc_id", "comp", "n"))
     regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+    owner, value = shingles([x or b"" for x in table.column("data").to_pylist()])
+    size = np.bincount(owner, minlength=len(doc))
+    begin = np.cumsum(size) - size
+    parent: dict[int, int] = {}
     first, second = [], []
-    right = np.flatnonzero(block == j)
+    others = np.flatnonzero(block == j)
     for x in np.flatnonzero(block == i):
-        other = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= PERCENT * np.maximum(n[right], n[x]))]
+        roots = np.array([_root(parent, c) for c in comp[others].tolist()]) if parent else comp[others]
+        other = others[(roots != _root(parent, int(comp[x]))) & (100 * np.minimum(n[others], n[x]) >= PERCENT * np.maximum(n[others], n[x]))]
         if i == j:
             other = other[doc[other] > doc[x]]
-        if len(other):
-            est, err = estimate(np.broadcast_to(regs[x], (len(other), BUCKETS)), regs[other], np.full(len(other), n[x]), n[other])
-            good = other[est >= PERCENT / 100 - ERRORS * err]
-            first += np.minimum(doc[good], doc[x]).tolist()
-            second += np.maximum(doc[good], doc[x]).tolist()
+        if not len(other):
+            continue
+        est, err = estimate(np.broadcast_to(regs[x], (len(other), BUCKETS)), regs[other], np.full(len(other), n[x]), n[other])
+        other = other[(est >= PERCENT / 100 - ERRORS * err) & (size[other] > 0)]
+        if not len(other):
+            continue
+        own, count = value[begin[x]:begin[x] + size[x]], size[other]
+        starts = np.cumsum(count) - count
+        flat = value[np.repeat(begin[other] - starts, count) + np.arange(count.sum())]
+        both = np.add.reduceat(own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat, starts)
+        for y in other[100 * both >= PERCENT * (size[x] + count - both)]:
+            a, b = _root(parent, int(comp[x])), _root(parent, int(comp[y]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                first.append(int(min(doc[x], doc[y])))
+                second.append(int(max(doc[x], doc[y])))
     return pa.table([pa.array(first, pa.int64()), pa.array(second, pa.int64())], names=["a", "b"])
 
 
-def _rest(buckets: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
-    """Likely pairs across components in the buckets that the links to hubs left in several components."""
+def _rest(buckets: DataFrame, labels: DataFrame, reps: DataFrame, rows: DataFrame):
+    """(likely pairs across components in small buckets, links found in large ones), for the buckets that the links to
+    hubs left in several components. Large buckets that share documents form one group, so each pair is met once."""
     known = buckets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("label", "doc_id")).drop("label")
-    split = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
-    members = core.cut(known.join(split, "key"))
-    small = members.where(F.col("size") <= BLOCK // 4).select("key", "doc_id", "comp", "n")
+    split = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("doc_id").alias("least"), F.count("*").alias("size")).where("lo < hi")
+    members = core.cut(known.join(split.select("key", "least", "size"), "key"))
+    small = members.where(F.col("size") <= SMALL).select("key", "doc_id", "comp", "n")
     left = small.select("key", F.col("doc_id").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"))
     right = small.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
     near = left.join(right, "key").where(f"a < b AND ca <> cb AND {_close('na', 'nb')}").select("a", "b").distinct()
-    large = (members.where(F.col("size") > BLOCK // 4).join(reps.select("doc_id", "regs"), "doc_id")
-             .withColumn("blocks", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("long"))
-             .withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("key", F.least("block", "x").cast("long").alias("i"), F.greatest("block", "x").cast("long").alias("j"), "block", "doc_id", "comp", "n", "regs"))
-    return likely(near, reps).unionByName(large.groupBy("key", "i", "j").applyInArrow(_across, "a long, b long")).distinct()
+    large = core.cut(members.where(F.col("size") > SMALL).select("least", "doc_id", "comp", "n").distinct())
+    if large.isEmpty():
+        return likely(near, reps), None
+    groups = components(large.select(F.col("least").alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
+    inside = large.select("doc_id", "comp", "n").distinct().join(groups.select(F.col("node").alias("doc_id"), F.col("label").alias("grp")), "doc_id")
+    counts = inside.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = (inside.join(counts, "grp").join(reps.select("doc_id", "regs"), "doc_id").join(rows, "doc_id")
+             .withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("long")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .select("grp", F.least("block", "x").cast("long").alias("i"), F.greatest("block", "x").cast("long").alias("j"), "block", "doc_id", "comp", "n", "regs", "data"))
+    return likely(near, reps), dealt.groupBy("grp", "i", "j").applyInArrow(_across, "a long, b long")
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
@@ -242,10 +269,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
     tried = core.cut(likely(buckets.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct(), reps))
     found = core.cut(confirm(tried, rows))
     labels = components(found)
-    more = _rest(buckets.where("size > 2").select("key", "doc_id", "n"), labels, reps).join(tried, ["a", "b"], "left_anti")
-    more = core.cut(more)
-    if not more.isEmpty():
-        found = found.unionByName(core.cut(confirm(more, rows)))
+    near, more = _rest(buckets.where("size > 2").select("key", "doc_id", "n"), labels, reps, rows)
+    near = core.cut(near.join(tried, ["a", "b"], "left_anti"))
+    rest = [core.cut(x) for x in ([] if near.isEmpty() else [confirm(near, rows)]) + ([] if more is None else [more])]
+    if rest:
+        for x in rest:
+            found = found.unionByName(x)
         labels = components(found)
     members = sketch.select("doc_id", "n", "s1", "s2").join(reps.select("n", "s1", "s2", F.col("doc_id").alias("rep")), ["n", "s1", "s2"], "left")
     return members.select("doc_id", "n", "rep"), found, labels
