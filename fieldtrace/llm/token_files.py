@@ -34,7 +34,7 @@ from fieldtrace.llm.registry import query
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 END = 2  # id behind each document
-REMEMBERED = 600_000  # units that a worker remembers
+REMEMBERED = 1_200_000  # units that a worker remembers
 TRAINING_DOCS = 1000  # documents whose ids train the dictionary
 DICTIONARY_BYTES = 64 << 10
 SHARD_BYTES = 16 << 20  # text of a shard
@@ -58,6 +58,7 @@ class Encoder:
         words = self._tokenizer.get_vocab()
         self._spaced = np.zeros(max(words.values()) + 1, bool)
         self._spaced[[i for w, i in words.items() if w.startswith("Ġ")]] = True  # the vocabulary's letter for a space
+        self._line = self._tokenizer.encode("\n", add_special_tokens=False).ids[0]
         self._known: dict[str, bytes] = {}  # ids of a unit behind a space
 
     def _ids(self, texts: list[str]) -> list[bytes]:
@@ -73,6 +74,21 @@ class Encoder:
         data = ids.tobytes()
         return [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
+    def _heads(self, units: list[str]) -> list[bytes]:
+        """Ids of first units: those without white space as lines of one text, as a lone line feed is an id of its own."""
+        plain = list({u for u in units if u and not _SPACED.search(u)})
+        known = {}
+        if plain:
+            ids = np.array(self._tokenizer.encode_batch_fast(["\n".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            lines = np.flatnonzero(ids == self._line)
+            if len(lines) != len(plain) - 1:
+                raise ValueError("the tokenizer joins text across a line feed")
+            data = ids.tobytes()
+            known = dict(zip(plain, (data[4 * a:4 * b] for a, b in zip([0, *(lines + 1).tolist()], [*lines.tolist(), len(ids)], strict=True)), strict=True))
+        rest = list({u for u in units if u not in known})
+        known.update(zip(rest, self._ids(rest), strict=True))
+        return [known[u] for u in units]
+
     def _learn(self, units: list[str]) -> None:
         known = self._known
         new = [u for u in units if u not in known]
@@ -85,7 +101,7 @@ class Encoder:
 
     def _cut(self, lists: pa.ListArray) -> list[bytes]:
         """Ids of texts given as their units; each distinct unit is looked up once, the first of a text has no space."""
-        heads = self._ids([x.as_py() for x in pc.list_element(lists, 0)])
+        heads = self._heads(pc.list_element(lists, 0).to_pylist())
         ends = np.asarray(lists.offsets)
         units = lists.flatten().dictionary_encode()
         distinct, index = units.dictionary.to_pylist(), np.asarray(units.indices)
@@ -217,7 +233,7 @@ def _write(path: str, folder: str, dictionary: bytes, width: int):
         from pyspark import TaskContext
 
         shard, writer = TaskContext.get().partitionId(), ShardWriter(dictionary, width)
-        for batch in core.slices(batches):
+        for batch in core.slices(batches, most=4 << 20):
             ids = _encoder(path).encode([x.decode("utf-8", "replace") for x in core.blobs(batch)])
             for doc, own in zip(core.ids(batch).tolist(), ids, strict=True):
                 writer.add(doc, own + END.to_bytes(4, "little"))
