@@ -288,7 +288,7 @@ def _decode(path: str):
     return run
 
 
-def _trip(path: str):
+def _trip(path: str, with_ids: bool):
     """Encode, decode the ids again and hold the text against the first one."""
 
     def run(batches):
@@ -296,10 +296,12 @@ def _trip(path: str):
         for batch in core.slices(batches, most=4 << 20):
             texts = [x.decode("utf-8", "replace") for x in core.blobs(batch)]
             ids = coder.encode(texts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
-                 pa.array([coder.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_()), pa.array(ids, pa.binary())],
-                names=["doc_id", "n_ids", "ids_crc32", "exact", "ids"])
+            columns = [batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                       pa.array([coder.decode(x) == t for x, t in zip(ids, texts, strict=True)], pa.bool_())]
+            if with_ids:
+                ends = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int32)
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(ids), "<i4"))))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_ids", "ids_crc32", "exact", "ids"][:len(columns)])
 
     return run
 
@@ -314,11 +316,11 @@ def decoded(rows: DataFrame, path: str = MODEL) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(_decode(path), "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: number and crc32 of the ids, whether decoding them gives the text, and the ids."""
-    return core.texts(docs, id_col, text_col).mapInArrow(_trip(path), "doc_id long, n_ids long, ids_crc32 long, exact boolean, ids binary")
+def round_trip(docs: DataFrame, path: str = MODEL, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: number and crc32 of the ids, whether decoding them gives the text, and on demand the ids."""
+    return core.texts(docs, id_col, text_col).mapInArrow(_trip(path, with_ids), "doc_id long, n_ids long, ids_crc32 long, exact boolean" + ", ids array<int>" * with_ids)
 
 
 @query("op8_sentence_pieces")
 def op8(spark, sf_dir):
-    return round_trip(core.read(spark, sf_dir, "documents")).drop("ids")
+    return round_trip(core.read(spark, sf_dir, "documents"))
