@@ -12,7 +12,8 @@ tasks in blocks of a stated number; documents are neither shuffled nor collected
 
 Words: A-Z lower-cased, ASCII punctuation is white space. Defined cases: null or empty texts match nothing; items of
 under five words are too short to identify a text and are skipped; a text shorter than an item is one window; equal
-items are each reported; repeated rows are each reported under their doc_id (null included).
+items are each reported; repeated rows are each reported under their doc_id (null included); in ``clean``, rows that
+share a doc_id are one document and go if one of them holds an item.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ of a host is its reference; simple tree matching (the largest ordered matching o
 over children) aligns every other page with it, so each text block falls into a slot of the reference. A text that
 fills its slot on half of the host's pages is constant and belongs to the template; outside the article a slot whose few
 texts come again and again is template, too. What varies is content. Copies of a page must not make its article look
-constant, so pages are counted by families: the smallest hash of a page's texts, which copies share.
+constant, so pages are counted by families: the smallest hash of three words in a row in a page's longest text, which
+copies and most near copies share.
 
 Elements and names that mark menus, headers, footers, sidebars, notices, adverts, forms and reader comments are left out
 on every page; if there is an ``article`` (else ``main``) element, content is looked for inside it. On hosts with few
@@ -273,8 +274,9 @@ def _learn(batches):
             tree, held = shape(fold(root))
             nodes = [k for k, own in enumerate(held) for _ in own]
             hashes = [_hash(blocks[b][0]) for own in held for b in own]
-            content = [_hash(text) for text, home, _ in blocks if not home.dropped]
-            rows.append((tree, len(held), min(content, default=0), nodes, hashes))
+            longest = max((text for text, home, _ in blocks if not home.dropped), key=len, default="").split()
+            family = min((_hash(" ".join(longest[i:i + 3])) for i in range(max(1, len(longest) - 2))), default=0)
+            rows.append((tree, len(held), family, nodes, hashes))
         cols = list(zip(*rows, strict=True))
         yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("salt"), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),
                                           pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.list_(pa.int64()))],

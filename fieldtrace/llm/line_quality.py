@@ -3,10 +3,12 @@
 Method: normalised lines (A-Z lower-cased, white space collapsed) are hashed; per host the distinct documents of
 each hash are counted; lines above the host's limit go, and a document that loses almost all of its words is
 rejected. Copies of one document must not turn its own lines into boilerplate, so what is counted is not rows but
-distinct *families*: the family of a document is the smallest of its line hashes, which copies share.
+distinct *families*: the family of a document is the smallest hash of three words in a row in its longest line (for that
+line itself: in the next longest), which copies and most near copies share.
 
 Defined cases: null or empty text has no words and fails the base rule; a null host is a host of its own; rows
-repeated in full count once in the line counts (same family) and keep their own result row.
+repeated in full count once in the line counts (same family) and keep their own result row; in ``clean``, rows that share
+a doc_id (null included) are one document and stay if one of them is kept.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ SHARE = 0.02  # nor one in a smaller share of the host's documents
 LEFT_WORDS, LEFT_SHARE = 10, 0.25  # a document with less left is depleted
 
 _FACTS = ("doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-          "family long, lines array<long>, line_words array<int>")
+          "lines array<long>, line_words array<int>, families array<long>")
 
 
 def _class_table(members: bytes) -> np.ndarray:
@@ -44,6 +46,12 @@ def line_hash(line: bytes) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(line.lower().split())) >> 1
 
 
+def family(line: bytes) -> int:
+    """Smallest hash of three words in a row: equal for lines that are equal but for a few words, most of the time."""
+    words = line.lower().split()
+    return min(xxhash.xxh3_64_intdigest(b" ".join(words[i:i + 3])) for i in range(max(1, len(words) - 2))) >> 1
+
+
 def repeated_words(lengths: np.ndarray, hashes: np.ndarray, k: int = 5) -> np.ndarray:
     """Per text, the words that lie in k-word windows found twice or more in it."""
     at = core.spans(lengths, k)
@@ -70,10 +78,11 @@ def _facts(batches):
         sizes = np.cumsum([0, *map(len, data)])
         raw = np.frombuffer(b"".join(data), np.uint8)
         count = lambda table: np.diff(np.concatenate([[0], np.cumsum(table[raw])])[sizes])
-        dup, lines, n_line, family = [], [], [], []
+        dup, lines, n_line, families = [], [], [], []
         for x in data:
             seen: set[bytes] = set()
             found: dict[int, int] = {}
+            longest: list[tuple[int, int, bytes]] = []
             again = 0
             for line in x.split(b"\n"):
                 n = len(line.split())
@@ -82,20 +91,24 @@ def _facts(batches):
                 again += line in seen
                 seen.add(line)
                 h = line_hash(line)
+                if h not in found:
+                    longest = sorted([*longest, (-n, h, line)])[:2]
                 found[h] = found.get(h, 0) + n
             dup.append(again)
             lines.append(list(found))
             n_line.append(list(found.values()))
-            family.append(min(found, default=None))
+            own = [(h, family(line)) for _, h, line in longest]
+            other = own[-1][1] if own else 0
+            families.append([other if h == own[0][0] else own[0][1] for h in found])
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("host"), pa.array(lengths), pa.array(count(_LETTER), pa.int64()), pa.array(count(_SYMBOL), pa.int64()),
-             pa.array(dup, pa.int64()), pa.array(repeated_words(lengths, hashes)), pa.array(family, pa.int64()),
-             pa.array(lines, pa.list_(pa.int64())), pa.array(n_line, pa.list_(pa.int32()))],
-            names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "family", "lines", "line_words"])
+             pa.array(dup, pa.int64()), pa.array(repeated_words(lengths, hashes)),
+             pa.array(lines, pa.list_(pa.int64())), pa.array(n_line, pa.list_(pa.int32())), pa.array(families, pa.list_(pa.int64()))],
+            names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words", "families"])
 
 
 def line_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Per document the base counts, its family and its distinct line hashes with their words."""
+    """Per document the base counts, its distinct line hashes with their words and families."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{host_col}`").cast("string").alias("host"),
                        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("data"))
@@ -108,7 +121,7 @@ def common_lines(facts: DataFrame, min_docs: int = MIN_DOCS, share: float = SHAR
     Families are made distinct on (host, line, family) first, so that no task meets all documents of a hot line.
     """
     host = F.coalesce("host", F.lit(""))
-    exploded = facts.select(host.alias("host"), "family", F.explode("lines").alias("line"))
+    exploded = facts.select(host.alias("host"), F.explode(F.arrays_zip("lines", "families")).alias("x")).select("host", F.col("x.lines").alias("line"), F.col("x.families").alias("family"))
     counted = exploded.distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
     sizes = facts.groupBy(host.alias("host")).agg(F.greatest(F.lit(float(min_docs)), F.count("*") * F.lit(share)).alias("bound"))
     return counted.join(sizes, "host").where("n_docs > bound")
@@ -133,7 +146,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     facts = core.cut(line_facts(docs, id_col, text_col, host_col))
     lost = losses(facts, common_lines(facts, min_docs, share))
     left = F.col("n_words") - F.coalesce("lost_words", F.lit(0))
-    return (facts.drop("lines", "line_words", "family").withColumnRenamed("doc_id", "_id").join(lost, F.col("_id").eqNullSafe(F.col("doc_id")), "left").drop("doc_id")
+    return (facts.drop("lines", "line_words", "families").withColumnRenamed("doc_id", "_id").join(lost, F.col("_id").eqNullSafe(F.col("doc_id")), "left").drop("doc_id")
             .withColumnRenamed("_id", "doc_id")
             .withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
             .withColumn("depleted", F.col("lost_words").isNotNull() & ((left < LEFT_WORDS) | (left < F.col("n_words") * LEFT_SHARE)))
@@ -173,7 +186,8 @@ real_lines AS (SELECT doc_id, host, line, trim(regexp_replace(translate(line, 'A
                       len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM real_lines GROUP BY doc_id),
 sizes AS (SELECT host, greatest(100.0, count(*) * 0.02) AS bound FROM d GROUP BY host),
-counted AS (SELECT host, norm, count(DISTINCT family) AS n FROM (SELECT host, norm, min(md5(norm)) OVER (PARTITION BY doc_id) AS family FROM real_lines) GROUP BY host, norm),
+longest AS (SELECT doc_id, list(norm ORDER BY n DESC, norm) AS l FROM (SELECT DISTINCT doc_id, norm, n FROM real_lines) GROUP BY doc_id),
+counted AS (SELECT host, norm, count(DISTINCT CASE WHEN l[1] = norm THEN coalesce(l[2], norm) ELSE l[1] END) AS n FROM real_lines JOIN longest USING (doc_id) GROUP BY host, norm),
 common AS (SELECT host, norm FROM counted JOIN sizes USING (host) WHERE n > bound),
 lost AS (SELECT doc_id, sum(n) AS n FROM real_lines JOIN common USING (host, norm) GROUP BY doc_id),
 facts AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
