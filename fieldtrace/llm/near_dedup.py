@@ -247,7 +247,10 @@ def _rest(buckets: DataFrame, labels: DataFrame, reps: DataFrame, rows: DataFram
     large = core.cut(members.where(F.col("size") > SMALL).select("least", "doc_id", "comp", "n").distinct())
     if large.isEmpty():
         return likely(near, reps), None
-    groups = components(large.select(F.col("least").alias("a"), F.col("doc_id").alias("b")).where("a <> b"))
+    # a document names its smallest bucket head, and that head the heads of the document's other buckets
+    heads = large.select("least", "doc_id").join(large.groupBy("doc_id").agg(F.min("least").alias("a")), "doc_id")
+    pairs = heads.select("a", F.col("doc_id").alias("b")).unionByName(heads.select("a", F.col("least").alias("b"))).distinct()
+    groups = components(pairs.where("a <> b"))
     inside = large.select("doc_id", "comp", "n").distinct().join(groups.select(F.col("node").alias("doc_id"), F.col("label").alias("grp")), "doc_id")
     counts = inside.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = (inside.join(counts, "grp").join(reps.select("doc_id", "regs"), "doc_id").join(rows, "doc_id")
