@@ -2,7 +2,7 @@
 
 Method: each 5-word shingle falls into one of 128 buckets; a bucket keeps its smallest hash compressed to a count of
 leading zeros (6 bits) and the 10 mantissa bits behind the leading one. 25 bands of 5 compressed registers propose
-candidates; the share of equal registers, corrected for chance collisions of compressed registers, is the Jaccard
+candidates (for them an empty bucket borrows from another, so that bands of short texts select as well); the share of equal registers, corrected for chance collisions of compressed registers, is the Jaccard
 estimate; candidates more than five standard errors below the threshold are dropped, the others are confirmed by
 exact intersection and union of the whole sets. Linked documents form components.
 
@@ -110,11 +110,29 @@ def _regs(batch, column):
     return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint16).reshape(-1, BUCKETS)
 
 
+def filled(regs: np.ndarray) -> np.ndarray:
+    """Registers in which an empty bucket borrows from a bucket that its number points to, in the same order for all
+    sets. So registers of small sets agree with the probability of their similarity too, not because both are empty."""
+    out, own = regs.copy(), regs != EMPTY
+    rows = np.flatnonzero(~own.all(1) & own.any(1))
+    for turn in range(1, 1 << 16):
+        if not len(rows):
+            break
+        place = np.full(BUCKETS, turn, np.uint64)
+        target = (core.mix(place, np.arange(BUCKETS, dtype=np.uint64)) >> np.uint64(40)).astype(np.int64) % BUCKETS
+        if turn > 4 * BUCKETS:  # what is still open takes the next bucket on the ring
+            target = (np.arange(BUCKETS) + turn) % BUCKETS
+        take = (out[rows] == EMPTY) & own[rows][:, target]
+        out[rows] = np.where(take, regs[rows][:, target], out[rows])
+        rows = rows[(out[rows] == EMPTY).any(1)]
+    return out
+
+
 def _bands(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        regs = _regs(batch, "regs")
+        regs = filled(_regs(batch, "regs"))
         keys, docs, sizes = [], [], []
         doc, n = np.asarray(batch.column("doc_id")), np.asarray(batch.column("n"))
         for band in range(BANDS):
