@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fieldtrace.operators.ordered import with_slices
+from fieldtrace.operators.ordered import fill_forward, next_, row_number, running_sum, scan, with_slices
 from fieldtrace.session import cut_lineage, spread
 
 
@@ -280,52 +280,38 @@ TERMINAL = ("BALL LOST", "BALL OUT", "SHOT", "FAULT RECEIVED")
 STOPS_BOTH = ("BALL OUT", "FAULT RECEIVED")
 
 
-def interval_rule() -> Rule:
-    """WIN-22 over rows (t, period, team, kind, period_end): control events open or extend a possession;
-    a team change or a restart closes and reopens it; terminal events of the own team, or a dead ball,
-    close it; a period closes at its last frame. Zero-length possessions vanish without using an id."""
-    def finish(cur, n, end, reason):
-        if cur is None or not end > cur["start"]:
-            return n, []
-        return n + 1, [{"possession": n, "period": cur["period"], "team": cur["team"], "start": cur["start"], "end": end,
-                        "start_reason": cur["why"], "end_reason": reason, "events": cur["events"]}]
-
-    def step(state, r):
-        n, cur, out = *(state or (0, None)), []
-        t, kind = float(r["t"]), r["kind"]
-
-        def close(end, reason):
-            nonlocal n, cur
-            n, rows = finish(cur, n, end, reason)
-            out.extend(rows)
-            cur = None
-
-        if cur is not None and r["period"] != cur["period"]:
-            close(cur["period_end"], "period_end")
-        if kind in CONTROL:
-            if cur is not None and r["team"] != cur["team"]:
-                close(t, "team_change")
-            elif cur is not None and kind == "SET PIECE":
-                close(t, "restart")
-            if cur is None:
-                cur = {"period": int(r["period"]), "team": int(r["team"]), "start": t, "why": kind, "events": 0,
-                       "period_end": float(r["period_end"])}
-            cur = {**cur, "events": cur["events"] + 1}
-        elif kind in TERMINAL and cur is not None and (r["team"] == cur["team"] or kind in STOPS_BOTH):
-            close(t, kind)
-        return [n, cur], out
-
-    def close_all(state):
-        n, cur = state or (0, None)
-        return finish(cur, n, cur["period_end"], "recording_end")[1] if cur else []
-
-    return Rule(step, close_all)
-
-
 def possession_intervals(events: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
-    """WIN-22: ``events`` has t, seq (source order), period, team, kind, period_end."""
-    return fold(events.select(*keys, "t", "seq", "period", "team", "kind", "period_end"), keys, ["t", "seq"], interval_rule(),
-                "possession bigint, period int, team int, start double, end double, start_reason string, end_reason string, events bigint", hot_rows)
+    """WIN-22: ``events`` has t, seq (source order), period, team, kind, period_end.
+
+    Who holds the ball before an event follows from the last control or dead ball before it and from whether the
+    holder has lost it since. An event opens a possession if it is a control and nobody, or another team, holds, or
+    play restarts; the rows up to the next opening are one group, which ends at its first loss, else at the next
+    opening, else with the period. Possessions without length vanish and use no number.
+    """
+    rows = events.select(*keys, "t", "seq", "period", "team", "kind", "period_end")
+    within, order, at = [*keys, "period"], ["t", "seq"], F.struct("t", "seq")
+    control, dead = F.col("kind").isin(*CONTROL), F.col("kind").isin(*STOPS_BOTH)
+    holder = F.struct(F.when(control, F.col("team")).alias("team"), at.alias("at"))
+    d = scan(rows, within, order, {"_holder": fill_forward(F.when(control | dead, holder), inclusive=False)}, hot_rows)
+    d = d.withColumn("_lost", F.col("kind").isin(*TERMINAL) & ~dead & F.coalesce(F.col("team") == F.col("_holder.team"), F.lit(False)))
+    d = scan(d, within, order, {"_loss": fill_forward(F.when(F.col("_lost"), at), inclusive=False)}, hot_rows)
+    held = F.col("_holder.team").isNotNull() & (F.col("_loss").isNull() | (F.col("_loss") < F.col("_holder.at")))
+    opens = control & (~held | (F.col("team") != F.col("_holder.team")) | (F.col("kind") == "SET PIECE"))
+    d = d.select("*", F.coalesce(opens, F.lit(False)).alias("_opens"), (held & (F.col("_lost") | dead)).alias("_ends"))
+    d = scan(d, within, order, {"_no": running_sum(F.col("_opens").cast("long"))}, hot_rows).filter("_no > 0")
+    first = F.struct("t", "seq", "team", "kind", "period_end")
+    g = d.groupBy(*within, "_no").agg(F.min_by(first, F.when(F.col("_opens"), at)).alias("_o"), F.count_if(control).alias("events"),
+                                      F.min_by(F.struct("t", "kind"), F.when(F.col("_ends"), at)).alias("_e"))
+    g = scan(g, within, ["_no"], {"_n": next_(F.col("_o"))}, hot_rows)
+    last = rows.groupBy(*keys).agg(F.max_by("period", F.struct("t", "seq")).alias("_last"))
+    changes = F.when(F.col("_n.team") != F.col("_o.team"), "team_change").otherwise("restart")
+    closing = F.when(F.col("period") == F.col("_last"), "recording_end").otherwise("period_end")
+    g = g.join(last, keys).select(
+        *keys, F.col("period").cast("int").alias("period"), F.col("_o.team").cast("int").alias("team"), F.col("_o.t").cast("double").alias("start"),
+        F.coalesce("_e.t", "_n.t", "_o.period_end").cast("double").alias("end"), F.col("_o.kind").alias("start_reason"),
+        F.coalesce(F.col("_e.kind"), F.when(F.col("_n").isNotNull(), changes), closing).alias("end_reason"), "events", F.col("_o.seq").alias("_seq"))
+    g = scan(g.filter(F.col("end") > F.col("start")), keys, ["start", "_seq"], {"_rank": row_number()}, hot_rows)
+    return g.select(*keys, (F.col("_rank") - 1).alias("possession"), "period", "team", "start", "end", "start_reason", "end_reason", "events")
 
 
 @dataclass(frozen=True)

@@ -72,3 +72,12 @@ def diameter(points: np.ndarray) -> float:
 
     hull = np.array(chain(pts)[:-1] + chain(pts[::-1])[:-1])
     return float(max(np.sqrt(((hull - p) ** 2).sum(axis=1)).max() for p in hull))
+
+
+def pair_up(prices: dict[tuple[int, int], float], n: int, m: int) -> list[tuple[int, int]]:
+    """Most pairs at the least total price; pairs without a price are never made."""
+    barred = 1e6
+    cost = np.full((n, m), barred)
+    for at, price in prices.items():
+        cost[at] = price
+    return [at for at in assign(cost) if at in prices]

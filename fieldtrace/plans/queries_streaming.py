@@ -106,7 +106,7 @@ def _(t: Tables):
     f = t.ev.groupBy("user_id", F.floor(F.col("us") / F.lit(2 * DAY)).alias("f")).agg(F.collect_list(F.struct(F.col("k").cast("double").alias("x"), (F.col("cents") % 60).cast("double").alias("y"))).alias("feet"), F.max("k").alias("top"))
     h = F.array(*[F.lit(v) if v is not None else -(F.col("top") / 2.0) for v in (0.4, 0.0, None, 0.0, 0.4, -12.0, 0.0, 0.0, 1.0)])
     d = f.select("user_id", (F.col("f") * 1.0).alias("t"), (F.col("top") > 20).alias("accepted"), F.lit(None).cast("string").alias("reason"), h.alias("h"), "feet")
-    return folds.fold(d, ["user_id"], ["t"], rules.camera_rule(), "t double, accepted boolean, reason string")
+    return folds.fold(rules.camera_faults(d).drop("accepted", "reason"), ["user_id"], ["t"], rules.camera_rule(), "t double, accepted boolean, reason string")
 
 
 @query("str08_work_queue", f"WITH {EV} SELECT user_id, 'n=' || count(*) AS note FROM ev WHERE user_id % 7 <> 0 GROUP BY 1")

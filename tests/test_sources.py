@@ -147,5 +147,5 @@ def test_confirmed_object_and_camera(spark):
     shifts = [0.0, 0.1, 40.0, 40.0, 40.0]
     d = spark.createDataFrame([(1, float(i), True, None, h(dx), feet) for i, dx in enumerate(shifts)] + [(1, 9.0, False, "no_lines", None, feet)],
                               "p int, t double, accepted boolean, reason string, h array<double>, feet array<struct<x:double,y:double>>")
-    got = folds.fold(d, ["p"], ["t"], rules.camera_rule(rules.CameraLimits(jump=3.0)), "t double, accepted boolean, reason string").orderBy("t").collect()
+    got = folds.fold(rules.camera_faults(d).drop("accepted", "reason"), ["p"], ["t"], rules.camera_rule(rules.CameraLimits(jump=3.0)), "t double, accepted boolean, reason string").orderBy("t").collect()
     assert [r["accepted"] for r in got] == [True, True, False, False, True, False] and got[-1]["reason"] == "no_lines"
