@@ -70,8 +70,9 @@ def _rounds(pairs: DataFrame, group: list[str], left: str, right: str, order: li
     return done
 
 
-def optimal_match(pairs: DataFrame, frame: list[str], left: str, right: str, score: str) -> DataFrame:
-    """JOIN-17: assignment of largest total score among the allowed pairs of each frame.
+def optimal_match(pairs: DataFrame, frame: list[str], left: str, right: str, score: str, objective: str = "pairs") -> DataFrame:
+    """JOIN-17: one-to-one assignment among the allowed pairs of each frame. ``objective`` "pairs" makes as many
+    pairs as can be made and then the largest total score; "total" the largest total of positive scores, with fewer pairs if need be.
 
     A frame holds a physical handful of objects; its pairs travel as one array per frame so that a
     task solves many frames per batch.
@@ -88,10 +89,11 @@ def optimal_match(pairs: DataFrame, frame: list[str], left: str, right: str, sco
         for rows in batch:
             ls, rs = sorted({r[left] for r in rows}), sorted({r[right] for r in rows})
             li, ri = {v: i for i, v in enumerate(ls)}, {v: i for i, v in enumerate(rs)}
-            cost = np.full((len(ls), len(rs)), 1e6)
+            barred = 1e6 if objective == "pairs" else 0.0
+            cost = np.full((len(ls), len(rs)), barred)
             for r in rows:
                 cost[li[r[left]], ri[r[right]]] = -r[score]
-            out.append([{left: ls[a], right: rs[b]} for a, b in assign(cost) if cost[a, b] < 1e6])
+            out.append([{left: ls[a], right: rs[b]} for a, b in assign(cost) if cost[a, b] < barred])
         return pd.Series(out)
 
     g = pairs.groupBy(*frame).agg(F.collect_list(F.struct(left, right, F.col(score).cast("double").alias(score))).alias("_rows"))

@@ -154,7 +154,7 @@ def apply_steps(df: DataFrame, steps: DataFrame, keys: list[str], score: str, ho
 
 
 def probability_metrics(df: DataFrame, keys: list[str], score: str, positive: Column, eps: float = 1e-6) -> DataFrame:
-    """AGG-23: Brier, log loss (clipped), mid-rank AUC, average precision, prevalence and skill."""
+    """AGG-23: Brier, log loss (clipped), mid-rank AUC, average precision, prevalence and skill (null where a group has one class)."""
     y = positive.cast("double")
     p = F.least(F.greatest(F.col(score), F.lit(eps)), F.lit(1.0 - eps))
     base = df.groupBy(*keys).agg(
@@ -172,8 +172,8 @@ def probability_metrics(df: DataFrame, keys: list[str], score: str, positive: Co
     prev = np_ / F.col("n")
     return d.select(
         *keys, "n", "positives", "brier", "log_loss",
-        (F.lit(1.0) - F.col("_u2") / (F.lit(2.0) * np_ * nn)).alias("auc"), (F.col("_ap") / np_).alias("average_precision"),
-        prev.alias("prevalence"), (F.lit(1.0) - F.col("brier") / (prev * (F.lit(1.0) - prev))).alias("skill"))
+        (F.lit(1.0) - F.try_divide(F.col("_u2"), F.lit(2.0) * np_ * nn)).alias("auc"), F.try_divide(F.col("_ap"), np_).alias("average_precision"),
+        prev.alias("prevalence"), (F.lit(1.0) - F.try_divide(F.col("brier"), prev * (F.lit(1.0) - prev))).alias("skill"))
 
 
 def ranking_metrics(df: DataFrame, query: list[str], score: str, tie: list[str], chosen: Column) -> DataFrame:

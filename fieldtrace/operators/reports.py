@@ -48,7 +48,8 @@ def detection_counts(pred: DataFrame, truth: DataFrame, manifest: DataFrame, fra
 
 
 def tracking_scores(truth: DataFrame, pred: DataFrame, seq: list[str], frame: str, alphas: list[float]) -> DataFrame:
-    """AGG-21: detection and association accuracy, their geometric mean (HOTA), localisation and IDF1.
+    """AGG-21: detection and association accuracy, their geometric mean (HOTA), localisation, and the identity
+    scores (IDF1, precision and recall with their counts).
 
     ``truth``: seq, frame, gt, x1..y2; ``pred``: seq, frame, tr, x1..y2. Frames are matched one to one by
     global association plus overlap; association is then sums over (gt, tr) counts. Only the identity
@@ -71,7 +72,7 @@ def tracking_scores(truth: DataFrame, pred: DataFrame, seq: list[str], frame: st
     scored = pairs.join(align, [*seq, "gt", "tr"]).withColumn("score", F.col("_a") * F.col("iou"))
     named = F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha")
     total = truth.groupBy(*seq).agg(F.count(F.lit(1)).alias("n_truth")).join(pred.groupBy(*seq).agg(F.count(F.lit(1)).alias("n_pred")), seq, "full_outer").fillna(0, ["n_truth", "n_pred"])
-    m = optimal_match(scored, [*seq, frame], "gt", "tr", "score").join(pairs, [*seq, frame, "gt", "tr"])
+    m = optimal_match(scored, [*seq, frame], "gt", "tr", "score", "total").join(pairs, [*seq, frame, "gt", "tr"])
     m = m.select("*", named).filter(F.col("iou") >= F.col("alpha") - 1e-9)
     tpa = m.groupBy(*seq, "alpha", "gt", "tr").agg(F.count(F.lit(1)).alias("c"), F.sum("iou").alias("loc"))
     tpa = tpa.join(gt_n, [*seq, "gt"]).join(tr_n, [*seq, "tr"])
@@ -81,9 +82,11 @@ def tracking_scores(truth: DataFrame, pred: DataFrame, seq: list[str], frame: st
     ass = F.coalesce(F.try_divide("_as", "tp"), F.lit(0.0))
     h = d.groupBy(*seq).agg(F.avg(F.sqrt(det * ass)).alias("hota"), F.avg(det).alias("det_a"), F.avg(ass).alias("ass_a"), F.avg(F.coalesce(F.try_divide("_loc", "tp"), F.lit(1.0))).alias("loc_a"))
     ident = pairs.filter("iou >= 0.5").groupBy(*seq, "gt", "tr").agg(F.count(F.lit(1)).alias("hits"))
-    idtp = optimal_match(ident, seq, "gt", "tr", "hits").join(ident, [*seq, "gt", "tr"]).groupBy(*seq).agg(F.sum("hits").alias("idtp"))
+    idtp = optimal_match(ident, seq, "gt", "tr", "hits", "total").join(ident, [*seq, "gt", "tr"]).groupBy(*seq).agg(F.sum("hits").alias("idtp"))
     out = h.join(total, seq).join(idtp, seq, "left").fillna(0, ["idtp"])
-    return out.select(*seq, "hota", "det_a", "ass_a", "loc_a", (F.lit(2.0) * F.col("idtp") / (F.col("n_truth") + F.col("n_pred"))).alias("idf1"))
+    hits, truths, preds = F.col("idtp"), F.col("n_truth"), F.col("n_pred")
+    return out.select(*seq, "hota", "det_a", "ass_a", "loc_a", F.try_divide(F.lit(2.0) * hits, truths + preds).alias("idf1"), F.try_divide(hits, preds).alias("idp"),
+                      F.try_divide(hits, truths).alias("idr"), "idtp", (preds - hits).alias("idfp"), (truths - hits).alias("idfn"))
 
 
 def staged_census(df: DataFrame, by: list[str], rules: list[tuple[str, Column]], otherwise: str = "unattributed") -> DataFrame:

@@ -73,10 +73,10 @@ def _(t: Tables):
     return reports.compare_runs(g("click"), g("view"), ["user_id"], ["n", "c"])
 
 
-@query("agg32_label_consistency", f"""WITH {EV}, n AS (SELECT user_id % 30 AS job, k % 10 AS label, cents % 3 AS ident, count(*) AS n FROM ev WHERE event_type='purchase' GROUP BY 1, 2, 3),
+@query("agg32_label_consistency", f"""WITH {EV}, n AS (SELECT user_id % 30 AS job, k % 10 AS label, cents % 3 AS ident, count(*) AS n FROM ev GROUP BY 1, 2, 3),
 g AS (SELECT job, label, count(*) AS ids, max(n) AS top, sum(n) AS a FROM n GROUP BY 1, 2) SELECT job, count(*) AS labels, count_if(ids = 1) AS consistent, sum(top)::DOUBLE / sum(a)::DOUBLE AS top_share FROM g GROUP BY 1""")
 def _(t: Tables):
-    d = t.ev.filter("event_type = 'purchase'").select((F.col("user_id") % 30).alias("job"), (F.col("k") % 10).alias("label"), (F.col("cents") % 3).alias("ident"))
+    d = t.ev.select((F.col("user_id") % 30).alias("job"), (F.col("k") % 10).alias("label"), (F.col("cents") % 3).alias("ident"))
     return reports.label_consistency(d, ["job"], "label", "ident")
 
 
@@ -151,10 +151,10 @@ def _(t: Tables):
     return reports.retrieval_scores(d, ["user_id"], [F.col("us").desc()], "rd", "tr")
 
 
-@query("win37_label_consensus", f"""WITH {EV}, d AS (SELECT event_id, user_id, us, us // {DAY} AS d, k % 2 AS label FROM ev WHERE event_type='view' AND (k % 2 = 0 OR k > 80)), f AS (SELECT *, row_number() OVER (PARTITION BY user_id, d ORDER BY us) = 1 AS nw FROM d)
+@query("win37_label_consensus", f"""WITH {EV}, d AS (SELECT event_id, user_id, us, us // {DAY} AS d, CASE WHEN k > 80 THEN k % 2 ELSE 0 END AS label FROM ev), f AS (SELECT *, row_number() OVER (PARTITION BY user_id, d ORDER BY us) = 1 AS nw FROM d)
 SELECT event_id, CAST(sum(nw::INT) OVER w AS BIGINT) AS frames, CASE WHEN min(label) OVER w <> max(label) OVER w THEN 'conflict' WHEN sum(nw::INT) OVER w >= 2 THEN 'supported' ELSE 'provisional' END AS status FROM f WINDOW w AS (PARTITION BY user_id ORDER BY us)""")
 def _(t: Tables):
-    d = t.ev.filter("event_type = 'view' and (k % 2 = 0 or k > 80)").select("event_id", "user_id", "us", F.floor(F.col("us") / F.lit(DAY)).alias("d"), (F.col("k") % 2).alias("label"))
+    d = t.ev.select("event_id", "user_id", "us", F.floor(F.col("us") / F.lit(DAY)).alias("d"), F.when(F.col("k") > 80, F.col("k") % 2).otherwise(0).alias("label"))
     return reports.label_consensus(d, ["user_id"], ["us"], "d", "label").select("event_id", "frames", "status")
 
 
@@ -191,9 +191,9 @@ def _(t: Tables):
     return reports.run_specialist(lambda x: x["views"].groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), {"views": t.ev.filter("event_type = 'view'")}, ["views"], schema)
 
 
-@query("udf03_resumable_sweep", f"WITH {EV}, v AS (SELECT unnest(['a', 'b']) AS variant) SELECT event_id, variant, k * CASE variant WHEN 'a' THEN 2 ELSE 3 END AS fit FROM ev, v WHERE event_type = 'signup' AND NOT (variant = 'a' AND event_id % 2 = 0)")
+@query("udf03_resumable_sweep", f"WITH {EV}, v AS (SELECT unnest(['a', 'b']) AS variant) SELECT event_id, variant, k * CASE variant WHEN 'a' THEN 2 ELSE 3 END AS fit FROM ev, v WHERE NOT (variant = 'a' AND event_id % 2 = 0)")
 def _(t: Tables):
-    rows = t.ev.filter("event_type = 'signup'").select("event_id", "k")
+    rows = t.ev.select("event_id", "k")
     done = rows.filter("event_id % 2 = 0").select("event_id", F.lit("a").alias("variant"))
 
     def fit(pdf):
@@ -204,10 +204,10 @@ def _(t: Tables):
     return reports.sweep(rows, ["a", "b"], done, ["event_id"], fit, "event_id bigint, variant string, fit bigint")
 
 
-@query("udf04_expand_span", f"WITH {EV} SELECT event_id, unnest(range(us, us + k * {HOUR}, {6 * HOUR})) AS t FROM ev WHERE event_type = 'signup' AND k > 0")
+@query("udf04_expand_span", f"WITH {EV} SELECT event_id, unnest(range(us, us + k * {HOUR}, {6 * HOUR})) AS t FROM ev WHERE k > 0")
 def _(t: Tables):
     """Row expansion with the built-in form."""
-    d = t.ev.filter("event_type = 'signup' and k > 0")
+    d = t.ev.filter("k > 0")
     return d.select("event_id", F.explode(F.sequence(F.col("us"), F.col("us") + F.col("k") * HOUR - 1, F.lit(6 * HOUR))).alias("t"))
 
 

@@ -52,12 +52,12 @@ def _(t: Tables):
     return tracking.provider_observations(d, ["game"]).select("game", "frame", "player", "x_m", "status")
 
 
-@query("src08_skillcorner", f"""WITH {EV}, e AS (SELECT us // {HOUR} AS frame, event_type, user_id, k::DOUBLE AS x, cents FROM ev WHERE event_type IN ('view','error','signup')),
+@query("src08_skillcorner", f"""WITH {EV}, e AS (SELECT us // {HOUR} AS frame, event_type, user_id, k::DOUBLE AS x, cents FROM ev),
 p AS (SELECT frame, user_id, v.x AS x, v.d AS det FROM (SELECT frame, user_id, arg_min({{'x': CASE WHEN cents % 5 <> 0 THEN x END, 'd': event_type = 'view'}}, (event_type, x)) AS v FROM e GROUP BY 1, 2))
 SELECT count(*) AS n, count_if(x IS NULL) AS unavailable, count_if(x IS NOT NULL AND det) AS detected, count_if(x IS NOT NULL AND NOT det) AS extrapolated FROM (SELECT frame, user_id, x, det FROM p)""")
 def _(t: Tables):
     """JSON-lines frames (one per hour) read with the provider schema; nobody is expected beyond those present."""
-    e = t.ev.filter("event_type in ('view', 'error', 'signup')").select(F.floor(F.col("us") / F.lit(HOUR)).cast("int").alias("frame"), "event_type", "user_id", F.col("k").cast("double").alias("x"), "cents")
+    e = t.ev.select(F.floor(F.col("us") / F.lit(HOUR)).cast("int").alias("frame"), "event_type", "user_id", F.col("k").cast("double").alias("x"), "cents")
     p = e.groupBy("frame", "user_id").agg(F.min_by(F.struct(F.when(F.col("cents") % 5 != 0, F.col("x")).alias("x"), (F.col("event_type") == "view").alias("d")), F.struct("event_type", "x")).alias("_v"))
     frames = p.groupBy("frame").agg(F.collect_list(F.struct(F.col("user_id").alias("player_id"), F.col("_v.x").alias("x"), F.col("_v.x").alias("y"), F.col("_v.d").alias("is_detected"))).alias("player_data"))
     path = stage.scratch(t.spark)
@@ -149,9 +149,9 @@ def _(t: Tables):
     return boxes.groupBy("image_no", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("src15_split_leaks", f"WITH {EV} SELECT user_id, list_sort(list(DISTINCT event_type)) AS splits FROM ev WHERE event_type IN ('view', 'signup') AND k < 8 GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
+@query("src15_split_leaks", f"WITH {EV} SELECT user_id, list_sort(list(DISTINCT event_type)) AS splits FROM ev WHERE event_type IN ('view', 'signup') GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
 def _(t: Tables):
-    d = t.ev.filter("k < 8")
+    d = t.ev
     return labels.export_splits({n: d.filter(F.col("event_type") == n).select("user_id") for n in ("view", "signup")}, "user_id")[1]
 
 
@@ -200,10 +200,10 @@ def _(t: Tables):
     return stage.verify_registry(files, reg)
 
 
-@query("src22_split_guard", f"WITH {EV} SELECT k AS id, list_sort(list(DISTINCT sp)) AS splits FROM (SELECT k, CASE WHEN user_id < 3 THEN 'dev' ELSE 'train' END AS sp FROM ev WHERE user_id < 6) GROUP BY 1 HAVING count(DISTINCT sp) > 1")
+@query("src22_split_guard", f"WITH {EV} SELECT k AS id, list_sort(list(DISTINCT sp)) AS splits FROM (SELECT k, CASE WHEN user_id < 3 THEN 'dev' ELSE 'train' END AS sp FROM ev) GROUP BY 1 HAVING count(DISTINCT sp) > 1")
 def _(t: Tables):
     d = t.ev.select(F.col("k").alias("id"), "user_id")
-    return quality.split_overlap({"dev": d.filter("user_id < 3"), "train": d.filter("user_id >= 3 and user_id < 6")}, ["id"])
+    return quality.split_overlap({"dev": d.filter("user_id < 3"), "train": d.filter("user_id >= 3")}, ["id"])
 
 
 @query("src23_dense_ids", f"""WITH {EV}, f AS (SELECT user_id, k, min(us) AS f FROM ev GROUP BY 1, 2) SELECT e.event_id, r.dense_id, CASE WHEN e.cents % 2 = 0 THEN e.k::DOUBLE END AS x_m FROM ev e

@@ -39,10 +39,10 @@ def _(t: Tables):
     return stateful.drain(s, scratch(t.spark)).select("event_id", "status", "held_x")
 
 
-@query("str05_label_consensus", f"""WITH {EV}, d AS (SELECT event_id, user_id, us, us // {DAY} AS d, k % 2 AS label FROM ev WHERE event_type='view' AND (k % 2 = 0 OR k > 80)), f AS (SELECT *, row_number() OVER (PARTITION BY user_id, d ORDER BY us) = 1 AS nw FROM d)
+@query("str05_label_consensus", f"""WITH {EV}, d AS (SELECT event_id, user_id, us, us // {DAY} AS d, CASE WHEN k > 80 THEN k % 2 ELSE 0 END AS label FROM ev), f AS (SELECT *, row_number() OVER (PARTITION BY user_id, d ORDER BY us) = 1 AS nw FROM d)
 SELECT event_id, CASE WHEN min(label) OVER w <> max(label) OVER w THEN 'conflicting' WHEN sum(nw::INT) OVER w >= 2 THEN 'supported_hypothesis' ELSE 'insufficient_evidence' END AS status FROM f WINDOW w AS (PARTITION BY user_id ORDER BY us)""")
 def _(t: Tables):
-    d = stream(t).filter("event_type = 'view' and (k % 2 = 0 or k > 80)").select("user_id", "us", "event_id", F.floor(F.col("us") / F.lit(DAY)).alias("d"), (F.col("k") % 2).alias("label"))
+    d = stream(t).select("user_id", "us", "event_id", F.floor(F.col("us") / F.lit(DAY)).alias("d"), F.when(F.col("k") > 80, F.col("k") % 2).otherwise(0).alias("label"))
     s = stateful.stream_fold(d, ["user_id"], ["us"], rules.consensus_rule("d", "label"), "event_id bigint, hypothesis string, status string")
     return stateful.drain(s, scratch(t.spark)).select("event_id", "status")
 
@@ -123,12 +123,12 @@ def _(t: Tables):
     return t.spark.read.parquet(done)
 
 
-@query("str09_append_revisions", f"""WITH {EV}, s AS (SELECT user_id, event_id, k % 3 AS i, min(event_id) OVER (PARTITION BY user_id, k % 3) AS f FROM ev WHERE event_type = 'signup')
+@query("str09_append_revisions", f"""WITH {EV}, s AS (SELECT user_id, event_id, k % 3 AS i, min(event_id) OVER (PARTITION BY user_id, k % 3) AS f FROM ev)
 SELECT user_id AS run, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY f, i, event_id) AS revision FROM s""")
 def _(t: Tables):
     """Imports appended through a stream; sending the same imports again changes nothing."""
     log = scratch(t.spark)
-    d = stream(t).filter("event_type = 'signup'").select(F.col("user_id").alias("run"), F.concat(F.lit("imp-"), (F.col("k") % 3).cast("string")).alias("source_key"), F.col("event_id").alias("seq"), F.col("cents").cast("string").alias("payload"))
+    d = stream(t).select(F.col("user_id").alias("run"), F.concat(F.lit("imp-"), (F.col("k") % 3).cast("string")).alias("source_key"), F.col("event_id").alias("seq"), F.col("cents").cast("string").alias("payload"))
     for _ in range(2):
         q = d.writeStream.foreachBatch(lambda b, e: stateful.append_revisions(b, log)).option("checkpointLocation", scratch(t.spark)).trigger(availableNow=True).start()
         q.awaitTermination()

@@ -133,3 +133,20 @@ def test_team_clusters(spark):
     pts = [(1, i, [float(10 * (i % 3)) + 0.01 * i, 0.0]) for i in range(10)] + [(2, i, [1.0, 1.0]) for i in range(4)]
     got = {(r["job"], r["id"]): r["cluster"] for r in team_clusters(spark.createDataFrame(pts, "job int, id int, v array<double>"), ["job"], "id", "v", rounds=3).collect()}
     assert {got[(1, i)] for i in (0, 3, 6, 9)} == {0} and len({got[(1, i)] for i in (1, 4, 7)}) == 1 and {got[(2, i)] for i in range(4)} == {-1}
+
+
+def test_identity_follows_the_largest_total(spark):
+    """A long-lived pair is not given up for two stray ones."""
+    box = (0.0, 0.0, 10.0, 10.0)
+    t = spark.createDataFrame([("s", f, "A", *box) for f in range(101)] + [("s", 200, "B", *box)], "seq string, frame int, gt string, x1 double, y1 double, x2 double, y2 double")
+    p = spark.createDataFrame([("s", f, "X", *box) for f in range(100)] + [("s", 100, "Y", *box), ("s", 200, "X", *box)], "seq string, frame int, tr string, x1 double, y1 double, x2 double, y2 double")
+    r = reports.tracking_scores(t, p, ["seq"], "frame", [0.5]).first()
+    assert (r["idtp"], r["idfp"], r["idfn"]) == (100, 2, 2) and abs(r["idf1"] - 200 / 204) < 1e-9
+
+
+def test_one_class_has_no_ranking(spark):
+    from fieldtrace.operators import metrics
+
+    d = spark.createDataFrame([("a", 0.4, True), ("b", 0.4, False), ("c", 0.2, True), ("c", 0.1, False)], "g string, p double, y boolean")
+    got = {r["g"]: r for r in metrics.probability_metrics(d, ["g"], "p", F.col("y")).collect()}
+    assert got["a"]["auc"] is None and got["b"]["average_precision"] is None and got["b"]["skill"] is None and got["c"]["auc"] == 1.0
