@@ -62,7 +62,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], rule: Rule, out: str,
         # object columns keep nulls and integers apart
         return res.astype({f.name: object for f in out_type.fields if not isinstance(f.dataType, (T.DoubleType, T.FloatType))})[full.names]
 
-    sliced = with_slices(df, keys, order[0], hot_rows)
+    sliced = with_slices(df, keys, order, hot_rows)
     if sliced is None:
         def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             state, rows = _run(pdf.drop(columns=key_type.names), rule, order, None)

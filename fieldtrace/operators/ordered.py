@@ -1,8 +1,8 @@
 """Ordered scans per key (lag, lead, fills, running totals) that survive a hot key.
 
 A plain ``Window.partitionBy(key)`` sorts each key in one task. When one key holds a large
-share of the rows that task is the whole job, so :func:`scan` cuts a hot key into clock slices
-of about ``hot_rows`` rows, scans each slice, scans the one-row-per-slice summaries, and joins
+share of the rows that task is the whole job, so :func:`scan` cuts a hot key into slices of about
+``hot_rows`` rows at quantiles of the full order, scans each slice, scans the one-row-per-slice summaries, and joins
 the carried value back. Keys below the bound keep the single-window plan; a small input
 (by Catalyst's own size estimate) skips the check.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fieldtrace.session import plan_bytes
+from fieldtrace.session import cut_lineage, plan_bytes
 
 HOT_ROWS = 2_000_000  # rows of one key that one task may sort
 SMALL_BYTES = 128 * 1024 * 1024  # inputs below this cannot hold a key worth splitting
@@ -78,68 +78,66 @@ def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return cond
 
 
-def hot_slices(df: DataFrame, keys: list[str], clock: str, hot_rows: int) -> DataFrame | None:
-    """Slice table (keys, _lo, _hi, _res, _bins: map bin -> slice) of the keys above ``hot_rows``.
+SAMPLED = 64  # sampled rows per slice, from which its bounds are taken
+_STRIDE = 64  # bounds are looked up in two steps of about this many comparisons
 
-    Exact counts make it the same on every recomputation. Returns None when no key is hot.
+
+def hot_slices(df: DataFrame, keys: list[str], order: list[str], hot_rows: int) -> DataFrame | None:
+    """(keys, _bounds): for each key above ``hot_rows`` the first positions of its slices but the first, in order.
+
+    Bounds are quantiles of a sample of full positions (all columns of ``order``), so one far clock or a storm of equal
+    clocks leaves the slices even. The sample is taken by hash, the same on every recomputation. Returns None when no
+    key is hot.
     """
-    stats = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(clock).alias("_lo"), F.max(clock).alias("_hi"))
-        .filter(F.col("_n") > hot_rows)
-        .withColumn("_res", F.least(F.lit(1 << 16), F.ceil(F.col("_n") / F.lit(hot_rows)) * 64))
-    )
+    stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
     n_hot = stats.count()
     if n_hot == 0:
         return None
-    stats = stats.select(*[F.col(k).alias(f"_s_{k}") for k in keys], "_n", "_lo", "_hi", "_res")
+    stats = stats.select(*[F.col(k).alias(f"_s_{k}") for k in keys])
     side = F.broadcast(stats) if n_hot <= BROADCAST_ROWS else stats
     cond = F.lit(True)
     for k in keys:
         cond = cond & df[k].eqNullSafe(F.col(f"_s_{k}"))
-    hist = (
-        df.join(side, cond)
-        .withColumn("_bin", _bin(F.col(clock)))
-        .groupBy(*[f"_s_{k}" for k in keys], "_lo", "_hi", "_res", "_bin")
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    w = Window.partitionBy(*[f"_s_{k}" for k in keys]).orderBy("_bin")
-    before = F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return hist.select(
-        *[f"_s_{k}" for k in keys], "_lo", "_hi", "_res", "_bin",
-        F.floor(F.coalesce(before, F.lit(0)) / F.lit(hot_rows)).cast("long").alias("_slice"),
-    )
+    thin = max(1, hot_rows // SAMPLED)
+    drawn = df.filter(F.pmod(F.xxhash64(*order), F.lit(thin)) == 0).join(side, cond)
+    each = max(1, hot_rows // thin)
+    positions = drawn.groupBy(*[f"_s_{k}" for k in keys]).agg(F.array_sort(F.collect_set(F.struct(*order))).alias("_p"))
+    picked = F.transform(F.sequence(F.lit(1), F.floor((F.size("_p") - 1) / each).cast("int")), lambda i: F.element_at("_p", i * each + 1))
+    return positions.filter(F.size("_p") > each).select(*[f"_s_{k}" for k in keys], picked.alias("_bounds"))
+
 
+def _slice_of(position: Column, bounds: Column) -> Column:
+    """Number of bounds at or before the position: every 64th bound first, then those behind it."""
+    before = lambda some: F.size(F.filter(some, lambda b: b <= position))
+    coarse = F.transform(F.sequence(F.lit(1), F.ceil(F.size(bounds) / _STRIDE).cast("int")), lambda i: F.element_at(bounds, (i - 1) * _STRIDE + 1))
+    skipped = F.greatest(before(coarse) - 1, F.lit(0)) * _STRIDE
+    return (skipped + before(F.slice(bounds, skipped + 1, F.lit(_STRIDE)))).cast("long")
 
-def _bin(clock: Column) -> Column:
-    span = (F.col("_hi") - F.col("_lo")).cast("double")
-    pos = (clock - F.col("_lo")).cast("double")
-    return F.when(span > 0, F.floor(pos / span * F.col("_res"))).otherwise(F.lit(0)).cast("long")
 
+def with_slices(df: DataFrame, keys: list[str], order: list[str] | str, hot_rows: int | None = None) -> DataFrame | None:
+    """``df`` with ``_slice`` (null for keys that are not hot), or None when no key is hot.
 
-def with_slices(df: DataFrame, keys: list[str], clock: str, hot_rows: int | None = None) -> DataFrame | None:
-    """``df`` with ``_slice`` (null for keys that are not hot), or None when no key is hot."""
+    The sliced rows are written once, so that scans upon scans read them instead of repeating what came before.
+    """
+    order = [order] if isinstance(order, str) else list(order)
     if hot_rows is None:
         size = plan_bytes(df)
         if size is not None and size <= SMALL_BYTES:
             return None
         hot_rows = HOT_ROWS
-    slices = hot_slices(df, keys, clock, hot_rows)
+    slices = hot_slices(df, keys, order, hot_rows)
     if slices is None:
         return None
-    bounds = slices.select(*[f"_s_{k}" for k in keys], "_lo", "_hi", "_res").distinct()
-    n_bins = slices.count()
-    hint = F.broadcast if n_bins <= BROADCAST_ROWS else (lambda x: x)
+    slices = cut_lineage(slices)
+    n_bounds = slices.agg(F.sum(F.size("_bounds")).alias("n")).first()["n"] or 0
+    hint = F.broadcast if n_bounds <= BROADCAST_ROWS else (lambda x: x)
     cond = F.lit(True)
     for k in keys:
         cond = cond & df[k].eqNullSafe(F.col(f"_s_{k}"))
-    binned = df.join(hint(bounds), cond, "left").withColumn("_bin", _bin(F.col(clock)))
-    binned = binned.drop(*[f"_s_{k}" for k in keys], "_lo", "_hi", "_res")
-    cond = binned["_bin"] == F.col("_b")
-    for k in keys:
-        cond = cond & binned[k].eqNullSafe(F.col(f"_s_{k}"))
-    lookup = slices.select(*[f"_s_{k}" for k in keys], F.col("_bin").alias("_b"), "_slice")
-    return binned.join(hint(lookup), cond, "left").drop("_bin", "_b", *[f"_s_{k}" for k in keys])
+    position = F.struct(*[df[c] for c in order])
+    sliced = df.join(hint(slices), cond, "left").withColumn("_slice", F.when(F.col("_bounds").isNotNull(), _slice_of(position, F.col("_bounds"))))
+    written = cut_lineage(sliced.select(*df.columns, "_slice"))
+    return written.select(*[F.col(f"`{c}`").alias(c) for c in written.columns])
 
 
 def _local(op: Scan, value: Column | None, fwd, back) -> Column:
@@ -170,9 +168,9 @@ def scan(df: DataFrame, keys: list[str], order: list[str], ops: dict[str, Scan],
          hot_rows: int | None = None) -> DataFrame:
     """Add one column per entry of ``ops``, evaluated along ``order`` within ``keys``.
 
-    ``order`` must be a total order; its first column is the numeric clock that cuts a hot key.
+    ``order`` must be a total order; a hot key is cut along it.
     """
-    sliced = with_slices(df, keys, order[0], hot_rows) if keys else None
+    sliced = with_slices(df, keys, order, hot_rows) if keys else None
     if sliced is None:
         fwd = Window.partitionBy(*keys).orderBy(*order)
         back = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])

@@ -31,6 +31,26 @@ def test_every_scan_kind(tables):
     assert rows(plain.select(*plain.columns)) == rows(sliced.select(*plain.columns))
 
 
+def test_slices_are_even_whatever_the_clock(spark):
+    """One far clock, and a key whose rows all share one clock."""
+    far = spark.range(2000).select(F.lit(0).alias("key"), F.when(F.col("id") == 7, F.lit(10**15)).otherwise(F.col("id")).alias("us"), F.col("id").alias("seq"))
+    tied = spark.range(2000).select(F.lit(1).alias("key"), F.lit(5).alias("us"), F.col("id").alias("seq"))
+    got = o.with_slices(far.unionByName(tied), ["key"], ["us", "seq"], 200).groupBy("key", "_slice").count().collect()
+    assert {r["key"] for r in got} == {0, 1}
+    for key in (0, 1):
+        sizes = [r["count"] for r in got if r["key"] == key]
+        assert len(sizes) >= 8 and max(sizes) <= 500
+
+
+def test_scans_upon_scans_stay_small(spark):
+    """The plan after several scans of a hot key does not repeat the ones before."""
+    d = spark.range(3000).select(F.lit(0).alias("key"), F.col("id").alias("us"), (F.col("id") % 7).alias("v"))
+    for i in range(3):
+        d = o.scan(d, ["key"], ["us"], {f"s{i}": o.running_sum(F.col("v"))}, hot_rows=300)
+    assert d._jdf.queryExecution().optimizedPlan().collectLeaves().size() <= 4
+    assert d.orderBy(F.desc("us")).first()["s2"] == sum(i % 7 for i in range(3000))
+
+
 def test_operators_on_a_hot_key(tables):
     d = hot_events(tables)
     left = d.filter("event_type = 'purchase'").select("key", "us", "event_id")
