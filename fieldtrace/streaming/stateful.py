@@ -1,7 +1,8 @@
 """Rules of :mod:`fieldtrace.operators.folds` as stateful streams.
 
-The same step function drives the batch fold and the stream. A key's state is the rule's JSON state, its
-clock, and the number of late rows; rows at or before the clock are counted and dropped.
+The same step function drives the batch fold and the stream. A key's state is the rule's JSON state, the full
+position (all order columns) of its last row, and the number of late rows. Rows before that position are counted and
+dropped; rows at the same position are ties and go on, so that it does not matter how triggers cut a tie.
 """
 
 from __future__ import annotations
@@ -19,31 +20,31 @@ from fieldtrace.operators.folds import Rule, _dump, _missing
 
 
 def stream_fold(df: DataFrame, keys: list[str], order: list[str], rule: Rule, out: str) -> DataFrame:
-    """Rows emitted by ``rule`` per key, with ``late_rows`` dropped so far. ``order[0]`` is the clock; ties
-    are allowed within a batch and ordered by the rest of ``order``.
+    """Rows emitted by ``rule`` per key, with ``late_rows`` dropped so far. ``order[0]`` is the clock; ties are
+    ordered by the rest of ``order``.
 
     A trigger's rows of one key are sorted in memory: bound them with the source's rate limit.
     """
     key_fields = [df.schema[k] for k in keys]
     out_type = T.StructType.fromDDL(out)
     full = T.StructType(key_fields + out_type.fields + [T.StructField("late_rows", T.LongType())])
-    clock = order[0]
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         blob, last, late = state.get if state.exists else (None, None, 0)
         value = json.loads(blob) if blob is not None else None
         pdf = pd.concat(list(batches)).sort_values(order, kind="stable")
+        places = list(pdf[order].itertuples(index=False, name=None))
         if last is not None:
-            fresh = pdf[pdf[clock] > last]
-            late += len(pdf) - len(fresh)
-            pdf = fresh
+            ready = [place >= tuple(json.loads(last)) for place in places]
+            late += len(pdf) - sum(ready)
+            pdf = pdf[ready]
         rows = []
         cols = [c for c in pdf.columns if c not in keys]
         for values in pdf[cols].itertuples(index=False, name=None):
             value, emitted = rule.step(value, {c: (None if _missing(v) else v) for c, v in zip(cols, values)})
             rows.extend(emitted)
         if len(pdf):
-            last = float(pdf[clock].max())
+            last = _dump([v.item() if hasattr(v, "item") else v for v in places[-1]])
         state.update((_dump(value), last, late))
         res = pd.DataFrame(rows, columns=out_type.names)
         for k, v in zip(keys, key):
@@ -51,7 +52,7 @@ def stream_fold(df: DataFrame, keys: list[str], order: list[str], rule: Rule, ou
         res["late_rows"] = late
         yield res.astype({f.name: object for f in out_type.fields if not isinstance(f.dataType, (T.DoubleType, T.FloatType))})[full.names]
 
-    return df.groupBy(*keys).applyInPandasWithState(run, full, "blob string, clock double, late bigint", "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy(*keys).applyInPandasWithState(run, full, "blob string, last string, late bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, path: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:

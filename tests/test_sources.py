@@ -113,6 +113,21 @@ def test_revisions_are_idempotent(spark, tmp_path):
     assert spark.read.parquet(log).agg(F.max("revision")).first()[0] == 3
 
 
+def test_triggers_may_cut_a_tie(spark, tmp_path):
+    """The same votes whether one trigger or four bring rows of one clock."""
+    ddl, got = "event_id bigint, hypothesis string, status string", []
+    for most in (100, 1):
+        src = str(tmp_path / f"src{most}")
+        for i, (us, event) in enumerate([(1, 1), (5, 2), (5, 3), (9, 4)]):
+            spark.createDataFrame([(1, us, event, us, "a")], "p int, us bigint, event_id bigint, d bigint, label string").coalesce(1).write.mode("append").parquet(src)
+            if i == 0:
+                schema = spark.read.parquet(src).schema
+        live = spark.readStream.schema(schema).option("maxFilesPerTrigger", most).parquet(src)
+        out = stateful.drain(stateful.stream_fold(live, ["p"], ["us", "event_id"], rules.consensus_rule("d", "label"), ddl), str(tmp_path / f"out{most}"))
+        got.append(rows(out))
+    assert got[0] == got[1] and len(got[0]) == 4 and all(r[-1] == 0 for r in got[0])
+
+
 def test_stream_equals_batch_and_counts_late_rows(spark, tmp_path):
     src = str(tmp_path / "in")
     d = spark.createDataFrame([(1, t, i, float(t), 1.0) for i, t in enumerate((0, 1, 2, 9))] + [(2, 1, 9, None, None)], "p int, t int, event_id int, x double, y double")
