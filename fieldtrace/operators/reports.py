@@ -241,6 +241,45 @@ def quadratic_flight(df: DataFrame, keys: list[str], t: str, y: str, w: str, rou
     return fit.filter(F.col("inliers") >= min_inliers)
 
 
+def _parabola(m, r0: str, r1: str, r2: str):
+    """Constant, slope and curvature from normal-equation sums (s0..s4 and the three right-hand sides)."""
+    s0, s1, s2, s3, s4, y0, y1, y2 = (F.col(c) for c in ("s0", "s1", "s2", "s3", "s4", r0, r1, r2))
+    det3 = lambda a, b, c: a[0] * (b[1] * c[2] - b[2] * c[1]) - a[1] * (b[0] * c[2] - b[2] * c[0]) + a[2] * (b[0] * c[1] - b[1] * c[0])
+    det = det3((s0, s1, s2), (s1, s2, s3), (s2, s3, s4))
+    parts = (det3((y0, s1, s2), (y1, s2, s3), (y2, s3, s4)), det3((s0, y0, s2), (s1, y1, s3), (s2, y2, s4)), det3((s0, s1, y0), (s1, s2, y1), (s2, s3, y2)))
+    return [F.try_divide(p, F.when(F.abs(det) > 1e-15, det)).alias(f"{m}{k}") for k, p in enumerate(parts)]
+
+
+def best_flights(peaks: DataFrame, keys: list[str], near: Column, gate: float = 1.5, min_inliers: int = 6, span_min: float = 0.4, lookback: float = 1.6, end_max: float = 2.0, tries: int = 8) -> DataFrame:
+    """WIN-45: the flight of each key into the rim, from ``peaks`` (keys, t, x, y, score) in rim-relative feet.
+
+    Each of the first ``tries`` peaks near the rim is an arrival; the peaks up to ``lookback`` before it are fitted by
+    x and y quadratic in time, where scores weigh both sides of the equations (so squares enter the sums). Three rounds
+    drop peaks farther than ``gate`` from the curve. A fit needs enough inliers, span and an end near the rim; the one
+    with the largest total score stays. All rounds are sums per (key, arrival): no key has to fit a task.
+    """
+    rows = peaks.select(*keys, "t", "x", "y", "score")
+    arrivals = top_k(peaks.filter(near).select(*keys, F.col("t").alias("t_arr")), keys, [F.col("t_arr")], tries, "_rank").drop("_rank").distinct()
+    d = rows.join(arrivals, keys).withColumn("u", F.col("t") - F.col("t_arr")).filter((F.col("u") <= 0.05) & (F.col("u") >= -lookback)).withColumn("_in", F.lit(True))
+    by = [*keys, "t_arr"]
+    u, w = F.col("u"), F.when(F.col("_in"), F.col("score") * F.col("score"))
+    total = lambda c: F.sum((w * c).cast(T.DecimalType(38, 18))).cast("double")
+    for _ in range(3):
+        power = [F.lit(1.0), u, u * u, u * u * u, u * u * u * u]
+        g = d.groupBy(*by).agg(F.count_if("_in").alias("_n"), *[total(p).alias(f"s{k}") for k, p in enumerate(power)],
+                               *[total(power[k] * F.col(v)).alias(f"{v}{k}") for v in ("x", "y") for k in range(3)])
+        fit = g.filter(F.col("_n") >= min_inliers).select(*by, *_parabola("cx", "x0", "x1", "x2"), *_parabola("cy", "y0", "y1", "y2"))
+        d = d.select(*by, "t", "x", "y", "score", "u").join(fit, by)
+        at = lambda c: F.col(f"{c}0") + F.col(f"{c}1") * u + F.col(f"{c}2") * u * u
+        d = d.withColumn("_in", F.coalesce(F.hypot(at("cx") - F.col("x"), at("cy") - F.col("y")) <= gate, F.lit(False)))
+    curve = [f"c{v}{k}" for v in "xy" for k in range(3)]
+    g = d.filter("_in").groupBy(*by, *curve).agg(F.count(F.lit(1)).alias("n_inliers"), F.min("t").alias("t_launch"), (F.max("t") - F.min("t")).alias("span"), F.sum(F.col("score").cast(T.DecimalType(38, 18))).cast("double").alias("energy"))
+    g = g.filter((F.col("n_inliers") >= min_inliers) & (F.col("span") >= span_min) & (F.hypot("cx0", "cy0") <= end_max))
+    dt = F.col("t_launch") - F.col("t_arr")
+    launch = [(F.col(f"{c}0") + F.col(f"{c}1") * dt + F.col(f"{c}2") * dt * dt).alias(f"launch_{c[1]}") for c in ("cx", "cy")]
+    return top_k(g.select(*by, "t_launch", "n_inliers", "span", "energy", *launch), keys, [F.desc("energy"), F.col("t_arr")], 1, "_rank").drop("_rank")
+
+
 def verdicts(traces: DataFrame, key: str, judge, out: str) -> DataFrame:
     """UDF-01: apply a caller's function (pandas frame in, frame of ``out`` out) to each batch of traces.
 

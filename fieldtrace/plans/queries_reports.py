@@ -165,6 +165,13 @@ def _(t: Tables):
     return reports.quadratic_flight(d, ["l_suppkey"], "t", "y", "w", 3, 15.0, 6)
 
 
+@query("win45_best_flight")
+def _(t: Tables):
+    """Best quadratic flight of each user's points (hours as seconds) into the origin; fitted against numpy in the tests."""
+    d = t.ev.select("user_id", (F.col("us") / F.lit(HOUR) - 470_000).alias("t"), (F.col("k") / 10.0 - 5).alias("x"), (F.col("cents") % 50 / 10.0 - 2).alias("y"), ((F.col("cents") % 97 + 1) / 97.0).alias("score"))
+    return reports.best_flights(d, ["user_id"], F.hypot("x", "y") <= 3, gate=5.0, min_inliers=6, span_min=1.0, lookback=400.0, end_max=5.0)
+
+
 @query("udf01_cached_verdicts", """WITH m AS (SELECT conv_id, count(*) AS turns, count_if(role = 'assistant') AS a FROM conversations GROUP BY 1)
 SELECT conv_id, CASE WHEN conv_id % 3 = 0 THEN 'cached' ELSE 'toy' END AS backend, CASE WHEN a * 2 >= turns THEN 'made_fg' ELSE 'unclear' END AS outcome FROM m""")
 def _(t: Tables):

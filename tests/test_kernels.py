@@ -123,6 +123,37 @@ def test_parabola_survives_an_outlier(spark):
     assert r["inliers"] == 12 and abs(r["a"] - 2.0) < 1e-4 and abs(r["c"] - 1.0) < 1e-4
 
 
+def test_best_flight_like_least_squares(spark):
+    rng = np.random.default_rng(5)
+    rows_ = []
+    for g in range(3):
+        t = np.arange(0, 1.3, 0.05)
+        x, y = 8 - 6 * t - 0.1 * (t - 1.2) ** 2, 20 * (1.2 - t) - 9 * (1.2 - t) ** 2
+        x, y = x - x[24] + rng.normal(0, 0.05, len(t)), y + rng.normal(0, 0.05, len(t))
+        y[5] += 15  # a stray peak
+        rows_ += [(g, float(a), float(b), float(c), float(s)) for a, b, c, s in zip(t, x, y, rng.uniform(0.3, 1, len(t)))]
+    d = spark.createDataFrame(rows_, "g int, t double, x double, y double, score double")
+    near = F.hypot("x", "y") <= 1.5
+    got = {r["g"]: r for r in reports.best_flights(d, ["g"], near, gate=2.0).collect()}
+
+    def fit(p, arrive):
+        p = p[(p[:, 0] <= arrive + 0.05) & (p[:, 0] >= arrive - 1.6)]
+        keep = np.ones(len(p), bool)
+        for _ in range(3):
+            basis = np.stack([np.ones(len(p)), p[:, 0] - arrive, (p[:, 0] - arrive) ** 2], 1)
+            w = p[:, 3] * keep
+            cx, cy = (np.linalg.lstsq(basis * w[:, None], p[:, k] * w, rcond=None)[0] for k in (1, 2))
+            keep = np.hypot(basis @ cx - p[:, 1], basis @ cy - p[:, 2]) <= 2.0
+        return p[keep, 3].sum(), int(keep.sum()), p[keep, 0].min(), np.hypot(cx[0], cy[0])
+
+    for g in range(3):
+        p = np.array([r[1:] for r in rows_ if r[0] == g])
+        tries = [(fit(p, a), a) for a in p[np.hypot(p[:, 1], p[:, 2]) <= 1.5, 0][:8]]
+        (energy, n, launch, _), arrive = max((f for f in tries if f[0][3] <= 2.0), key=lambda f: (f[0][0], -f[1]))
+        r = got[g]
+        assert (r["n_inliers"], r["t_launch"], r["t_arr"]) == (n, launch, arrive) and abs(r["energy"] - energy) < 1e-9
+
+
 def test_table_function(spark):
     reports.register_expand(spark)
     assert rows(spark.sql("select * from expand_span(0, 10, 5)")) == [(0, 0.0), (5, 0.5)]
