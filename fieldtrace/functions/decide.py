@@ -131,3 +131,20 @@ def thin(keys: list[Column], seed: int, drop_share: float) -> Column:
 def offense_cluster(new: Column, old: Column) -> Column:
     """FN-22: the current column, else the legacy court end (left is 0, right is 1)."""
     return F.coalesce(new, F.when(old == "left", 0).when(old == "right", 1))
+
+
+def round_binary(x: Column, digits: int) -> Column:
+    """FN-25: a double rounded to ``digits`` places by its exact binary value, ties to even (2.675 gives 2.67).
+
+    Spark's own rounding goes by the decimal text. Here the product with the power of ten is split into its nearest
+    double and what that misses, and the missing part decides what looks like a tie.
+    """
+    scale = float(10 ** digits)
+    high = lambda v: v * 134217729.0 - (v * 134217729.0 - v)  # noqa: E731  upper half of the digits of a double
+    s_hi = scale * 134217729.0 - (scale * 134217729.0 - scale)
+    p, x_hi, s_lo = x * scale, high(x), scale - s_hi
+    missed = ((x_hi * s_hi - p) + x_hi * s_lo + (x - x_hi) * s_hi) + (x - x_hi) * s_lo
+    below = F.floor(p).cast("double")
+    tie = (p - below) == 0.5
+    whole = F.when(tie & (missed > 0), below + 1).when(tie & (missed < 0), below).otherwise(F.rint(p))
+    return F.when(F.abs(p) < 2.0 ** 52, whole / scale).otherwise(x)

@@ -334,3 +334,10 @@ def _(t: Tables):
         F.col("l_quantity").alias("x1"), F.lit(0.0).alias("y1"), (F.col("l_quantity") + 8.0).alias("x2"), F.lit(10.0).alias("y2")))).alias("digits"))
     r = decide.read_digits(F.col("digits"), 0.7, 0.5, 2)
     return d.select("l_orderkey", r["number"].alias("number"), r["reason"].alias("reason"))
+
+
+@query("fn25_rounding")
+def _(t: Tables):
+    """Shares of a value at one and four places, as binary values round (tested against the interpreter's rounding)."""
+    v = F.col("cents") / 700.0
+    return t.ev.select("event_id", decide.round_binary(v, 1).alias("one"), decide.round_binary(v, 4).alias("four"))

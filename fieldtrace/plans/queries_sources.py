@@ -179,6 +179,14 @@ def _(t: Tables):
     return labels.entity_keyframes(t.ev.select("user_id", "us", "k"), ent, [], "user_id", "us", DAY)
 
 
+@query("src18_document")
+def _(t: Tables):
+    """One document of keyframes per user, by entity."""
+    boxes = t.ev.select("user_id", (F.col("k") % 5).alias("entity"), "us", "k")
+    frames = labels.entity_keyframes(boxes, boxes.select("user_id", "entity").distinct(), ["user_id"], "entity", "us", DAY)
+    return labels.keyframe_documents(frames, ["user_id"], "entity", ["us", "k"])
+
+
 @query("src20_cache_latest", f"WITH {EV} SELECT sha256(concat_ws(chr(0), event_type, CAST(k AS VARCHAR))) AS key, arg_max(cents, event_id) AS cents FROM ev GROUP BY 1")
 def _(t: Tables):
     c = t.ev.select(stage.content_key(F.col("event_type"), F.col("k")).alias("key"), "cents", "event_id")

@@ -114,6 +114,17 @@ def entity_keyframes(boxes: DataFrame, entities: DataFrame, keys: list[str], ent
     return min_gap_sample(wanted, [*keys, entity], [t], gap, hot_rows=hot_rows)
 
 
+def keyframe_documents(frames: DataFrame, keys: list[str], entity: str, columns: list[str]) -> DataFrame:
+    """SRC-18 sink: per key the JSON document {entity: [[...], ...]} of its keyframes, in order of the first column.
+
+    A document is one match; its keyframes are thinned by ``gap`` before, so it stays as long as the match.
+    """
+    row = F.array(*[F.col(c).cast("double") for c in columns])
+    lists = frames.groupBy(*keys, entity).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(columns[0]), row.alias("r")))), lambda x: x["r"]).alias("_f"))
+    entries = F.array_sort(F.collect_list(F.struct(F.col(entity).cast("string").alias("k"), F.col("_f").alias("v"))))
+    return lists.groupBy(*keys).agg(F.to_json(F.map_from_entries(entries)).alias("document"))
+
+
 def dense_by_appearance(rows: DataFrame, keys: list[str], ident: str, order: list[str], out: str, hot_rows: int | None = None) -> DataFrame:
     """SRC-23: dense ids by first appearance inside each key."""
     first = rows.groupBy(*keys, ident).agg(F.min(F.struct(*order)).alias("_f")).select(*keys, ident, *[F.col(f"_f.{c}").alias(f"_{c}") for c in order])

@@ -292,3 +292,15 @@ def test_chains_must_move(spark):
     near = spark.createDataFrame([(20,), (21,)], "id int")
     kept = folds.believed_chains(c, ["g"], near, 3, 45.0, 16.0)
     assert {r["id"] for r in kept.collect()} == {10, 11, 12, 13, 20, 21, 22, 23}
+
+
+def test_rounding_goes_by_the_binary_value(spark):
+    import random
+
+    from fieldtrace.functions.decide import round_binary
+
+    rng = random.Random(3)
+    values = [2.675, 2.5, 0.125, 1.005, -2.675, 0.0, 1e15 + 0.3, 0.5, 1.5] + [rng.randrange(-10**6, 10**6) / 1000 for _ in range(500)] + [rng.uniform(-100, 100) for _ in range(500)]
+    d = spark.createDataFrame([(v,) for v in values], "v double")
+    for r in d.select("v", round_binary(F.col("v"), 2).alias("a"), round_binary(F.col("v"), 1).alias("b"), round_binary(F.col("v"), 4).alias("c")).collect():
+        assert (r["a"], r["b"], r["c"]) == (round(r["v"], 2), round(r["v"], 1), round(r["v"], 4)), r["v"]

@@ -164,3 +164,8 @@ def test_confirmed_object_and_camera(spark):
                               "p int, t double, accepted boolean, reason string, h array<double>, feet array<struct<x:double,y:double>>")
     got = folds.fold(rules.camera_faults(d).drop("accepted", "reason"), ["p"], ["t"], rules.camera_rule(rules.CameraLimits(jump=3.0)), "t double, accepted boolean, reason string").orderBy("t").collect()
     assert [r["accepted"] for r in got] == [True, True, False, False, True, False] and got[-1]["reason"] == "no_lines"
+
+
+def test_keyframe_document(spark):
+    d = spark.createDataFrame([("g", 2, 5, 1.5), ("g", 1, 9, 3.0), ("g", 2, 1, 0.5)], "game string, entity int, t int, x double")
+    assert labels.keyframe_documents(d, ["game"], "entity", ["t", "x"]).first()["document"] == '{"1":[[9.0,3.0]],"2":[[1.0,0.5],[5.0,1.5]]}'
