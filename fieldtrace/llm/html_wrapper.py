@@ -338,12 +338,14 @@ def wrappers(pages: DataFrame) -> DataFrame:
     teach = reference.where(F.col("families") >= FAMILIES)
     slots = trees.join(teach.select("host", "reference", salts), ["host", "salt"]).mapInArrow(_slots, "host string, family long, slot int, text long")
     uses = slots.distinct().groupBy("host", "slot", "text").agg(F.count("*").alias("uses"))
-    uses = core.cut(uses.join(teach.select("host", "families"), "host"))
-    template = uses.groupBy("host", "slot").agg(F.sum("uses").alias("all"), F.count("*").alias("texts")).where(f"all >= {FAMILIES} AND texts <= {RECURRING} * all")
-    template = template.groupBy("host").agg(F.sort_array(F.collect_set("slot")).alias("template"))
+    uses = uses.join(teach.select("host", "families"), "host")
     # at most two texts can fill half of a slot each, so the lists are short
-    constants = uses.where(f"uses >= {FAMILIES} AND uses > {CONSTANT} * families").groupBy("host").agg(F.collect_set(F.struct("slot", "text")).alias("constants"))
-    return reference.select("host", "reference").join(template, "host", "left").join(constants, "host", "left")
+    constant = (F.col("uses") >= FAMILIES) & (F.col("uses") > CONSTANT * F.col("families"))
+    by_slot = uses.groupBy("host", "slot").agg(F.sum("uses").alias("all"), F.count("*").alias("texts"), F.collect_set(F.when(constant, F.col("text"))).alias("fixed"))
+    recurring = (F.col("all") >= FAMILIES) & (F.col("texts") <= RECURRING * F.col("all"))
+    found = by_slot.groupBy("host").agg(F.sort_array(F.collect_set(F.when(recurring, F.col("slot")))).alias("template"),
+                                        F.flatten(F.collect_list(F.transform("fixed", lambda t: F.struct(F.col("slot").alias("slot"), t.alias("text"))))).alias("constants"))
+    return reference.select("host", "reference").join(found, "host", "left")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
