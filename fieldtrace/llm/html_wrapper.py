@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtrace.llm import core
+from fieldtrace.llm import core, files
 from fieldtrace.llm.registry import query
 
 FAMILIES = 5  # a host with fewer teaches nothing
@@ -332,7 +332,10 @@ def content(page: str, reference: str | None = None, template=(), constants=())
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, reference, template, constants) of hosts; pages: (host, salt, data)."""
-    trees = core.cut(pages.select("host", "salt", "data").mapInArrow(_learn, "host string, salt long, shape string, size int, family long, nodes array<int>, texts array<long>"))
+    parsed = pages.select("host", "salt", "data").mapInArrow(_learn, "host string, salt long, shape string, size int, family long, nodes array<int>, texts array<long>")
+    folder = files.new_folder(pages.sparkSession, "trees")  # as Parquet, where the few shapes of a host cost little
+    parsed.write.parquet(folder)
+    trees = pages.sparkSession.read.parquet(folder)
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
     reference = core.cut(trees.groupBy("host").agg(F.max(F.struct("size", "shape")).alias("most"), F.count_distinct("family").alias("families")).select("host", "families", F.col("most.shape").alias("reference")))
     teach = reference.where(F.col("families") >= FAMILIES)
