@@ -252,6 +252,30 @@ def test_both_sides_predict_better_than_frequencies(spark):
     assert pseudo_likelihood.log_likelihood(weights, row, at).mean() > np.log(share[row[at]]).mean() + 0.1
 
 
+def test_the_rounds_of_the_query_train_every_token_once():
+    import pyarrow as pa
+
+    known = pseudo_likelihood.Vocabulary([b"a", b"b"])
+    texts = [b"a b", b"a", b"", b"b a b a b a b a b a b", b"a b c d"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([known.tokens(t) for t in texts], pa.binary())], names=["doc_id", "data"])
+    weights = pseudo_likelihood.start().tobytes()
+    trained = [sum(n for out in pseudo_likelihood._train(weights, turn % pseudo_likelihood.STRIDE)([batch]) for n in out.column("n").to_pylist()) for turn in range(pseudo_likelihood.ROUNDS)]
+    assert sum(trained) == 18
+
+
+def test_tokens_grow_with_the_vocabulary(spark):
+    rng = random.Random(20)
+    texts = [" ".join(f"v{rng.randrange(400_000)}" for _ in range(2000)) for _ in range(300)]
+    docs = docs_of(spark, list(enumerate(texts)))
+    words = pseudo_likelihood.vocabulary(docs)
+    assert len(words) > 767
+    rows = pseudo_likelihood.tokenised(docs, words)
+    weights = pseudo_likelihood.train(rows, n_words=len(words))
+    assert pseudo_likelihood.classes_of(weights) == pseudo_likelihood.classes_for(len(words)) > 32
+    got = pseudo_likelihood.score(rows, weights).collect()
+    assert len(got) == 300 and all(-30 < r["mean_log_likelihood"] < 0 for r in got)
+
+
 def test_probabilities_sum_to_one_and_gradients_descend():
     rng = np.random.default_rng(23)
     weights, row = pseudo_likelihood.start(), rng.integers(1, 1024, 40).astype(np.int32)
