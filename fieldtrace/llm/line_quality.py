@@ -3,8 +3,9 @@
 Method: normalised lines (A-Z lower-cased, white space collapsed) are hashed; per host the distinct documents of
 each hash are counted; lines above the host's limit go, and a document that loses almost all of its words is
 rejected. Copies of one document must not turn its own lines into boilerplate, so what is counted is not rows but
-distinct *families*: the family of a document is the smallest hash of three words in a row in its longest line (for that
-line itself: in the next longest), which copies and most near copies share.
+distinct *families*. Rows with the same set of lines are one document. The family of a document is the smallest hash of
+three words in a row in the longest of the lines that no other document of its host has, which most near copies share;
+where it has no such line, it is the set of its lines. Shared lines, long or short, so never decide on a family.
 
 Defined cases: null or empty text has no words and fails the base rule; a null host is a host of its own; rows
 repeated in full count once in the line counts (same family) and keep their own result row; in ``clean``, rows that share
@@ -24,11 +25,11 @@ from fieldtrace.llm.registry import query
 
 SYMBOLS = b"#*$%&|<>"
 MIN_DOCS = 100  # a line in fewer families of a host is never boilerplate
-SHARE = 0.02  # nor one in a smaller share of the host's documents
+SHARE = 0.02  # nor one in a smaller share of the host's families
 LEFT_WORDS, LEFT_SHARE = 10, 0.25  # a document with less left is depleted
 
 _FACTS = ("doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-          "lines array<long>, line_words array<int>, families array<long>")
+          "lines array<long>, line_words array<int>, line_families array<long>, line_set long")
 
 
 def _class_table(members: bytes) -> np.ndarray:
@@ -46,10 +47,17 @@ def line_hash(line: bytes) -> int:
     return xxhash.xxh3_64_intdigest(b" ".join(line.lower().split())) >> 1
 
 
-def family(line: bytes) -> int:
-    """Smallest hash of three words in a row: equal for lines that are equal but for a few words, most of the time."""
-    words = line.lower().split()
-    return min(xxhash.xxh3_64_intdigest(b" ".join(words[i:i + 3])) for i in range(max(1, len(words) - 2))) >> 1
+def line_families(lengths: np.ndarray, hashes: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    """Smallest hash of three words in a row of each line: equal for lines that are equal but for a few words, most of the time.
+
+    ``hashes`` are those of the lines' words end to end; a line of under three words has its own hash.
+    """
+    if not len(lengths):
+        return lines
+    begin = np.cumsum(lengths) - lengths
+    three = np.concatenate([core.rolling(hashes, 3) >> np.uint64(1), np.full(3, core.NO_ID, np.uint64)])
+    least = np.minimum.reduceat(three, np.stack([begin, begin + np.maximum(lengths - 2, 1)], 1).ravel())[::2]
+    return np.where(lengths > 2, least.astype(np.int64), lines)
 
 
 def repeated_words(lengths: np.ndarray, hashes: np.ndarray, k: int = 5) -> np.ndarray:
@@ -78,11 +86,10 @@ def _facts(batches):
         sizes = np.cumsum([0, *map(len, data)])
         raw = np.frombuffer(b"".join(data), np.uint8)
         count = lambda table: np.diff(np.concatenate([[0], np.cumsum(table[raw])])[sizes])
-        dup, lines, n_line, families = [], [], [], []
+        dup, lines, n_line, own_words = [], [], [], []
         for x in data:
             seen: set[bytes] = set()
             found: dict[int, int] = {}
-            longest: list[tuple[int, int, bytes]] = []
             again = 0
             for line in x.split(b"\n"):
                 n = len(line.split())
@@ -92,23 +99,25 @@ def _facts(batches):
                 seen.add(line)
                 h = line_hash(line)
                 if h not in found:
-                    longest = sorted([*longest, (-n, h, line)])[:2]
+                    own_words.append(line.lower().split())
                 found[h] = found.get(h, 0) + n
             dup.append(again)
             lines.append(list(found))
             n_line.append(list(found.values()))
-            own = [(h, family(line)) for _, h, line in longest]
-            other = own[-1][1] if own else 0
-            families.append([other if h == own[0][0] else own[0][1] for h in found])
+        ends = np.cumsum([0, *map(len, lines)])
+        flat = line_families(np.array([len(x) for x in own_words], np.int64), core.hash_words([w for x in own_words for w in x]),
+                             np.array([h for x in lines for h in x], np.int64))
+        sets = [xxhash.xxh3_64_intdigest(np.array(sorted(x), "<i8").tobytes()) >> 1 for x in lines]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("host"), pa.array(lengths), pa.array(count(_LETTER), pa.int64()), pa.array(count(_SYMBOL), pa.int64()),
              pa.array(dup, pa.int64()), pa.array(repeated_words(lengths, hashes)),
-             pa.array(lines, pa.list_(pa.int64())), pa.array(n_line, pa.list_(pa.int32())), pa.array(families, pa.list_(pa.int64()))],
-            names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words", "families"])
+             pa.array(lines, pa.list_(pa.int64())), pa.array(n_line, pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64())),
+             pa.array(sets, pa.int64())],
+            names=["doc_id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "line_words", "line_families", "line_set"])
 
 
 def line_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """Per document the base counts, its distinct line hashes with their words and families."""
+    """Per document the base counts, its distinct line hashes with their words and smallest hashes, and the hash of their set."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{host_col}`").cast("string").alias("host"),
                        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("data"))
@@ -116,15 +125,24 @@ def line_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def common_lines(facts: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """(host, line, n_docs, bound): the lines above their host's limit.
+    """(host, line, n_docs, bound): the lines above their host's limit, which is a share of its families.
 
-    Families are made distinct on (host, line, family) first, so that no task meets all documents of a hot line.
+    Documents and families are made distinct on (host, line, family) first, so that no task meets all documents of a hot line.
     """
     host = F.coalesce("host", F.lit(""))
-    exploded = facts.select(host.alias("host"), F.explode(F.arrays_zip("lines", "families")).alias("x")).select("host", F.col("x.lines").alias("line"), F.col("x.families").alias("family"))
-    counted = exploded.distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
-    sizes = facts.groupBy(host.alias("host")).agg(F.greatest(F.lit(float(min_docs)), F.count("*") * F.lit(share)).alias("bound"))
-    return counted.join(sizes, "host").where("n_docs > bound")
+    docs = facts.where(F.size("lines") > 0).groupBy(host.alias("host"), F.col("line_set")).agg(F.first(F.struct("lines", "line_words", "line_families")).alias("d")).select("host", "line_set", "d.*")
+    lines = docs.select("host", "line_set", F.explode(F.arrays_zip("lines", "line_words", "line_families")).alias("x")).select("host", "line_set", F.col("x.lines").alias("line"), F.struct(-F.col("x.line_words"), "x.lines", "x.line_families").alias("own"))
+    # a line that one document has comes out of the aggregate with that document
+    counted = lines.groupBy("host", "line").agg(F.count("*").alias("n"), F.first("line_set").alias("line_set"), F.first("own").alias("own"))
+    alone = counted.where("n = 1").groupBy("host", "line_set").agg(F.min("own").alias("own")).select("host", "line_set", F.col("own.line_families").alias("family"))
+    often = counted.where(F.col("n") > min_docs).select("host", "line")
+    family = docs.select("host", "line_set").join(alone, ["host", "line_set"], "left").select("host", "line_set", F.coalesce("family", "line_set").alias("family"))
+    empty = facts.where(F.size("lines") == 0).groupBy(host.alias("host")).agg(F.lit(1).alias("n"))
+    sizes = (family.select("host", "family").distinct().groupBy("host").agg(F.count("*").alias("n")).unionByName(empty.select("host", F.col("n").cast("long")))
+             .groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.sum("n") * F.lit(share)).alias("bound")))
+    # few lines are in that many documents: only these meet their documents' families
+    hot = lines.select("host", "line_set", "line").join(often, ["host", "line"]).join(family, ["host", "line_set"]).select("host", "line", "family")
+    return hot.distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs).join(sizes, "host").where("n_docs > bound")
 
 
 def losses(facts: DataFrame, common: DataFrame) -> DataFrame:
@@ -146,7 +164,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     facts = core.cut(line_facts(docs, id_col, text_col, host_col))
     lost = losses(facts, common_lines(facts, min_docs, share))
     left = F.col("n_words") - F.coalesce("lost_words", F.lit(0))
-    return (facts.drop("lines", "line_words", "families").withColumnRenamed("doc_id", "_id").join(lost, F.col("_id").eqNullSafe(F.col("doc_id")), "left").drop("doc_id")
+    return (facts.drop("lines", "line_words", "line_families", "line_set").withColumnRenamed("doc_id", "_id").join(lost, F.col("_id").eqNullSafe(F.col("doc_id")), "left").drop("doc_id")
             .withColumnRenamed("_id", "doc_id")
             .withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
             .withColumn("depleted", F.col("lost_words").isNotNull() & ((left < LEFT_WORDS) | (left < F.col("n_words") * LEFT_SHARE)))

@@ -416,3 +416,20 @@ def test_common_lines_go_and_copies_do_not_count(spark):
     assert kept[1]["kept"] and kept[1000]["kept"] and kept[2000]["depleted"] and not kept[2000]["kept"] and kept[2001]["kept"] and not kept[2002]["kept"]
     cleaned = {r["doc_id"]: r["text"] for r in line_quality.clean(docs, min_docs=20).collect()}
     assert banner not in cleaned[1] and cleaned[1000] == copy and 2000 not in cleaned
+
+
+def test_long_shared_notices_hide_no_common_line(spark):
+    rng = random.Random(38)
+    notices = [lorem(rng, 60), lorem(rng, 70)]
+    banner, copy = "Sign up for our letter today and again", [lorem(rng, 14) for _ in range(8)]
+    rows = [(i, "h", "\n".join([lorem(rng, 6), *notices, banner])) for i in range(150)]
+    for i in range(120):  # near copies: one word of one line is another
+        own = [x.split() for x in copy]
+        own[i % 2][5] = f"edit{i % 7}"
+        rows.append((1000 + i, "h", "\n".join(" ".join(x) for x in own)))
+    rows += [(5000 + i, "h", rows[0][2]) for i in range(4000)]  # copies raise no bound
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    common = {r["line"] for r in line_quality.common_lines(line_quality.line_facts(docs), min_docs=50, share=0.1).collect()}
+    assert common == {line_quality.line_hash(x.encode()) for x in [*notices, banner]}
+    kept = {r["doc_id"]: r["kept"] for r in line_quality.judge(docs, min_docs=50, share=0.1).collect()}
+    assert not any(kept[i] for i in range(150)) and all(kept[1000 + i] for i in range(120))
