@@ -1,10 +1,12 @@
 """Benchmark decontamination: item-sized windows of a text whose SimHash is near an item's, confirmed exactly.
 
 Method: an item and each window of its number of words get a 64-bit SimHash over their weighted 5-word shingles (a
-shingle weighs less the more items share it). The item fingerprints lie in four tables, one per 16-bit block, each
+shingle weighs less the more items of the whole benchmark share it; one that no item has weighs as much as the average of
+those of its window that some item has). The item fingerprints lie in four tables, one per 16-bit block, each
 under all values within 4 bits of its block: of two fingerprints at most 19 bits apart, one block differs in at most
 4 bits, so every fingerprint within the radius is found. Candidates are verified by exact weighted Jaccard
-similarity of their shingle multisets, at 0.8 or more.
+similarity of their shingle multisets, at 0.8 or more; there a shingle that the item does not have weighs as much as the
+average of the item's own, so a changed word costs the same whether the item stands once or often in the benchmark.
 
 A window that shares no shingle with any item has similarity 0, so fingerprints are made only for windows that hold
 at least one; this loses nothing and leaves clean text at the price of one set lookup per word. Items go to the
@@ -67,14 +69,21 @@ def weighted_jaccard(a: dict, b: dict, weight) -> float:
 
 
 class Index:
-    """Items of one block: shingle weights and, per item length, four block tables over all near values."""
+    """Items of one block: shingle weights and, per item length, four block tables over all near values.
 
-    def __init__(self, items: list[tuple[int, bytes]]):
-        rows = [(i, core.rolling(core.hash_words(w), K), len(w)) for i, w in ((i, words(t)) for i, t in items) if len(w) >= K]
+    An item is (id, text), or (id, text, its shingles that other items have too, with the number of items) where the
+    benchmark has further items than these.
+    """
+
+    def __init__(self, items: list[tuple]):
+        rows = [(i, core.rolling(core.hash_words(w), K), len(w)) for i, w in ((x[0], words(x[1])) for x in items) if len(w) >= K]
         self.ids = [r[0] for r in rows]
         self.shingles = [Counter(r[1].tolist()) for r in rows]
         spread = Counter(s for c in self.shingles for s in c)
+        for x in items:
+            spread.update({s: n - spread[s] for s, n in x[2]} if len(x) > 2 else {})
         self.weights = {s: max(1, round(SCALE / n)) for s, n in spread.items()}
+        self.averages = [sum(n * self.weights[s] for s, n in c.items()) / c.total() for c in self.shingles]
         self.known = np.array(sorted(spread), np.uint64)
         self.known_weights = np.array([self.weights[s] for s in self.known.tolist()], np.int32)
         self.maybe = np.zeros(1 << 20, bool)
@@ -99,11 +108,16 @@ class Index:
         return at[self.known[place] == hashes[at]] if len(self.known) else at[:0]
 
     def weigh(self, hashes: np.ndarray) -> np.ndarray:
-        """A shingle that no item has weighs as much as one that a single item has."""
+        """Weights of shingles, 0 where no item has it."""
         if not len(self.known):
-            return np.full(len(hashes), SCALE, np.int32)
+            return np.zeros(len(hashes), np.int32)
         place = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
-        return np.where(self.known[place] == hashes, self.known_weights[place], SCALE).astype(np.int32)
+        return np.where(self.known[place] == hashes, self.known_weights[place], 0).astype(np.int32)
+
+    def similarity(self, item: int, window: Counter) -> float:
+        """Weighted Jaccard of an item and a window; a shingle that the item does not have weighs as its average one."""
+        own, average = self.shingles[item], self.averages[item]
+        return weighted_jaccard(own, window, lambda s: self.weights[s] if s in own else average)
 
     def near(self, length: int, prints: np.ndarray):
         """(window, item, distance) of all pairs within the radius, by the block tables of one item length."""
@@ -132,20 +146,23 @@ class Index:
         for group in np.split(hits, cuts):
             lo, hi = max(0, int(group[0]) - longest), min(len(hashes), int(group[-1]) + longest)
             own = hashes[lo:hi]
-            sums = np.zeros((len(own) + 1, 64), np.int32)
-            np.cumsum(signs(own, self.weigh(own)), axis=0, out=sums[1:])
-            held = np.zeros(len(own) + 1, np.int64)
-            held[group - lo + 1] = 1
-            held = np.cumsum(held)
+            weights = self.weigh(own)
+            sums, new = np.zeros((len(own) + 1, 64), np.int64), np.zeros((len(own) + 1, 64), np.int64)
+            np.cumsum(signs(own, weights), axis=0, out=sums[1:])
+            np.cumsum(signs(own, weights == 0), axis=0, out=new[1:])
+            held, heavy = np.concatenate([[0], np.cumsum(weights > 0)]), np.concatenate([[0], np.cumsum(weights, dtype=np.int64)])
             for length in self.tables:
                 size = min(length, n_words) - K + 1  # shingles of the window
                 starts = np.arange(max(0, len(own) - size + 1))
                 starts = starts[held[starts + size] > held[starts]]
                 if not len(starts):
                     continue
-                window, item, distance = self.near(length, fingerprint(sums[starts + size] - sums[starts]))
+                ends = starts + size
+                # known shingles by their weights, the others by the average of these, times the number of known ones
+                both = (sums[ends] - sums[starts]) * (held[ends] - held[starts])[:, None] + (new[ends] - new[starts]) * (heavy[ends] - heavy[starts])[:, None]
+                window, item, distance = self.near(length, fingerprint(both))
                 for w, i, d in zip(starts[window].tolist(), item.tolist(), distance.tolist(), strict=True):
-                    got = weighted_jaccard(self.shingles[i], Counter(own[w:w + size].tolist()), lambda s: self.weights.get(s, SCALE))
+                    got = self.similarity(i, Counter(own[w:w + size].tolist()))
                     if got >= SIMILARITY and (i not in best or (got, -w) > (best[i][4], -best[i][1])):
                         best[i] = (self.ids[i], lo + w, size + K - 1, d, got)
         return [best[i] for i in sorted(best)]
@@ -185,10 +202,27 @@ def _search(items):
     return run
 
 
+def _shingles(batches):
+    """The distinct shingles of each item."""
+    for batch in core.slices(batches):
+        own = [np.unique(core.rolling(core.hash_words(words(x)), K)).view(np.int64) for x in core.blobs(batch)]
+        rows = np.repeat(np.asarray(batch.column("row"), np.int64), [len(x) for x in own])
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(np.concatenate(own), pa.int64())], names=["row", "shingle"])
+
+
+def shared(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(item_id, data, others): items, and those of their shingles that further items have, with the number of items of the whole benchmark."""
+    items = core.cut(benchmark.where(F.col(f"`{item_text}`").isNotNull() & F.col(f"`{item_col}`").isNotNull())
+                     .select(F.monotonically_increasing_id().alias("row"), F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").cast("binary").alias("data")))
+    each = items.mapInArrow(_shingles, "row long, shingle long")
+    often = each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    others = each.join(often, "shingle").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("shingle", "n"))).alias("others"))
+    return items.join(others, "row", "left").orderBy("row").select("item_id", "data", "others")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, first_word, n_words, distance, similarity): the best window of each item in each document."""
-    items = ((r[0], bytes(r[1])) for r in benchmark.where(F.col(f"`{item_text}`").isNotNull() & F.col(f"`{item_col}`").isNotNull())
-             .select(F.col(f"`{item_col}`").cast("long"), F.col(f"`{item_text}`").cast("string").cast("binary")).toLocalIterator())
+    items = ((r[0], bytes(r[1]), tuple((x[0] % (1 << 64), x[1]) for x in r[2] or ())) for r in shared(benchmark, item_col, item_text).toLocalIterator())
     rows, found = core.texts(docs, id_col, text_col), None
     schema = "doc_id long, item_id long, first_word long, n_words long, distance long, similarity double"
     while (block := tuple(itertools.islice(items, ITEMS))) or found is None:

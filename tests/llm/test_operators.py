@@ -116,6 +116,26 @@ def test_leaks_like_brute_force(spark):
     assert got == want and len(want) > 5
 
 
+@pytest.mark.parametrize("block", [1000, 5])
+def test_items_that_share_text_leak_like_others(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "ITEMS", block)
+    rng = random.Random(6)
+    text = lambda n: lorem(rng, n, 100_000)
+    twice, thrice, template = text(60), text(60), text(30)
+    templated = [f"{template} {text(30)}" for _ in range(8)]
+    items = [(0, twice), *[(10 + k, t) for k, t in enumerate(templated)], (1, twice), (2, thrice), (3, thrice), (4, thrice)]
+
+    def leak(item, at):
+        w = item.split()
+        w[at] = "changed"
+        return f"{text(50)} {' '.join(w)} {text(50)}"
+
+    texts = [(0, leak(twice, 30)), (1, leak(thrice, 30)), (2, leak(templated[3], 10)), (3, f"{text(50)} {template} {text(80)}")]
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.leaks(docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(0, 0), (0, 1), (1, 2), (1, 3), (1, 4), (2, 13)}
+    assert all(abs(got[k] - 51 / 61) < 1e-9 for k in got if k[0] < 2)
+
+
 def test_every_fingerprint_within_the_radius_is_found():
     rng = np.random.default_rng(2)
     index = decontaminate.Index([(0, b" ".join(b"a%d" % i for i in range(20)))])
