@@ -120,9 +120,9 @@ def _lang_codes(batch):
     return names, np.array([code[x] for x in lang], np.int64)
 
 
-def _blocks(bounds):
+def _blocks(bounds, most: int):
     def run(batches):
-        for batch in core.slices(batches, most=SLICE):
+        for batch in core.slices(batches, most=most):
             names, code = _lang_codes(batch)
             ids, words, piece, lang = tokens(core.blobs(batch), code)
             if not len(ids):
@@ -164,44 +164,47 @@ def bounds_of(rows: DataFrame, size: int) -> list[tuple[bytes, tuple[bytes, ...]
     return sorted({(bytes(r["lang"]), tuple(map(bytes, r["words"]))) for r in dealt.mapInArrow(_first, "lang binary, words array<binary>").collect()})[1:]  # one row per range
 
 
-def _runs(table: pa.Table) -> pa.Table:
-    """Counts of all phrases of a range, whose windows lie side by side in prefix order. ``whole``: no other range has
-    windows of this phrase. Level 0 is the lang itself."""
-    blocks = [unpacked(x) for x in table.column("data").to_pylist()]
-    words, langs = (sorted(set().union(*[b[k] for b in blocks])) for k in (3, 4))
-    rank, code = {w: i + 1 for i, w in enumerate(words)}, {x: i for i, x in enumerate(langs)}
-    cols, counts = [], []
-    for lang, own, count, known, names in blocks:
-        to = np.fromiter((rank[w] for w in known), np.int64, len(known))
-        cols.append([np.array([code[x] for x in names])[lang], *np.concatenate([[0], to])[own]])
-        counts.append(count.astype(np.int64))
-    cols, count = sort_sum([np.concatenate(c) for c in zip(*cols, strict=True)], np.concatenate(counts))
-    out = ([], [], [], [])
-    new = np.zeros(len(count), bool)
-    new[0] = True
-    for level in range(LONGEST + 1):
-        new[1:] |= cols[level][1:] != cols[level][:-1]
-        start = np.flatnonzero(new)
-        f = np.add.reduceat(count, start)
-        whole = np.ones(len(start), bool)
-        whole[[0, -1]] = False
-        kept = np.flatnonzero(((f >= LEAST) | ~whole) & ((cols[level][start] > 0) | (level == 0)))
-        at = start[kept]
-        out[0].extend(langs[i] for i in cols[0][at].tolist())
-        out[1].extend([words[i - 1] for i in row] for row in np.array([c[at] for c in cols[1:level + 1]]).reshape(level, len(at)).T.tolist())
-        out[2].extend(f[kept].tolist())
-        out[3].extend(whole[kept].tolist())
-    return pa.table([pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.binary())), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_())], names=["lang", "words", "f", "whole"])
-
-
-def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, words, f): phrases of one to five words that occur ``LEAST`` times; no words: all word occurrences."""
+def _runs(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Counts of all phrases of a range, whose windows lie side by side in prefix order. ``whole``: no other range has
+        windows of this phrase. Level 0 is the lang itself."""
+        blocks = [unpacked(x) for x in table.column("data").to_pylist()]
+        words, langs = (sorted(set().union(*[b[k] for b in blocks])) for k in (3, 4))
+        rank, code = {w: i + 1 for i, w in enumerate(words)}, {x: i for i, x in enumerate(langs)}
+        cols, counts = [], []
+        for lang, own, count, known, names in blocks:
+            to = np.fromiter((rank[w] for w in known), np.int64, len(known))
+            cols.append([np.array([code[x] for x in names])[lang], *np.concatenate([[0], to])[own]])
+            counts.append(count.astype(np.int64))
+        cols, count = sort_sum([np.concatenate(c) for c in zip(*cols, strict=True)], np.concatenate(counts))
+        out = ([], [], [], [])
+        new = np.zeros(len(count), bool)
+        new[0] = True
+        for level in range(LONGEST + 1):
+            new[1:] |= cols[level][1:] != cols[level][:-1]
+            start = np.flatnonzero(new)
+            f = np.add.reduceat(count, start)
+            whole = np.ones(len(start), bool)
+            whole[[0, -1]] = False
+            kept = np.flatnonzero(((f >= least) | ~whole) & ((cols[level][start] > 0) | (level == 0)))
+            at = start[kept]
+            out[0].extend(langs[i] for i in cols[0][at].tolist())
+            out[1].extend([words[i - 1] for i in row] for row in np.array([c[at] for c in cols[1:level + 1]]).reshape(level, len(at)).T.tolist())
+            out[2].extend(f[kept].tolist())
+            out[3].extend(whole[kept].tolist())
+        return pa.table([pa.array(out[0], pa.binary()), pa.array(out[1], pa.list_(pa.binary())), pa.array(out[2], pa.int64()), pa.array(out[3], pa.bool_())], names=["lang", "words", "f", "whole"])
+
+    return run
+
+
+def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST) -> DataFrame:
+    """(lang, words, f): phrases of one to five words that occur ``least`` times; no words: all word occurrences."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")  # batches of long texts have to fit a worker
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary").alias("data"))
     bounds = spark.sparkContext.broadcast(bounds_of(rows, core.input_bytes(docs, text_col)))  # about 50 bytes for each 16 MB of text
-    runs = core.cut(rows.mapInArrow(_blocks(bounds), "part long, data binary").groupBy("part").applyInArrow(_runs, "lang binary, words array<binary>, f long, whole boolean"))
-    split = runs.where("NOT whole").groupBy("lang", "words").agg(F.sum("f").alias("f")).where(F.expr(f"f >= {LEAST} OR size(words) = 0"))
+    runs = core.cut(rows.mapInArrow(_blocks(bounds, SLICE), "part long, data binary").groupBy("part").applyInArrow(_runs(least), "lang binary, words array<binary>, f long, whole boolean"))
+    split = runs.where("NOT whole").groupBy("lang", "words").agg(F.sum("f").alias("f")).where(F.expr(f"f >= {least} OR size(words) = 0"))
     return runs.where("whole").select("lang", "words", "f").unionByName(split).select(F.col("lang").cast("string"), F.col("words").cast("array<string>"), "f")
 
 
@@ -333,9 +336,9 @@ def scanned(stream: DataFrame, give) -> DataFrame:
     return stream.mapInArrow(_scan(stream.sparkSession.sparkContext.broadcast((opened, late)), give), give.SCHEMA)
 
 
-def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", top: int = TOP) -> DataFrame:
-    """The ``top`` phrases of each lang that lie in no longer candidate of the same count, best first."""
-    left = scanned(in_order(phrase_counts(docs, text_col, lang_col), suffix=False), _Left())
+def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, top: int = TOP) -> DataFrame:
+    """The ``top`` phrases of each lang that occur ``least`` times and lie in no longer candidate of the same count, best first."""
+    left = scanned(in_order(phrase_counts(docs, text_col, lang_col, least), suffix=False), _Left())
     best = scanned(in_order(left, suffix=True), _Scores(top))
     order = [F.desc("score"), F.desc("a"), "phrase"]
     some = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang", F.floor(F.col("range") / FAN)).orderBy(*order))).where(F.col("rank") <= top)

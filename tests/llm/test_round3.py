@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldtrace.llm import collocations, registry, whitening
+from fieldtrace.llm import collocations, heavy_light, registry, whitening
 from tools.check_oracle import compare
 
 
@@ -124,11 +124,9 @@ def brute_collocations(rows, least, top):
 def small(monkeypatch):
     monkeypatch.setattr(collocations, "SLICE", 3000)
     monkeypatch.setattr(collocations, "EACH", 2000)
-    monkeypatch.setattr(collocations, "LEAST", 4)
 
 
-def test_collocations_like_brute_force(spark, small, monkeypatch):
-    """Limits are lowered inside the functions that the driver runs; tasks get them through the same module."""
+def test_collocations_like_brute_force(spark, small):
     rng = random.Random(8)
     words = [*"the of a to and In on".split(), *(f"w{i}" for i in range(30)), "é", "z\x01"]
     rows = []
@@ -137,25 +135,11 @@ def test_collocations_like_brute_force(spark, small, monkeypatch):
         rows.append((i, text + (" new york city hall annex x" if i % 3 else ""), rng.choice(["en", "de", None])))
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     cols = "lang rank phrase a l r n score".split()
-    # counted here in this process, so that the lowered limit holds in all functions
-    with_limit = counted_here(spark, docs, monkeypatch)
-    got = sorted(tuple(r[c] for c in cols) for r in with_limit.collect())
+    got = sorted(tuple(r[c] for c in cols) for r in collocations.collocations(docs, least=4, top=50).collect())
     assert got == brute_collocations([(r[1], r[2]) for r in rows], 4, 50)
     assert len(got) > 60
 
 
-def counted_here(spark, docs, monkeypatch):
-    least = collocations.LEAST
-    run = collocations._runs
-
-    def runs(table):
-        collocations.LEAST = least
-        return run(table)
-
-    monkeypatch.setattr(collocations, "_runs", runs)
-    return collocations.collocations(docs, top=50)
-
-
 def test_packed_windows_come_back():
     rng = np.random.default_rng(5)
     words = sorted({f"w{i}".encode() for i in range(70_000)})
@@ -173,13 +157,94 @@ def test_scores_pass_64_bits():
 
 def test_collocation_cases(spark, small):
     rows = [(1, "a b " * 50, "en"), (1, "a b " * 50, "en"), (None, "A\tB, c", None), (2, None, "en"), (3, "", None), (4, " \n.,", "en"), (5, "q " * 200_000, "und")]
-    out = {(r["lang"], r["phrase"]): r for r in collocations.collocations(clash(spark.createDataFrame(rows, "doc_id long, text string, lang string"))).collect()}
-    assert ("en", "a b a b a") in out and ("en", "a b") in out and out["en", "a b"]["a"] == 100 and out["en", "a b"]["n"] == 200
+    out = {(r["lang"], r["phrase"]): r for r in collocations.collocations(clash(spark.createDataFrame(rows, "doc_id long, text string, lang string")), least=3).collect()}
+    assert ("en", "a b") in out and out["en", "a b"]["a"] == 100 and out["en", "a b"]["n"] == 200
     assert out["und", "q q"]["a"] == 199_999 and out["und", "q q"]["n"] == 200_003
     assert collocations.collocations(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op12_collocations"])
+# --- 13
+
+def brute_join(rows):
+    sets = {}
+    for i, text in rows:
+        w = (text or "").lower().split()
+        if i is not None:
+            sets[i] = {tuple(w[j:j + 4]) for j in range(max(1, len(w) - 3))} if w else set()
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b]:
+                both = len(sets[a] & sets[b])
+                if 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                    p, q = sorted((root(a), root(b)))
+                    parent[q] = p
+    return {i: (len(s), root(i)) for i, s in sets.items()}
+
+
+def joined(docs):
+    return {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in heavy_light.join_components(docs).collect()}
+
+
+def test_needed_and_subsets():
+    for a in range(1, 60):
+        for b in range(a, 60):
+            c = heavy_light.needed(a, b)
+            assert 100 * c >= 85 * (a + b - c) and 100 * (c - 1) < 85 * (a + b - c + 1)
+            if c <= a:  # a link is possible: both enumerate the size, and the rare parts must meet
+                assert c in heavy_light.subset_sizes(a, 60) and c in heavy_light.subset_sizes(b, 60)
+                assert c > a - heavy_light.prefix(a) and c > b - heavy_light.prefix(b)
+    assert heavy_light.boundary({5: 10, 9: 10, 30: 5}) >= 9 and heavy_light.boundary({20: 1000}) < 20
+
+
+@pytest.mark.parametrize("most,short,block", [(None, 32, 4 << 20), (0, 32, 4 << 20), (None, 2, 3000), (20, 2, 2000)])
+def test_join_like_brute_force(spark, monkeypatch, most, short, block):
+    if most is not None:
+        monkeypatch.setattr(heavy_light, "boundary", lambda sizes: most)
+    monkeypatch.setattr(heavy_light, "SHORT", short)
+    monkeypatch.setattr(heavy_light, "BLOCK_BYTES", block)
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(400)}"
+    rows = []
+    for size in [4, 6, 8, 9, 10, 12, 13, 15, 16, 17, 20, 24, 30, 45, 80, 120] * 2:
+        base = [word() for _ in range(size + 3)]
+        for k in range(8):
+            copy = list(base)
+            for _ in range(rng.randrange(3) if k else 0):
+                at = rng.choice([0, len(copy) - 1, rng.randrange(len(copy))])
+                if rng.random() < 0.5:
+                    copy[at] = word()
+                else:
+                    copy[at:at] = [word()]
+            rows.append((len(rows), " ".join(copy)))
+    centre = [word() for _ in range(150)]
+    for k in range(40):  # linked with the centre, mostly not with one another; the centre has a high number
+        rows.append((len(rows), " ".join(centre + [f"tail{k}_{j}" for j in range(20)])))
+    rows.append((len(rows), " ".join(centre)))
+    common = [word() for _ in range(30)]
+    for k in range(40):  # a shared passage links nothing
+        rows.append((len(rows), " ".join([word() for _ in range(60)] + common)))
+    rng.shuffle(rows)
+    assert joined(spark.createDataFrame(rows, "doc_id long, text string")) == brute_join(rows)
+
+
+def test_join_cases(spark):
+    long = " ".join(f"w{i % 977}" for i in range(60_000))
+    rows = [(1, "A b C d e"), (2, "a B c D e"), (3, None), (4, ""), (5, " \n\t"), (6, "a b"), (7, "a b"), (8, "b a"), (2, "a B c D e"), (None, "a b"), (None, None), (9, long), (10, long)]
+    docs = clash(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((tuple(r) for r in heavy_light.join_components(docs).collect()), key=str)
+    want = {1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5), 6: (1, 6), 7: (1, 6), 8: (1, 8), 9: (977, 9), 10: (977, 9), None: (1, None)}
+    assert got == sorted([*((i, *v) for i, v in want.items()), (2, 2, 1), (None, 0, None)], key=str)
+    assert heavy_light.join_components(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op12_collocations", "op13_heavy_light"])
 def test_against_sql(spark, sf_dir, name):
     registry.load()
     con = duckdb.connect()
