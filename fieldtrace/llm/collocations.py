@@ -35,7 +35,7 @@ from fieldtrace.llm.registry import query
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 SLICE = 8 << 20  # bytes of text that a task sorts at a time
-EACH = 16 << 20  # bytes of text whose windows one range takes, on average
+EACH = 8 << 20  # bytes of text whose windows one range takes, on average
 SAMPLE = 200_000  # bytes of text per range from which the ranges' bounds are told
 THIN = 37  # of the sampled text's windows, every so many-th tells a bound
 FAN = 64  # ranges whose best phrases are ranked together before the last ranking
@@ -55,7 +55,7 @@ def tokens(data: list[bytes], langs: np.ndarray):
     np.cumsum(stop - start, out=offsets[1:])
     coded = pa.BinaryArray.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(buf[word])]).dictionary_encode()
     order = np.asarray(pc.sort_indices(coded.dictionary))
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(1, len(order) + 1)
     ends = np.cumsum([len(x) + 1 for x in data])
     return rank[np.asarray(coded.indices)], coded.dictionary.take(pa.array(order)).to_pylist(), np.cumsum(end)[start], langs[np.searchsorted(ends, start, "right")]
@@ -82,13 +82,16 @@ def sort_sum(cols: list[np.ndarray], count: np.ndarray):
         keys[-1] = (keys[-1] << np.uint64(bits)) | c.astype(np.uint64)
         used += bits
     order = np.lexsort(keys[::-1])
-    new = np.ones(len(order), bool)
-    new[1:] = False
+    new = np.zeros(len(order), bool)
+    new[:1] = True
     for k in keys:
         k = k[order]
         new[1:] |= k[1:] != k[:-1]
+    del keys, k
     at = np.flatnonzero(new)
-    return [c[order[at]] for c in cols], np.add.reduceat(count[order], at) if len(at) else count[:0]
+    total = np.add.reduceat(count[order], at) if len(at) else count[:0]
+    order = order[at]
+    return [c[order] for c in cols], total
 
 
 def packed(cols: list[np.ndarray], count: np.ndarray, words: list[bytes], langs: list[bytes]) -> bytes:
@@ -117,7 +120,7 @@ def _lang_codes(batch):
     lang = [x.encode() for x in batch.column("lang").to_pylist()]
     names = sorted(set(lang))
     code = {x: i for i, x in enumerate(names)}
-    return names, np.array([code[x] for x in lang], np.int64)
+    return names, np.array([code[x] for x in lang], np.int32)
 
 
 def _blocks(bounds, most: int):
@@ -127,7 +130,7 @@ def _blocks(bounds, most: int):
             ids, words, piece, lang = tokens(core.blobs(batch), code)
             if not len(ids):
                 continue
-            cols, count = sort_sum([lang, *windows(ids, piece)], np.ones(len(ids), np.int64))
+            cols, count = sort_sum([lang, *windows(ids, piece)], np.ones(len(ids), np.int32))
             of = lambda i: (names[cols[0][i]], tuple(words[c[i] - 1] if c[i] else b"" for c in cols[1:]))  # noqa: B023, E731
             cuts = [0, *[bisect.bisect_left(range(len(count)), b, key=of) for b in bounds.value], len(count)]
             parts = [(k, a, b) for k, (a, b) in enumerate(pairwise(cuts)) if a < b]
@@ -168,15 +171,24 @@ def _runs(least: int):
     def run(table: pa.Table) -> pa.Table:
         """Counts of all phrases of a range, whose windows lie side by side in prefix order. ``whole``: no other range has
         windows of this phrase. Level 0 is the lang itself."""
-        blocks = [unpacked(x) for x in table.column("data").to_pylist()]
-        words, langs = (sorted(set().union(*[b[k] for b in blocks])) for k in (3, 4))
+        words, langs = set(), set()
+        for blob in table.column("data"):
+            *_, known, names = unpacked(blob.as_py())
+            words.update(known)
+            langs.update(names)
+        words, langs = sorted(words), sorted(langs)
         rank, code = {w: i + 1 for i, w in enumerate(words)}, {x: i for i, x in enumerate(langs)}
         cols, counts = [], []
-        for lang, own, count, known, names in blocks:
-            to = np.fromiter((rank[w] for w in known), np.int64, len(known))
-            cols.append([np.array([code[x] for x in names])[lang], *np.concatenate([[0], to])[own]])
+        for blob in table.column("data"):  # one at a time: together they take more than the numbers made of them
+            lang, own, count, known, names = unpacked(blob.as_py())
+            to = np.zeros(len(known) + 1, np.int32)
+            to[1:] = np.fromiter((rank[w] for w in known), np.int32, len(known))
+            cols.append([np.array([code[x] for x in names], np.int32)[lang], *to[own]])
             counts.append(count.astype(np.int64))
-        cols, count = sort_sum([np.concatenate(c) for c in zip(*cols, strict=True)], np.concatenate(counts))
+        del rank
+        cols, count = [np.concatenate(c) for c in zip(*cols, strict=True)], np.concatenate(counts)
+        del counts
+        cols, count = sort_sum(cols, count)
         out = ([], [], [], [])
         new = np.zeros(len(count), bool)
         new[0] = True
