@@ -36,7 +36,7 @@ from fieldtrace.llm.registry import query
 LONGEST, LEAST, TOP = 5, 100, 2000
 SLICE = 8 << 20  # bytes of text that a task sorts at a time
 EACH = 8 << 20  # bytes of text whose windows one range takes, on average
-SAMPLE = 200_000  # bytes of text per range from which the ranges' bounds are told
+SAMPLE, LEAST_SAMPLE = 1 / 40, 2 << 20  # share of the documents, and bytes of text at least, that tell the ranges' bounds
 THIN = 37  # of the sampled text's windows, every so many-th tells a bound
 FAN = 64  # ranges whose best phrases are ranked together before the last ranking
 _TABLE = bytes(10 if chr(b) in ".,;:!?" or 10 <= b <= 13 else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -162,7 +162,8 @@ def _first(batches):
 def bounds_of(rows: DataFrame, size: int) -> list[tuple[bytes, tuple[bytes, ...]]]:
     """First windows of the ranges, from a sample; they decide where a window is counted and no result."""
     n = core.parts(rows.sparkSession, size, EACH)
-    sample = rows.sample(min(1.0, n * SAMPLE / max(size, 1)), seed=12) if n * SAMPLE < size else rows
+    share = max(SAMPLE, LEAST_SAMPLE / max(size, 1))
+    sample = rows.sample(share, seed=12) if share < 1 else rows
     dealt = sample.mapInArrow(_sampled, "lang binary, words array<binary>").repartitionByRange(n, "lang", "words")
     return sorted({(bytes(r["lang"]), tuple(map(bytes, r["words"]))) for r in dealt.mapInArrow(_first, "lang binary, words array<binary>").collect()})[1:]  # one row per range
 
