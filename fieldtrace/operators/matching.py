@@ -100,6 +100,29 @@ def optimal_match(pairs: DataFrame, frame: list[str], left: str, right: str, sco
     return g.select(*frame, F.explode(solve("_rows")).alias("_m")).select(*frame, "_m.*")
 
 
+def sparse_match(pairs: DataFrame, group: list[str], left: str, right: str, score: str) -> DataFrame:
+    """JOIN-17 / AGG-21: one-to-one assignment with the largest total of positive scores in each group, solved for each
+    connected component of the pairs alone.
+
+    Pairs that never met cost nothing: the work and memory of a task follow its largest component, not the group. Both
+    sides need not share a type. A component that is one chain of crossing tracks stays whole; its matrix is what
+    one task has to hold.
+    """
+    from fieldtrace.operators.linking import components
+
+    d = pairs.filter(F.col(score) > 0)
+    d = cut_lineage(d.withColumn("_l", F.concat(F.lit("l"), F.col(left).cast("string"))).withColumn("_r", F.concat(F.lit("r"), F.col(right).cast("string"))))
+    nodes = d.select(*group, F.col("_l").alias("_node")).distinct()
+    roots = components(nodes, d, group, "_node", "_l", "_r").select(*group, F.col("_node").alias("_l"), F.col("root").alias("_root"))
+    tagged = d.join(roots, [*group, "_l"])
+    # a pair whose sides have no other pair is its own answer
+    size = tagged.groupBy(*group, "_root").agg(F.count("*").alias("_n"))
+    tagged = tagged.join(size, [*group, "_root"])
+    alone = tagged.filter("_n = 1").select(*group, left, right)
+    solved = optimal_match(tagged.filter("_n > 1").select(*group, "_root", left, right, score), [*group, "_root"], left, right, score, "total")
+    return alone.unionByName(solved.select(*group, left, right))
+
+
 def eliminate(candidates: DataFrame, item: str, target: str) -> DataFrame:
     """JOIN-15: items in order, pass after pass: an item with one free candidate claims it, one with
     none is settled, the others wait; the passes stop when none of them pairs anything.

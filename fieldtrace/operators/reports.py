@@ -52,10 +52,11 @@ def tracking_scores(truth: DataFrame, pred: DataFrame, seq: list[str], frame: st
     scores (IDF1, precision and recall with their counts).
 
     ``truth``: seq, frame, gt, x1..y2; ``pred``: seq, frame, tr, x1..y2. Frames are matched one to one by
-    global association plus overlap; association is then sums over (gt, tr) counts. Only the identity
-    score needs one assignment per sequence, over its tracks, not its rows.
+    global association plus overlap; association is then sums over (gt, tr) counts. The identity score
+    needs the best assignment of a sequence's tracks: each group of tracks that met is solved alone.
+    ``hota_by_iou`` lists HOTA at each overlap, in order.
     """
-    from fieldtrace.operators.matching import optimal_match
+    from fieldtrace.operators.matching import optimal_match, sparse_match
 
     box = tuple(F.col(c) for c in ("x1", "y1", "x2", "y2"))
     rbox = tuple(F.col("r_" + c) for c in ("x1", "y1", "x2", "y2"))
@@ -80,15 +81,44 @@ def tracking_scores(truth: DataFrame, pred: DataFrame, seq: list[str], frame: st
     d = total.select("*", named).join(per, [*seq, "alpha"], "left").fillna(0.0, ["_as", "_loc"]).fillna(0, ["tp"])
     det = F.col("tp") / (F.col("n_truth") + F.col("n_pred") - F.col("tp"))
     ass = F.coalesce(F.try_divide("_as", "tp"), F.lit(0.0))
-    h = d.groupBy(*seq).agg(F.avg(F.sqrt(det * ass)).alias("hota"), F.avg(det).alias("det_a"), F.avg(ass).alias("ass_a"), F.avg(F.coalesce(F.try_divide("_loc", "tp"), F.lit(1.0))).alias("loc_a"))
+    h = d.groupBy(*seq).agg(F.avg(F.sqrt(det * ass)).alias("hota"), F.avg(det).alias("det_a"), F.avg(ass).alias("ass_a"), F.avg(F.coalesce(F.try_divide("_loc", "tp"), F.lit(1.0))).alias("loc_a"),
+                            F.transform(F.array_sort(F.collect_list(F.struct("alpha", F.sqrt(det * ass).alias("v")))), lambda x: x["v"]).alias("hota_by_iou"))  # one value per overlap
     ident = pairs.filter("iou >= 0.5").groupBy(*seq, "gt", "tr").agg(F.count(F.lit(1)).alias("hits"))
-    idtp = optimal_match(ident, seq, "gt", "tr", "hits", "total").join(ident, [*seq, "gt", "tr"]).groupBy(*seq).agg(F.sum("hits").alias("idtp"))
+    idtp = sparse_match(ident, seq, "gt", "tr", "hits").join(ident, [*seq, "gt", "tr"]).groupBy(*seq).agg(F.sum("hits").alias("idtp"))
     out = h.join(total, seq).join(idtp, seq, "left").fillna(0, ["idtp"])
     hits, truths, preds = F.col("idtp"), F.col("n_truth"), F.col("n_pred")
-    return out.select(*seq, "hota", "det_a", "ass_a", "loc_a", F.try_divide(F.lit(2.0) * hits, truths + preds).alias("idf1"), F.try_divide(hits, preds).alias("idp"),
+    return out.select(*seq, "hota", "det_a", "ass_a", "loc_a", "hota_by_iou", F.try_divide(F.lit(2.0) * hits, truths + preds).alias("idf1"), F.try_divide(hits, preds).alias("idp"),
                       F.try_divide(hits, truths).alias("idr"), "idtp", (preds - hits).alias("idfp"), (truths - hits).alias("idfn"))
 
 
+def reviewed_tracking(truth: DataFrame, pred: DataFrame, reviewed: DataFrame, seq: list[str], frame: str, label: str, alphas: list[float]) -> DataFrame:
+    """AGG-21: :func:`tracking_scores` per sequence and class, on the frames that a reviewer declared complete for the class.
+
+    ``reviewed``: seq, frame, label, exhaustive. Predictions elsewhere are not judged; truth outside the coverage, a
+    coverage that is not exhaustive, an identity twice in a frame and a box without a positive area are errors. A class
+    with coverage and no box at all is there with zeros.
+    """
+    from fieldtrace.operators.quality import duplicate_keys
+
+    key = [*seq, frame, label]
+    stop = lambda cond, what: F.when(cond, F.raise_error(F.lit(what))).otherwise(F.lit(True)).cast("boolean")
+    cover = reviewed.filter(stop(~F.coalesce("exhaustive", F.lit(False)), "evaluation requires exhaustive annotation")).select(*key).distinct()
+    sane = lambda d: d.filter(stop(~F.coalesce((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")), F.lit(False)), "boxes need a positive width and height"))
+    marked = sane(truth).join(cover.withColumn("_in", F.lit(1)), key, "left")
+    inside = marked.filter(stop(F.col("_in").isNull(), "ground truth outside reviewed coverage")).drop("_in")
+    scope = sane(pred).join(cover, key, "left_semi")
+    for d, who in ((inside, "gt"), (scope, "tr")):
+        if not duplicate_keys(d, [*key, who]).isEmpty():
+            raise ValueError("duplicate identity in one frame")
+    group = [*seq, label]
+    n = cover.groupBy(*group).agg(F.count("*").alias("frames"))
+    boxes = lambda d, name: d.groupBy(*group).agg(F.count("*").alias(name))
+    d = n.join(boxes(inside, "truth_boxes"), group, "left").join(boxes(scope, "pred_boxes"), group, "left").fillna(0, ["truth_boxes", "pred_boxes"])
+    s = tracking_scores(inside, scope, group, frame, alphas)
+    zero = [c for c in s.columns if c not in (*group, "hota_by_iou")]
+    return d.join(s, group, "left").fillna(0, zero)
+
+
 def staged_census(df: DataFrame, by: list[str], rules: list[tuple[str, Column]], otherwise: str = "unattributed") -> DataFrame:
     """AGG-28: each row counts under the first rule that holds."""
     c = None
