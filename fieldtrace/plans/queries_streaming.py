@@ -8,7 +8,7 @@ from fieldtrace.ml import models
 from fieldtrace.operators import folds
 from fieldtrace.plans.registry import DAY, EV, HOUR, Tables, query
 from fieldtrace.sources.stage import is_folder, scratch
-from fieldtrace.streaming import rules, stateful
+from fieldtrace.streaming import reorder, rules, stateful
 
 
 def stream(t: Tables):
@@ -56,6 +56,17 @@ def _(t: Tables):
     return stateful.drain(s, scratch(t.spark)).drop("late_rows")
 
 
+@query("str06_unordered_spans", f"""WITH {EV}, w AS (SELECT max(us) // 1000 - 3600000 AS wm FROM ev), f AS (SELECT ev.*, wm FROM ev, w WHERE us <= wm * 1000),
+mk AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w AND us - lag(us) OVER w <= {DAY} THEN 0 ELSE 1 END AS o FROM f WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)),
+rn AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY us, event_id) AS r FROM mk), g AS (SELECT user_id, r, any_value(wm) AS wm, min(event_type) AS label, min(us) AS "start", max(us) AS "end", count(*) AS n FROM rn GROUP BY 1, 2)
+SELECT user_id, label, "start", "end", n FROM g QUALIFY r < max(r) OVER (PARTITION BY user_id) OR wm > (max("end") OVER (PARTITION BY user_id) + 999) // 1000 + {DAY // 1000}""")
+def _(t: Tables):
+    """Rows wait an hour behind the newest one and go on in order of time; a user silent for a day is closed."""
+    d = stream(t).select("user_id", "us", "event_id", "event_type", "ts")
+    s = reorder.ordered_stream(d, ["user_id"], "ts", ["us", "event_id"], rules.run_rule("us", "event_type", DAY), "label string, start bigint, end bigint, n bigint", "1 hour", DAY // 1000)
+    return stateful.drain(s, scratch(t.spark))
+
+
 @query("str07_grid_windows", f"""WITH w AS (SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS b, event_type, value, ts FROM events), m AS (SELECT max(ts) AS hi FROM events)
 SELECT event_type, epoch_us(b) AS bin_us, count(*) AS n, CAST(round(max(value) * 100) AS BIGINT) AS top FROM w, m WHERE b + INTERVAL 6 HOUR <= hi GROUP BY 1, 2""")
 def _(t: Tables):
@@ -120,7 +131,7 @@ def _(t: Tables):
 
     for _ in range(2):
         stateful.work_queue(stream(t).select("user_id"), done, parked, work, ["user_id"], scratch(t.spark)).awaitTermination()
-    return t.spark.read.parquet(done)
+    return t.spark.read.parquet(done).drop("batch")
 
 
 @query("str09_append_revisions", f"""WITH {EV}, s AS (SELECT user_id, event_id, k % 3 AS i, min(event_id) OVER (PARTITION BY user_id, k % 3) AS f FROM ev)
@@ -130,7 +141,8 @@ def _(t: Tables):
     log = scratch(t.spark)
     d = stream(t).select(F.col("user_id").alias("run"), F.concat(F.lit("imp-"), (F.col("k") % 3).cast("string")).alias("source_key"), F.col("event_id").alias("seq"), F.col("cents").cast("string").alias("payload"))
     for _ in range(2):
-        q = d.writeStream.foreachBatch(lambda b, e: stateful.append_revisions(b, log)).option("checkpointLocation", scratch(t.spark)).trigger(availableNow=True).start()
+        cp = scratch(t.spark)
+        q = d.writeStream.foreachBatch(lambda b, e, cp=cp: stateful.append_revisions(b, log, name=stateful.batch_name(cp, e))).option("checkpointLocation", cp).trigger(availableNow=True).start()
         q.awaitTermination()
     return t.spark.read.parquet(log).select("run", "seq", "revision")
 

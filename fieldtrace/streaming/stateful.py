@@ -82,30 +82,58 @@ def session_spans(df: DataFrame, keys: list[str], ts: str, gap: str, late: str)
     return w.select(*keys, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), "n")
 
 
+def batch_name(checkpoint: str, epoch: int) -> str:
+    """Name of a stream's batch that a replay shares and no other stream has."""
+    import hashlib
+
+    return f"{hashlib.sha256(checkpoint.encode()).hexdigest()[:16]}-{epoch}"
+
+
+def other_batches(spark, path: str, name: str) -> DataFrame | None:
+    """Rows that all other batches wrote, or None: a batch that failed half-way is not read by its replay."""
+    from py4j.protocol import Py4JJavaError
+
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        found = [str(s.getPath().getName()) for s in fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(fs_path)]
+    except Py4JJavaError:  # no folder yet
+        return None
+    rest = [f"{path}/{n}" for n in found if n.startswith("batch=") and n != f"batch={name}"]
+    return spark.read.parquet(*rest) if rest else None
+
+
+def work_batch(batch: DataFrame, name: str, done_path: str, parked_path: str, work, keys: list[str]) -> None:
+    """STR-08: one batch of a :func:`work_queue`. Results lie in the batch's own folder, which a replay writes anew from
+    the same jobs, so a failure between two writes neither loses a job nor counts it twice."""
+    from fieldtrace.session import cut_lineage
+
+    todo = batch.dropDuplicates(keys)
+    for path in (done_path, parked_path):
+        earlier = other_batches(batch.sparkSession, path, name)
+        if earlier is not None:
+            todo = todo.join(earlier.select(*keys).distinct(), keys, "left_anti")
+    res = cut_lineage(work(todo))
+    for path, cond in ((done_path, "ok"), (parked_path, "not ok")):
+        res.filter(cond).drop("ok").write.mode("overwrite").parquet(f"{path}/batch={name}")
+
+
 def work_queue(arrivals: DataFrame, done_path: str, parked_path: str, work, keys: list[str], checkpoint: str):
     """STR-08: arriving jobs run once: jobs already done or parked are skipped, jobs whose result says
     failed are parked. ``work`` maps a DataFrame of jobs to the same jobs with ``ok`` and ``note``."""
-    from fieldtrace.sources.stage import stage_complete
 
     def handle(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        todo = batch.dropDuplicates(keys)
-        for path in (done_path, parked_path):
-            if stage_complete(spark, path):
-                todo = todo.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-        from fieldtrace.session import cut_lineage
-        res = cut_lineage(work(todo))
-        res.filter("ok").drop("ok").write.mode("append").parquet(done_path)
-        res.filter("not ok").drop("ok").write.mode("append").parquet(parked_path)
+        work_batch(batch, batch_name(checkpoint, epoch), done_path, parked_path, work, keys)
 
     return arrivals.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def append_revisions(batch: DataFrame, log_path: str, expected: int | None = None) -> None:
+def append_revisions(batch: DataFrame, log_path: str, expected: int | None = None, name: str | None = None) -> None:
     """STR-09: append the batch's imports (run, source_key, seq, payload) as new revisions of their run.
 
     An import already in the log is skipped when its payload is the same and an error when it is not; a
-    stale ``expected`` revision is an error. Use inside ``foreachBatch``, or directly.
+    stale ``expected`` revision is an error. Inside ``foreachBatch`` give the batch's ``name`` (see
+    :func:`batch_name`): its rows lie in a folder of their own, and a replay reads the other batches and writes that
+    folder anew. A log is kept with names or without.
     """
     from fieldtrace.operators.ordered import row_number, scan
     from fieldtrace.session import cut_lineage
@@ -115,8 +143,8 @@ def append_revisions(batch: DataFrame, log_path: str, expected: int | None = Non
     digest = batch.groupBy("run", "source_key").agg(F.sha2(F.concat_ws("\0", F.transform(F.array_sort(F.collect_list(F.struct("seq", "payload"))), lambda r: r["payload"])), 256).alias("_d"))
     fresh = batch.join(digest, ["run", "source_key"])
     top = None
-    if stage_complete(spark, log_path):
-        log = spark.read.parquet(log_path)
+    log = other_batches(spark, log_path, name) if name is not None else spark.read.parquet(log_path) if stage_complete(spark, log_path) else None
+    if log is not None:
         known = log.select("run", "source_key", F.col("digest").alias("_old")).distinct()
         clash = digest.join(known, ["run", "source_key"]).filter(F.col("_d") != F.col("_old"))
         if not clash.isEmpty():
@@ -136,4 +164,7 @@ def append_revisions(batch: DataFrame, log_path: str, expected: int | None = Non
     d = scan(fresh.join(first, ["run", "source_key"]), ["run"], ["_s", "source_key", "seq"], {"_r": row_number()})
     d = d.join(top, "run", "left") if top is not None else d.withColumn("_top", F.lit(0))
     out = d.select("run", "source_key", "seq", "payload", F.col("_d").alias("digest"), (F.coalesce("_top", F.lit(0)) + F.col("_r")).cast("long").alias("revision"))
-    out.write.mode("append").parquet(log_path)
+    if name is None:
+        out.write.mode("append").parquet(log_path)
+    else:
+        out.write.mode("overwrite").parquet(f"{log_path}/batch={name}")
