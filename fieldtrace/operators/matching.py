@@ -123,28 +123,71 @@ def sparse_match(pairs: DataFrame, group: list[str], left: str, right: str, scor
     return alone.unionByName(solved.select(*group, left, right))
 
 
-def eliminate(candidates: DataFrame, item: str, target: str) -> DataFrame:
+def pairing_candidates(items: DataFrame, names: DataFrame, events: DataFrame, item: str, event: str) -> DataFrame:
+    """JOIN-15: (item, event) whose two sides the item names, in either order, within the item's dates.
+
+    ``items``: item, name_a, name_b, lo, hi (a null date is open); ``names``: name, place, where a name may stand for
+    several places; ``events``: event, place_a, place_b, date. An inverted index of names gives the places of each side;
+    the pair of places and the week are the key of the join with events, so an item meets only the weeks of its window.
+    An item without names or without an event stays with a null event.
+    """
+    index = names.select(F.col("name"), F.col("place")).distinct()
+    week = lambda c: F.floor(F.datediff(F.col(c), F.lit("1970-01-01").cast("date")) / 7)
+    side = lambda s: index.select(F.col("name").alias(f"name_{s}"), F.col("place").alias(f"_p{s}"))
+    found = items.join(side("a"), "name_a").join(side("b"), "name_b").withColumn("_x", F.least("_pa", "_pb")).withColumn("_y", F.greatest("_pa", "_pb"))
+    dated = events.select(event, F.col("date"), F.least("place_a", "place_b").alias("_x"), F.greatest("place_a", "place_b").alias("_y"), week("date").alias("_w"))
+    windows = found.filter(F.col("lo").isNotNull() & F.col("hi").isNotNull() & (F.col("lo") <= F.col("hi"))).select(item, "lo", "hi", "_x", "_y", F.explode(F.sequence(week("lo"), week("hi"))).alias("_w"))
+    inside = windows.join(dated, ["_x", "_y", "_w"]).filter(F.col("date").between(F.col("lo"), F.col("hi")))
+    half = found.filter(F.col("lo").isNull() | F.col("hi").isNull()).select(item, "lo", "hi", "_x", "_y").join(dated, ["_x", "_y"])
+    half = half.filter((F.col("lo").isNull() | (F.col("date") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("date") <= F.col("hi"))))
+    pairs = inside.select(item, event).unionByName(half.select(item, event)).distinct()
+    return items.select(item).distinct().join(pairs, item, "left")
+
+
+def pair_items(items: DataFrame, names: DataFrame, events: DataFrame, item: str, event: str, claimed: DataFrame | None = None) -> DataFrame:
+    """JOIN-15: each item with its status (paired, ambiguous, no_match, unparseable), event and number of free candidates.
+
+    Events of ``claimed`` are taken. An event whose ``complete`` is false counts as a candidate, but nothing pairs with it.
+    """
+    named = F.col("name_a").isNotNull() & F.col("name_b").isNotNull()
+    c = pairing_candidates(items.filter(named), names, events, item, event)
+    if claimed is not None:
+        free = c.join(claimed.select(event).distinct(), event, "left_anti").filter(F.col(event).isNotNull())
+        c = c.select(item).distinct().join(free, item, "left")
+    if "complete" in events.columns:
+        c = c.join(events.select(event, "complete"), event, "left")
+    else:
+        c = c.withColumn("complete", F.lit(True))
+    got = eliminate(c, item, event, claimable="complete")
+    lost = items.filter(~named).select(item, F.lit("unparseable").alias("status"), F.lit(None).cast(got.schema[event].dataType).alias(event), F.lit(0).cast("long").alias("free"))
+    return got.unionByName(lost)
+
+
+def eliminate(candidates: DataFrame, item: str, target: str, claimable: str | None = None) -> DataFrame:
     """JOIN-15: items in order, pass after pass: an item with one free candidate claims it, one with
     none is settled, the others wait; the passes stop when none of them pairs anything.
 
     A claim only matters inside its connected component of the candidate graph (the meetings of one
     pair of sides), so each component is folded on its own. Returns item, status (paired, ambiguous,
-    no_match), target and the number of free candidates left.
+    no_match), target and the number of free candidates left. A target whose ``claimable`` is false pairs with nothing:
+    an item that is left with it alone has no match.
     """
     from fieldtrace.operators.linking import components
 
-    c = candidates.select(item, target).distinct()
+    ok = F.coalesce(F.col(claimable), F.lit(False)) if claimable else F.lit(True)
+    c = candidates.select(item, target, ok.alias("_ok")).distinct()
     tagged = c.filter(F.col(target).isNotNull()).select(
-        item, target, F.concat(F.lit("i"), F.col(item)).alias("_i"), F.concat(F.lit("t"), F.col(target)).alias("_t"))
+        item, target, "_ok", F.concat(F.lit("i"), F.col(item)).alias("_i"), F.concat(F.lit("t"), F.col(target)).alias("_t"))
     one = tagged.withColumn("_one", F.lit(0))
     nodes = one.select("_one", F.col("_i").alias("_node")).distinct()
     roots = components(nodes, one, ["_one"], "_node", "_i", "_t")
-    d = one.join(roots.select(F.col("_node").alias("_i"), "root"), "_i").select(item, target, "root")
+    d = one.join(roots.select(F.col("_node").alias("_i"), "root"), "_i").select(item, target, "_ok", "root")
     out = T.StructType([T.StructField(item, c.schema[item].dataType), T.StructField("status", T.StringType()),
                         T.StructField(target, c.schema[target].dataType), T.StructField("free", T.LongType())])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         options = {k: sorted(v) for k, v in pdf.groupby(item)[target]}
+        usable = dict(zip(pdf[target], pdf["_ok"]))
         claimed, result, pending, progressed = set(), [], sorted(options), True
         while pending and progressed:
             progressed, waiting = False, []
@@ -152,6 +195,8 @@ def eliminate(candidates: DataFrame, item: str, target: str) -> DataFrame:
                 free = [t for t in options[i] if t not in claimed]
                 if len(free) > 1:
                     waiting.append(i)
+                elif free and not usable[free[0]]:
+                    result.append((i, "no_match", None, 1))
                 elif free:
                     claimed.add(free[0])
                     result.append((i, "paired", free[0], 0))

@@ -39,17 +39,26 @@ def threat_inputs(actions: DataFrame, cell: str, end_cell: str, is_shot: Column,
     return cells, to.join(per.select("cell", "moves"), "cell").select("cell", "to", (F.col("_n") / F.col("moves")).alias("p"))
 
 
-def threat_surface(cells: DataFrame, transitions: DataFrame, rounds: int = 20) -> DataFrame:
-    """AGG-43: value iteration over the cells for a fixed number of rounds."""
-    cells, transitions = cut_lineage(cells), cut_lineage(transitions)
-    value = cells.select("cell", F.lit(0.0).alias("xt"))
-    for i in range(rounds):
-        nxt = transitions.join(value.select(F.col("cell").alias("to"), "xt"), "to").groupBy("cell").agg(
-            F.sum((F.col("p") * F.col("xt")).cast(DEC)).cast("double").alias("_v"))
-        value = cells.join(nxt, "cell", "left").select("cell", (F.col("gain") + F.col("p_move") * F.coalesce("_v", F.lit(0.0))).alias("xt"))
-        if i % 5 == 4:
-            value = cut_lineage(value)
-    return value
+def threat_surface(cells: DataFrame, transitions: DataFrame, tolerance: float = 1e-10, most: int = 40) -> DataFrame:
+    """AGG-43: expected threat of each cell: gain now, or after any number of moves, until what is left out is below
+    ``tolerance``.
+
+    A round doubles the number of moves that are counted: the value so far, moved on by the transitions of all its
+    steps, is what the next steps add. So 2^k moves take k rounds, each two joins over cell pairs with its lineage
+    cut; the largest addition is the residual. Cells that never shoot and never end don't converge: an error.
+    """
+    value = cut_lineage(cells.select("cell", F.col("gain").alias("xt")))
+    step = cut_lineage(transitions.join(cells.select("cell", "p_move"), "cell").select("cell", "to", (F.col("p") * F.col("p_move")).alias("p")))
+    exact = lambda c: F.sum(c.cast(DEC)).cast("double")
+    for _ in range(most):
+        more = step.join(value.select(F.col("cell").alias("to"), "xt"), "to").groupBy("cell").agg(exact(F.col("p") * F.col("xt")).alias("_v"))
+        both = cut_lineage(value.join(more, "cell", "left").select("cell", (F.col("xt") + F.coalesce("_v", F.lit(0.0))).alias("xt"), F.coalesce("_v", F.lit(0.0)).alias("_v")))
+        value = both.select("cell", "xt")
+        if (both.agg(F.max(F.abs("_v"))).first()[0] or 0.0) < tolerance:
+            return value
+        on = step.select(F.col("cell").alias("to"), F.col("to").alias("_to"), F.col("p").alias("_p"))
+        step = cut_lineage(step.join(on, "to").groupBy("cell", F.col("_to").alias("to")).agg(exact(F.col("p") * F.col("_p")).alias("p")))
+    raise ValueError(f"no convergence within 2^{most} moves")
 
 
 def rate_moves(actions: DataFrame, surface: DataFrame, cell: str, end_cell: str, rated: Column) -> DataFrame:

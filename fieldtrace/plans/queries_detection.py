@@ -1,10 +1,10 @@
-"""Detection and tracking reports on event boxes: a user's week is a frame."""
+"""Detection and tracking reports on event boxes (a user's week is a frame), and orders paired with orders by names and dates."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtrace.operators import detection_eval, reports
+from fieldtrace.operators import detection_eval, matching, reports
 from fieldtrace.plans.registry import DAY, EV, Tables, query
 
 WEEK = 7 * DAY
@@ -132,3 +132,34 @@ def _(t: Tables):
     truth, pred, reviewed = tracks(t)
     d = reports.reviewed_tracking(truth, pred, reviewed, ["seq"], "frame", "label", [0.5])
     return d.select("seq", "label", "frames", "truth_boxes", "pred_boxes", (F.col("idtp") + F.col("idfn")).alias("id_truth"), (F.col("idtp") + F.col("idfp")).alias("id_pred"))
+
+
+def named_orders(t: Tables):
+    """An order names its customer's and its first line's supplier group; a supplier group stands for several nations."""
+    first = t.lineitem.groupBy("l_orderkey").agg(F.min("l_suppkey").alias("supp"), F.max("l_suppkey").alias("other"))
+    o = t.orders.join(first, F.col("o_orderkey") == F.col("l_orderkey")).withColumn("day", F.to_date("o_orderdate"))
+    name = lambda c: F.concat(F.lit("s"), F.floor(c / 3).cast("string"))
+    items = o.select(F.col("o_orderkey").alias("item"), F.when(F.col("o_orderkey") % 17 != 0, name(F.col("supp"))).alias("name_a"), name(F.col("other")).alias("name_b"),
+                     F.when(F.col("o_custkey") % 101 != 0, F.date_sub("day", 3)).alias("lo"), F.date_add("day", 4).alias("hi"))
+    names = t.supplier.select(name(F.col("s_suppkey")).alias("name"), F.col("s_nationkey").cast("long").alias("place"))
+    events = o.select(F.col("o_orderkey").alias("event"), (F.col("o_custkey") % 25).alias("place_a"), (F.floor(F.col("o_orderkey") / 4) % 25).alias("place_b"), F.col("day").alias("date"), (F.col("o_orderkey") % 5 != 0).alias("complete"))
+    return items, names, events
+
+
+NAMED = """first AS (SELECT l_orderkey, min(l_suppkey) AS supp, max(l_suppkey) AS other FROM lineitem GROUP BY 1), o AS (SELECT *, o_orderdate::DATE AS day FROM orders JOIN first ON o_orderkey = l_orderkey),
+i AS (SELECT o_orderkey AS item, CASE WHEN o_orderkey % 17 <> 0 THEN 's' || (supp // 3) END AS a, 's' || (other // 3) AS b, CASE WHEN o_custkey % 101 <> 0 THEN day - 3 END AS lo, day + 4 AS hi FROM o),
+n AS (SELECT DISTINCT 's' || (s_suppkey // 3) AS name, s_nationkey AS place FROM supplier), e AS (SELECT o_orderkey AS event, o_custkey % 25 AS pa, (o_orderkey // 4) % 25 AS pb, day FROM o),
+c AS (SELECT DISTINCT item, event FROM i JOIN n x ON x.name = a JOIN n y ON y.name = b JOIN e ON (pa = x.place AND pb = y.place) OR (pa = y.place AND pb = x.place) WHERE day <= hi AND (lo IS NULL OR day >= lo))"""
+
+
+@query("join15_candidates", f"WITH {NAMED} SELECT i.item, c.event FROM i LEFT JOIN c ON c.item = i.item")
+def _(t: Tables):
+    """Orders whose two places an order names, in a window of a week or, without a start, up to its end."""
+    return matching.pairing_candidates(*named_orders(t), "item", "event")
+
+
+@query("join15_pairing")
+def _(t: Tables):
+    """Candidates and elimination together; a third of the events is taken before."""
+    items, names, events = named_orders(t)
+    return matching.pair_items(items, names, events, "item", "event", events.filter(F.col("event") % 3 == 0))

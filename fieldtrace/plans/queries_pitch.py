@@ -126,14 +126,14 @@ ACT = f"""{EV}, a0 AS (SELECT *, {CELL} AS cell FROM ev), act AS (SELECT *, lead
 c AS (SELECT cell, count_if(event_type='purchase') AS shots, count_if(event_type='purchase' AND cents % 3 = 0) AS goals, count_if(event_type<>'purchase') AS moves FROM act GROUP BY 1),
 ce AS (SELECT cell, coalesce(CASE WHEN shots > 0 THEN goals / shots END, 0.0::DOUBLE) * (shots / (shots + moves)) AS gain, moves / (shots + moves) AS pm FROM c),
 tr AS (SELECT act.cell, to_cell, count(*) / any_value(moves) AS p FROM act JOIN c ON c.cell = act.cell WHERE event_type <> 'purchase' AND to_cell IS NOT NULL GROUP BY 1, 2)"""
-_ROUNDS = 4
+_ROUNDS = 9  # 2^9 moves in the SQL; the library goes on to its tolerance
 
 
 def _iterate() -> str:
-    out, last = "", "(SELECT cell, 0.0::DOUBLE AS xt FROM ce)"
+    out = ", v0 AS MATERIALIZED (SELECT cell, gain AS xt FROM ce), m0 AS MATERIALIZED (SELECT tr.cell, to_cell, p * pm AS p FROM tr JOIN ce ON ce.cell = tr.cell)"
     for i in range(_ROUNDS):
-        out += (f", v{i} AS (SELECT ce.cell, gain + pm * coalesce(n.v, 0.0::DOUBLE) AS xt FROM ce LEFT JOIN (SELECT tr.cell, sum((p * xt)::DECIMAL(30,12))::DOUBLE AS v FROM tr JOIN {last} q ON q.cell = tr.to_cell GROUP BY 1) n ON n.cell = ce.cell)")
-        last = f"v{i}"
+        out += (f", v{i + 1} AS MATERIALIZED (SELECT v.cell, v.xt + coalesce(n.v, 0.0::DOUBLE) AS xt FROM v{i} v LEFT JOIN (SELECT m.cell, sum(p * xt) AS v FROM m{i} m JOIN v{i} q ON q.cell = m.to_cell GROUP BY 1) n ON n.cell = v.cell)"
+                f", m{i + 1} AS MATERIALIZED (SELECT a.cell, b.to_cell, sum(a.p * b.p) AS p FROM m{i} a JOIN m{i} b ON b.cell = a.to_cell GROUP BY ALL)")
     return out
 
 
@@ -148,15 +148,15 @@ def surface(t: Tables):
     a = actions(t)
     shot = F.col("event_type") == "purchase"
     cells, tr = values.threat_inputs(a, "cell", "to_cell", shot, F.col("cents") % 3 == 0, ~shot, F.col("to_cell").isNotNull())
-    return a, values.threat_surface(cells, tr, _ROUNDS)
+    return a, values.threat_surface(cells, tr)
 
 
-@query("agg43_threat_surface", f"WITH {ACT}{_iterate()} SELECT cell, round(xt * 1e6)::BIGINT AS xt_micro FROM v{_ROUNDS - 1}")
+@query("agg43_threat_surface", f"WITH {ACT}{_iterate()} SELECT cell, round(xt * 1e6)::BIGINT AS xt_micro FROM v{_ROUNDS}")
 def _(t: Tables):
     return surface(t)[1].select("cell", F.round(F.col("xt") * 1e6).cast("long").alias("xt_micro"))
 
 
-@query("agg43_rate_moves", f"WITH {ACT}{_iterate()} SELECT event_id, CASE WHEN event_type <> 'purchase' AND to_cell IS NOT NULL THEN round((b.xt - a.xt) * 1e6)::BIGINT END AS xt_micro FROM act JOIN v{_ROUNDS - 1} a ON a.cell = act.cell LEFT JOIN v{_ROUNDS - 1} b ON b.cell = act.to_cell")
+@query("agg43_rate_moves", f"WITH {ACT}{_iterate()} SELECT event_id, CASE WHEN event_type <> 'purchase' AND to_cell IS NOT NULL THEN round((b.xt - a.xt) * 1e6)::BIGINT END AS xt_micro FROM act JOIN v{_ROUNDS} a ON a.cell = act.cell LEFT JOIN v{_ROUNDS} b ON b.cell = act.to_cell")
 def _(t: Tables):
     a, s = surface(t)
     return values.rate_moves(a, s, "cell", "to_cell", (F.col("event_type") != "purchase") & F.col("to_cell").isNotNull()).select(
