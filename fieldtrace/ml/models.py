@@ -74,12 +74,13 @@ def shot_ranker(rows: DataFrame, features: list[str], label: str, weight: str, g
     return model, score(model, rows.filter(valid))
 
 
-def team_clusters(rows: DataFrame, keys: list[str], row_id: str, vector: str, k: int = 3, rounds: int = 8, min_rows: int = 6) -> DataFrame:
+def team_clusters(rows: DataFrame, keys: list[str], row_id: str, vector: str, k: int = 3, rounds: int = 100, min_rows: int = 6) -> DataFrame:
     """ML-05: k-means per job in all jobs at once: labels by size (largest 0), margin = second distance minus
     first; jobs with fewer than ``min_rows`` rows get -1.
 
     Seeds are the smallest id and then the farthest rows, so the result does not depend on a random draw.
-    A round joins rows to the array of centres of their job and averages; no job has to fit a task.
+    A round joins rows to the array of centres of their job and averages; no job has to fit a task. Rounds go on until no
+    centre of any job moves, ``rounds`` at most.
     """
     n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     big = cut_lineage(rows.join(n.filter(F.col("_n") >= min_rows).drop("_n"), keys, "left_semi").select(*keys, row_id, F.transform(vector, lambda v: v.cast("double")).alias("_v")))
@@ -101,7 +102,11 @@ def team_clusters(rows: DataFrame, keys: list[str], row_id: str, vector: str, k:
     for _ in range(rounds):
         cells = distances(centres).select(*keys, first(0, "k").alias("_k"), F.posexplode("_v").alias("_i", "_x"))
         mean = cells.groupBy(*keys, "_k", "_i").agg((F.sum(F.col("_x").cast(T.DecimalType(28, 12))).cast("double") / F.count(F.lit(1))).alias("_m"))
-        centres = cut_lineage(mean.groupBy(*keys, "_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("_c")))
+        moved = cut_lineage(mean.groupBy(*keys, "_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("_c")))
+        still = moved.join(centres.select(*keys, "_k", F.col("_c").alias("_old")), [*keys, "_k"], "left").filter(~F.col("_c").eqNullSafe(F.col("_old"))).isEmpty()
+        centres = moved
+        if still:
+            break
     got = distances(centres).select(*keys, row_id, first(0, "k").alias("_k"), (first(1, "d") - first(0, "d")).alias("margin"))
     size = got.groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("_n"))
     from fieldtrace.operators.ordered import top_k

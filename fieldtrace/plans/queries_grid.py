@@ -138,19 +138,19 @@ def _(t: Tables):
     return g.select("game", "bin", "x", "last_x", "age")
 
 
-@query("win16_track_grid", f"""WITH {TOK}, o AS (SELECT *, t_ms // {TICK} AS bin FROM tk WHERE channel <> 'pbp_anchor'),
-tr AS (SELECT game, entity_id FROM (SELECT game, entity_id, count(*) AS n FROM tk WHERE channel IN ('player','ball_control') GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY game ORDER BY n DESC, entity_id) <= 4),
-sp AS (SELECT s.game, s.bin, tr.entity_id FROM (SELECT game, unnest(range(0, max(bin) + 1)) AS bin FROM o GROUP BY game) s JOIN tr USING (game)),
-c AS (SELECT game, entity_id, bin, arg_max(x, seq) FILTER (channel='player') AS x, arg_max(y, seq) FILTER (channel='player') AS y, max(conf) FILTER (channel='player') AS conf FROM o WHERE channel IN ('player','ball_control') GROUP BY 1, 2, 3),
-b AS (SELECT game, bin, arg_max(x, seq) AS bx, arg_max(y, seq) AS byy FROM o WHERE channel='ball' GROUP BY 1, 2),
-j AS (SELECT sp.game, sp.bin, sp.entity_id, c.x, c.y, c.conf, b.bx, b.byy FROM sp LEFT JOIN c ON c.game=sp.game AND c.bin=sp.bin AND c.entity_id=sp.entity_id LEFT JOIN b ON b.game=sp.game AND b.bin=sp.bin),
-n AS (SELECT a.game, a.bin, a.entity_id, min(sqrt((a.x-z.x)*(a.x-z.x)+(a.y-z.y)*(a.y-z.y))) AS d FROM j a JOIN j z ON a.game=z.game AND a.bin=z.bin AND a.entity_id<>z.entity_id AND a.x IS NOT NULL AND z.x IS NOT NULL GROUP BY 1, 2, 3)
+@query("win16_track_grid", f"""WITH {TOK}, o AS MATERIALIZED (SELECT *, t_ms // {TICK} AS bin FROM tk WHERE channel <> 'pbp_anchor'),
+tr AS MATERIALIZED (SELECT game, entity_id FROM (SELECT game, entity_id, count(*) AS n FROM tk WHERE channel IN ('player','ball_control') GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY game ORDER BY n DESC, entity_id) <= 16),
+sp AS MATERIALIZED (SELECT s.game, s.bin, tr.entity_id FROM (SELECT game, unnest(range(0, max(bin) + 1)) AS bin FROM o GROUP BY game) s JOIN tr USING (game)),
+c AS MATERIALIZED (SELECT game, entity_id, bin, arg_max(x, seq) FILTER (channel='player') AS x, arg_max(y, seq) FILTER (channel='player') AS y, max(conf) FILTER (channel='player') AS conf FROM o WHERE channel IN ('player','ball_control') GROUP BY 1, 2, 3),
+b AS MATERIALIZED (SELECT game, bin, arg_max(x, seq) AS bx, arg_max(y, seq) AS byy FROM o WHERE channel='ball' GROUP BY 1, 2),
+j AS MATERIALIZED (SELECT sp.game, sp.bin, sp.entity_id, c.x, c.y, c.conf, b.bx, b.byy FROM sp LEFT JOIN c ON c.game=sp.game AND c.bin=sp.bin AND c.entity_id=sp.entity_id LEFT JOIN b ON b.game=sp.game AND b.bin=sp.bin),
+pr AS MATERIALIZED (SELECT game, bin, entity_id, x, y FROM j WHERE x IS NOT NULL), n AS MATERIALIZED (SELECT a.game, a.bin, a.entity_id, min(sqrt((a.x-z.x)*(a.x-z.x)+(a.y-z.y)*(a.y-z.y))) AS d FROM pr a JOIN pr z ON a.game=z.game AND a.bin=z.bin WHERE a.entity_id<>z.entity_id GROUP BY 1, 2, 3)
 SELECT j.game, j.bin, j.entity_id, CASE WHEN j.x IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS present, coalesce(j.x / 94.0::DOUBLE, 0) AS x, coalesce(conf, 0) AS conf,
   coalesce(CASE WHEN j.x IS NOT NULL AND bx IS NOT NULL THEN least(sqrt((j.x-bx)*(j.x-bx)+(j.y-byy)*(j.y-byy)) / 10.0::DOUBLE, 1.0::DOUBLE) END, 0) AS ball_distance, coalesce(CASE WHEN n.d IS NOT NULL THEN least(n.d / 10.0::DOUBLE, 1.0::DOUBLE) END, 0) AS neighbour_distance
 FROM j LEFT JOIN n ON n.game=j.game AND n.bin=j.bin AND n.entity_id=j.entity_id""")
 def _(t: Tables):
     s = features.token_stream(token_channels(t), "game")
-    g = features.track_grid(s, features.top_tracks(s, "game", 4), "game", TICK)
+    g = features.track_grid(s, features.top_tracks(s, "game"), "game", TICK)
     return g.select("game", "bin", "entity_id", "present", "x", "conf", "ball_distance", "neighbour_distance")
 
 
@@ -183,27 +183,28 @@ def _(t: Tables):
     return court(t)[1].select("job_id", "ts_ms", "entity_id", "team_cluster", "dist_ft")
 
 
-@query("agg11_box_score", f"""WITH {CTL}, shots AS (SELECT user_id % 30 AS job_id, event_id, us, CASE WHEN k < 50 THEN 'left' ELSE 'right' END AS "end", k % 3 = 0 AS made FROM ev WHERE event_type='error'),
+@query("agg11_box_score", f"""WITH {CTL}, shots AS (SELECT user_id % 30 AS job_id, event_id, us, CASE WHEN k < 50 THEN 'left' ELSE 'right' END AS "end", k % 3 = 0 AS made, k % 7 = 0 AS ft FROM ev WHERE event_type='error'),
 a AS (SELECT s.*, c.us AS cu, c.e, c.tm, c.x, c.y FROM shots s ASOF LEFT JOIN ct c ON s.job_id=c.job_id AND s.us >= c.us),
-s1 AS (SELECT job_id, event_id, us, "end", made, CASE WHEN us - cu <= {2 * DAY} THEN e END AS e, CASE WHEN us - cu <= {2 * DAY} THEN tm END AS tm, CASE WHEN us - cu <= {2 * DAY} THEN x END AS x, CASE WHEN us - cu <= {2 * DAY} THEN y END AS y FROM a),
-s2 AS (SELECT *, coalesce(sqrt((x - CASE WHEN "end"='left' THEN 5.25::DOUBLE ELSE 88.75::DOUBLE END)*(x - CASE WHEN "end"='left' THEN 5.25::DOUBLE ELSE 88.75::DOUBLE END)+(y-25)*(y-25)) > 22.146::DOUBLE OR abs(y-25) > 25.0::DOUBLE - 3.344::DOUBLE, false) AS three FROM s1),
+s1 AS (SELECT job_id, event_id, us, "end", made, ft, CASE WHEN us - cu <= {2 * DAY} THEN e END AS e, CASE WHEN us - cu <= {2 * DAY} THEN tm END AS tm, CASE WHEN us - cu <= {2 * DAY} THEN x END AS x, CASE WHEN us - cu <= {2 * DAY} THEN y END AS y FROM a),
+s2 AS (SELECT *, NOT ft AND coalesce(sqrt((x - CASE WHEN "end"='left' THEN 5.25::DOUBLE ELSE 88.75::DOUBLE END)*(x - CASE WHEN "end"='left' THEN 5.25::DOUBLE ELSE 88.75::DOUBLE END)+(y-25)*(y-25)) > 22.146::DOUBLE OR abs(y-25) > 25.0::DOUBLE - 3.344::DOUBLE, false) AS three FROM s1),
 run AS (SELECT *, lag(e) OVER w AS pe, lag(tm) OVER w AS pm, lag(us) OVER w AS pu FROM ct WINDOW w AS (PARTITION BY job_id ORDER BY us)),
 rid AS (SELECT *, sum(CASE WHEN pe IS NULL OR pe <> e THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY us) AS r FROM run),
 hd AS (SELECT job_id, r, min(us) AS t, arg_min(tm, us) AS m, arg_min(pe, us) AS pe, arg_min(pm, us) AS pm, arg_min(pu, us) AS pu FROM rid GROUP BY 1, 2),
-la AS (SELECT s.job_id, s.event_id, s.us, s.e, c.us AS cu FROM (SELECT * FROM s2 WHERE made AND e IS NOT NULL) s ASOF JOIN ct c ON s.job_id=c.job_id AND s.us >= c.us),
+la AS (SELECT s.job_id, s.event_id, s.us, s.e, c.us AS cu FROM (SELECT * FROM s2 WHERE made AND NOT ft AND e IS NOT NULL) s ASOF JOIN ct c ON s.job_id=c.job_id AND s.us >= c.us),
 ast AS (SELECT la.job_id, hd.pe AS e, hd.pm AS tm FROM la JOIN rid ON rid.job_id=la.job_id AND rid.us=la.cu JOIN hd ON hd.job_id=rid.job_id AND hd.r=rid.r WHERE rid.e=la.e AND la.us - hd.t <= {4 * DAY} AND hd.pe IS NOT NULL AND hd.pm = hd.m AND hd.t - hd.pu <= {2 * DAY}),
 rb AS (SELECT s.job_id, s.tm AS st, c.e, c.tm, c.us - s.us AS g FROM (SELECT * FROM s2 WHERE NOT made) s ASOF JOIN ct c ON s.job_id=c.job_id AND s.us < c.us),
-al AS (SELECT job_id, coalesce(tm, -1) AS team, CASE WHEN e IS NULL THEN 'team' ELSE 'e' || e END AS pk, 1 AS fga, made::INT AS fgm, three::INT AS fga3, (three AND made)::INT AS fgm3, CASE WHEN made THEN CASE WHEN three THEN 3 ELSE 2 END ELSE 0 END AS points, 0 AS ast, 0 AS oreb, 0 AS dreb FROM s2
-  UNION ALL SELECT job_id, tm, 'e' || e, 0,0,0,0,0, 1, 0, 0 FROM ast UNION ALL SELECT job_id, tm, 'e' || e, 0,0,0,0,0,0, coalesce(tm = st, false)::INT, 1 - coalesce(tm = st, false)::INT FROM rb WHERE g <= {3 * DAY})
-SELECT job_id, team, pk AS player_key, sum(fga)::BIGINT AS fga, sum(fgm)::BIGINT AS fgm, sum(fga3)::BIGINT AS fga3, sum(fgm3)::BIGINT AS fgm3, sum(points)::BIGINT AS points, sum(ast)::BIGINT AS ast, sum(oreb)::BIGINT AS oreb, sum(dreb)::BIGINT AS dreb FROM al GROUP BY 1, 2, 3""")
+al AS (SELECT job_id, coalesce(tm, -1) AS team, CASE WHEN e IS NULL THEN 'team' WHEN e % 3 = 0 THEN 'Player ' || e ELSE 'e' || e END AS pk, (NOT ft)::INT AS fga, (made AND NOT ft)::INT AS fgm, three::INT AS fga3, (three AND made)::INT AS fgm3, ft::INT AS fta, (ft AND made)::INT AS ftm, CASE WHEN made THEN CASE WHEN ft THEN 1 WHEN three THEN 3 ELSE 2 END ELSE 0 END AS points, 0 AS ast, 0 AS oreb, 0 AS dreb FROM s2
+  UNION ALL SELECT job_id, tm, CASE WHEN e % 3 = 0 THEN 'Player ' || e ELSE 'e' || e END, 0,0,0,0,0,0,0, 1, 0, 0 FROM ast UNION ALL SELECT job_id, tm, CASE WHEN e % 3 = 0 THEN 'Player ' || e ELSE 'e' || e END, 0,0,0,0,0,0,0,0, coalesce(tm = st, false)::INT, 1 - coalesce(tm = st, false)::INT FROM rb WHERE g <= {3 * DAY})
+SELECT job_id, team, pk AS player_key, sum(fga)::BIGINT AS fga, sum(fgm)::BIGINT AS fgm, sum(fga3)::BIGINT AS fga3, sum(fgm3)::BIGINT AS fgm3, sum(fta)::BIGINT AS fta, sum(ftm)::BIGINT AS ftm, sum(points)::BIGINT AS points, sum(ast)::BIGINT AS ast, sum(oreb)::BIGINT AS oreb, sum(dreb)::BIGINT AS dreb FROM al GROUP BY 1, 2, 3""")
 def _(t: Tables):
-    """Errors play the shots: shooter, assist and rebounder come from the control stream."""
+    """Errors play the shots, some of them free throws; shooter, assist and rebounder come from the control stream, a third of the players has names."""
     _, ctl, cfg = court(t)
     shots = t.ev.filter("event_type = 'error'").select((F.col("user_id") % 30).alias("job_id"), "event_id", F.col("us").alias("ts_start_ms"), F.col("us").alias("ts_end_ms"),
                                                        F.when(F.col("k") < 50, "left").otherwise("right").alias("court_end"), (F.col("k") % 3 == 0).alias("verdict_made"), F.lit(0.9).alias("confidence"))
-    names = ctl.limit(0).select("job_id", "entity_id", F.lit("").alias("name"))
-    box = hoops.box_score(hoops.box_events(shots, ctl, names, None, cfg))
-    return box.select("job_id", "team", "player_key", "fga", "fgm", "fga3", "fgm3", "points", "ast", "oreb", "dreb")
+    names = ctl.filter(F.col("entity_id") % 3 == 0).select("job_id", "entity_id", F.concat(F.lit("Player "), F.col("entity_id").cast("string")).alias("name")).distinct()
+    ft = t.ev.filter("event_type = 'error'").select((F.col("user_id") % 30).alias("job_id"), "event_id", (F.col("k") % 7 == 0).alias("is_ft"))
+    box = hoops.box_score(hoops.box_events(shots, ctl, names, ft, cfg))
+    return box.select("job_id", "team", "player_key", "fga", "fgm", "fga3", "fgm3", "fta", "ftm", "points", "ast", "oreb", "dreb")
 
 
 @query("agg13_box_totals", f"""WITH b AS (SELECT c_nationkey AS job_id, c_mktsegment AS bucket, count(*) AS fga, count_if(c_acctbal > 0) AS fgm, count_if(c_acctbal > 5000) AS fga3 FROM customer GROUP BY 1, 2) SELECT job_id, bucket, fga, fgm, fga - fga3 AS fga2 FROM b""")

@@ -53,18 +53,21 @@ def _(t: Tables):
 
 
 @query("src08_skillcorner", f"""WITH {EV}, e AS (SELECT us // {HOUR} AS frame, event_type, user_id, k::DOUBLE AS x, cents FROM ev),
-p AS (SELECT frame, user_id, v.x AS x, v.d AS det FROM (SELECT frame, user_id, arg_min({{'x': CASE WHEN cents % 5 <> 0 THEN x END, 'd': event_type = 'view'}}, (event_type, x)) AS v FROM e GROUP BY 1, 2))
-SELECT count(*) AS n, count_if(x IS NULL) AS unavailable, count_if(x IS NOT NULL AND det) AS detected, count_if(x IS NOT NULL AND NOT det) AS extrapolated FROM (SELECT frame, user_id, x, det FROM p)""")
+p AS (SELECT frame, user_id, v.x AS x, v.d AS det FROM (SELECT frame, user_id, arg_min({{'x': CASE WHEN cents % 5 <> 0 THEN x END, 'd': event_type = 'view'}}, (event_type, x)) AS v FROM e GROUP BY 1, 2)),
+pl AS (SELECT user_id, us // {HOUR} - 24 AS a, us // {HOUR} + 24 AS b FROM ev WHERE event_type = 'signup'), ex AS (SELECT DISTINCT f.frame, pl.user_id FROM (SELECT DISTINCT frame FROM p) f JOIN pl ON f.frame >= a AND f.frame < b),
+z AS (SELECT coalesce(p.user_id, ex.user_id) AS user_id, x, det FROM p FULL JOIN ex ON p.frame = ex.frame AND p.user_id = ex.user_id)
+SELECT count(*) AS n, count_if(x IS NULL) AS unavailable, count_if(x IS NOT NULL AND det) AS detected, count_if(x IS NOT NULL AND NOT det) AS extrapolated, count_if(user_id % 2 = 0 AND user_id IN (SELECT user_id FROM pl)) AS team_a, count_if(user_id NOT IN (SELECT user_id FROM pl)) AS no_team FROM z""")
 def _(t: Tables):
-    """JSON-lines frames (one per hour) read with the provider schema; nobody is expected beyond those present."""
+    """JSON-lines frames (one per hour) read with the provider schema; a user is expected from the day before to the day after each signup."""
     e = t.ev.select(F.floor(F.col("us") / F.lit(HOUR)).cast("int").alias("frame"), "event_type", "user_id", F.col("k").cast("double").alias("x"), "cents")
     p = e.groupBy("frame", "user_id").agg(F.min_by(F.struct(F.when(F.col("cents") % 5 != 0, F.col("x")).alias("x"), (F.col("event_type") == "view").alias("d")), F.struct("event_type", "x")).alias("_v"))
     frames = p.groupBy("frame").agg(F.collect_list(F.struct(F.col("user_id").alias("player_id"), F.col("_v.x").alias("x"), F.col("_v.x").alias("y"), F.col("_v.d").alias("is_detected"))).alias("player_data"))
     path = stage.scratch(t.spark)
     frames.select("frame", F.lit(1).alias("period"), F.lit("0:00:01.00").alias("timestamp"), "player_data").write.json(path)
-    playing = t.ev.limit(0).select(F.col("user_id").alias("player_id"), F.lit("a").alias("team_id"), F.lit(0).alias("start_frame"), F.lit(0).alias("end_frame"))
+    hour = F.floor(F.col("us") / F.lit(HOUR)).cast("int")
+    playing = t.ev.filter("event_type = 'signup'").select(F.col("user_id").alias("player_id"), F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("team_id"), (hour - 24).alias("start_frame"), (hour + 24).alias("end_frame"))
     o = tracking.skillcorner_observations(tracking.skillcorner_frames(t.spark, path), playing).filter("entity = 'player'")
-    return o.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("status") == s).alias(s) for s in ("unavailable", "detected", "extrapolated")])
+    return o.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("status") == s).alias(s) for s in ("unavailable", "detected", "extrapolated")], F.count_if(F.col("team_id") == "a").alias("team_a"), F.count_if(F.col("team_id").isNull()).alias("no_team"))
 
 
 @query("src09_typed_events", f"WITH {EV} SELECT event_id, CASE WHEN k % 10 <> 0 THEN cents::DOUBLE END AS cents, 'm1:' || event_id AS event_uid FROM ev")
@@ -257,12 +260,14 @@ def _(t: Tables):
 
 
 @query("src27_harvest", f"""WITH {EV}, d AS (SELECT user_id, event_id AS frame, CASE WHEN event_type = 'click' THEN 'ball' ELSE 'person' END AS kind, k FROM ev), keep AS (SELECT * FROM d WHERE (kind='person' AND k >= 60) OR (kind='ball' AND k >= 45)),
-b AS (SELECT user_id, frame, lead(frame) OVER (PARTITION BY user_id ORDER BY frame) - frame AS g FROM keep WHERE kind='ball'), f AS (SELECT user_id, frame + unnest(range(1, g)) AS frame FROM b WHERE g BETWEEN 2 AND 200)
-SELECT user_id, kind, filled, count(*) AS n, CAST(sum(frame) AS BIGINT) AS frames FROM (SELECT user_id, kind, false AS filled, frame FROM keep UNION ALL SELECT user_id, 'ball', true, frame FROM f) GROUP BY 1, 2, 3""")
+b AS (SELECT user_id, frame, lead(frame) OVER (PARTITION BY user_id ORDER BY frame) - frame AS g FROM keep WHERE kind='ball'), f AS (SELECT user_id, frame + unnest(range(1, g)) AS frame FROM b WHERE g BETWEEN 2 AND 200),
+all_ AS (SELECT user_id, kind, false AS filled, frame FROM keep UNION ALL SELECT user_id, 'ball', true, frame FROM f),
+r AS (SELECT l.user_id, 'rim' AS kind, false AS filled, l.frame FROM (SELECT DISTINCT user_id, frame FROM all_) l JOIN ev ON ev.user_id = l.user_id AND event_type = 'purchase' AND l.frame BETWEEN event_id AND event_id + 300)
+SELECT user_id, kind, filled, count(*) AS n, CAST(sum(frame) AS BIGINT) AS frames FROM (SELECT * FROM all_ UNION ALL SELECT * FROM r) GROUP BY 1, 2, 3""")
 def _(t: Tables):
     k = F.col("k").cast("double")
     d = t.ev.select("user_id", F.col("event_id").alias("frame"), F.when(F.col("event_type") == "click", "ball").otherwise("person").alias("kind"), (F.col("k") / 100.0).alias("conf"), k.alias("x1"), k.alias("y1"), k.alias("x2"), k.alias("y2"))
-    rims = d.limit(0).select("user_id", F.col("frame").alias("f0"), F.col("frame").alias("f1"), "x1", "y1", "x2", "y2")
+    rims = t.ev.filter("event_type = 'purchase'").select("user_id", F.col("event_id").alias("f0"), (F.col("event_id") + 300).alias("f1"), k.alias("x1"), k.alias("y1"), k.alias("x2"), k.alias("y2"))
     h = labels.harvest_labels(d, rims, ["user_id"], gap=(2, 200))
     return h.groupBy("user_id", "kind", "filled").agg(F.count(F.lit(1)).alias("n"), F.sum("frame").alias("frames"))
 

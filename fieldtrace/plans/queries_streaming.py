@@ -156,7 +156,7 @@ def features(t: Tables):
 @query("ml01_progression_forest")
 def _(t: Tables):
     train, test = features(t)
-    m = models.forest(train, ["k", "v", "hour"], "label", trees=40)
+    m = models.forest(train, ["k", "v", "hour"], "label")
     prior = train.agg(F.avg("label")).first()[0]
     return models.against_prior(models.score(m, test), "label", float(prior))
 
@@ -165,7 +165,7 @@ def _(t: Tables):
 def _(t: Tables):
     """Multi-class forest with balanced weights; counts per predicted class."""
     train, test = features(t)
-    m = models.forest(models.class_weights(train, "event_type"), ["k", "v", "hour"], "event_type", trees=20, weight="weight")
+    m = models.forest(models.class_weights(train, "event_type"), ["k", "v", "hour"], "event_type", trees=120, weight="weight")
     return m.transform(test).groupBy("_pred").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -188,4 +188,4 @@ def _(t: Tables):
 @query("ml05_team_clusters")
 def _(t: Tables):
     """Vectors of each label clustered into three."""
-    return models.team_clusters(t.embeddings.select("label", "vec_id", "embedding"), ["label"], "vec_id", "embedding", rounds=4)
+    return models.team_clusters(t.embeddings.select("label", "vec_id", "embedding"), ["label"], "vec_id", "embedding")

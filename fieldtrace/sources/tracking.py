@@ -76,12 +76,15 @@ def skillcorner_observations(frames: DataFrame, playing: DataFrame) -> DataFrame
     """SRC-08: rows of the players expected in a frame (playing in ``[start_frame, end_frame)``) or present
     in it, and of the ball; status detected, extrapolated, unavailable or unknown.
 
-    ``playing``: player_id, team_id, start_frame, end_frame (one match roster, joined by range).
+    ``playing``: player_id, team_id, start_frame, end_frame; its spans meet the frames in buckets of frame numbers.
     """
+    from fieldtrace.operators.interval import span_pairs
+
     f = frames.select("frame", "period", parse_hms(F.col("timestamp")).alias("timestamp_s"), "player_data", "ball_data")
     p = f.select("frame", F.explode("player_data").alias("_p")).select("frame", "_p.*")
-    spine = f.select("frame")
-    expected = spine.join(playing.select("player_id", "start_frame", "end_frame"), (F.col("frame") >= F.col("start_frame")) & (F.col("frame") < F.col("end_frame"))).select("frame", "player_id").distinct()
+    one = F.lit(0).alias("_match")
+    spans = playing.filter(F.col("start_frame") < F.col("end_frame")).select(one, "player_id", F.col("start_frame").cast("long").alias("_lo"), (F.col("end_frame") - 1).cast("long").alias("_hi"))
+    expected = span_pairs(f.select(one, F.col("frame")), spans, ["_match"], "frame", "_lo", "_hi", 1024).select("frame", "player_id").distinct()
     d = expected.withColumn("_exp", F.lit(True)).join(p, ["frame", "player_id"], "full_outer")
     status = lambda det, x: (F.when(x.isNull(), "unavailable").when(det.isNull(), "unknown").when(det, "detected").otherwise("extrapolated"))
     people = d.select("frame", F.col("player_id").cast("string").alias("provider_entity_id"), F.lit("player").alias("entity"), F.col("x").alias("x_m"), F.col("y").alias("y_m"),
