@@ -264,10 +264,10 @@ def report(facts: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
     by_code = facts.groupBy(*keys, "rule", "outcome", "code").agg(F.count("*").alias("n"), F.sum(F.col("blocking").cast("long")).alias("b"))
     total = by_code.groupBy(*keys, "rule").agg(*[F.sum(F.when(F.col("outcome") == o, F.col("n")).otherwise(0)).alias(c) for o, c in (("checked", "checked"), ("skipped", "skipped"), ("violation", "violations"))],
                                                F.sum("b").alias("blocking"), F.array_sort(F.collect_list(F.when(F.col("outcome") == "skipped", F.struct("code", "n")))).alias("skip_reasons"))
-    some = facts.select(*keys).distinct().withColumn("_some", F.lit(True))
-    d = spine.join(total, [*keys, "rule"], "left").join(some, keys, "left")
+    d = spine.join(total, [*keys, "rule"], "left")
     nothing = F.col("checked").isNull()
-    why = F.when(F.col("_some").isNull(), "state_frames_absent").otherwise("no_applicable_observations")
+    d = d.withColumn("_some", F.max(~nothing).over(Window.partitionBy(*keys)))  # a match has a row per rule
+    why = F.when(~F.col("_some"), "state_frames_absent").otherwise("no_applicable_observations")
     d = d.withColumn("skip_reasons", F.when(nothing, F.array(F.struct(why.alias("code"), F.lit(1).cast("long").alias("n")))).otherwise(F.col("skip_reasons")))
     d = d.withColumn("skipped", F.when(nothing, 1).otherwise(F.col("skipped"))).fillna(0, ["checked", "violations", "blocking"]).drop("_some")
     status = F.when(F.col("violations") > 0, "violations").when((F.col("skipped") > 0) & (F.col("checked") > 0), "partial").when(F.col("skipped") > 0, "skipped").otherwise("checked")
