@@ -223,35 +223,47 @@ SHAPES = {
 
 
 def formation(players: DataFrame, keys: list[str]) -> DataFrame:
-    """ML-07: nearest shape of eleven players (the deepest is left out as keeper) and its mean distance.
+    """ML-07: nearest shape of eleven placed players, its mean distance, and the role of each: the deepest is left out as
+    keeper, the others take the slots of the shape that cost least in total. Geometry, not a claim about roles.
 
-    ``players``: keys, player, x, y in attack direction. A side of one frame is one small array.
+    ``players``: keys, player, x, y in attack direction. A side of one frame is one small array; a batch of sides is
+    normalised and priced together. Any other number of players with a position gives "unknown".
     """
-    g = players.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "player"))).alias("_p"))
+    placed = F.coalesce(~F.isnan("x") & ~F.isnan("y") & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf")), F.lit(False))
+    d = players.select(*keys, "player", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    g = d.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(placed, F.struct("x", "y", "player")))).alias("_p"))
 
-    @F.pandas_udf("struct<shape:string,error:double>")
+    @F.pandas_udf("struct<shape:string,error:double,slots:array<int>>")
     def fit(batch: pd.Series) -> pd.DataFrame:
         import numpy as np
 
         from fieldtrace.operators.kernels import assign
 
-        shapes = {n: np.array([(d, w) for d, ws in lines for w in ws]) for n, lines in SHAPES.items()}
-        rows = []
-        for ps in batch:
-            if len(ps) != 11:
-                rows.append(("unknown", None))
-                continue
-            xy = np.array([(p["x"], p["y"]) for p in ps])[1:]  # sorted by x: the first is the deepest
-            xy = (xy - xy.min(axis=0)) / np.maximum(np.ptp(xy, axis=0), 1)
-            scored = []
-            for n, t in shapes.items():
-                cost = np.sqrt(((xy[:, None] - t[None]) ** 2).sum(axis=2))
-                scored.append((np.mean([cost[a, b] for a, b in assign(cost)]), n))
-            best = min(scored, key=lambda s: s[0])
-            rows.append((best[1], float(best[0])))
-        return pd.DataFrame(rows, columns=["shape", "error"])
-
-    return g.select(*keys, fit("_p").alias("_f")).select(*keys, "_f.shape", "_f.error")
+        out = pd.DataFrame({"shape": "unknown", "error": None, "slots": None}, index=range(len(batch)), dtype=object)
+        full = [i for i, side in enumerate(batch) if len(side) == 11]
+        if not full:
+            return out
+        spots = np.array([[(p["x"], p["y"]) for p in batch.iloc[i]] for i in full])[:, 1:]  # in order of depth, without the deepest
+        low, high = spots.min(axis=1, keepdims=True), spots.max(axis=1, keepdims=True)
+        spots = (spots - low) / np.maximum(high - low, 1)
+        best = [(np.inf, "", ())] * len(full)
+        for name, lines in SHAPES.items():
+            slots = np.array([(depth, width) for depth, widths in lines for width in widths])
+            price = np.hypot(spots[:, :, None, 0] - slots[:, 0], spots[:, :, None, 1] - slots[:, 1])
+            for k, cost in enumerate(price):
+                taken = assign(cost)
+                mean = sum(cost[p, s] for p, s in taken) / len(taken)
+                if mean < best[k][0]:
+                    best[k] = (mean, name, [s for _, s in sorted(taken)])
+        for i, (mean, name, taken) in zip(full, best, strict=True):
+            out.loc[i, "shape"], out.loc[i, "error"] = name, float(mean)
+            out.at[i, "slots"] = [-1, *map(int, taken)]
+        return out
+
+    role = lambda p, i: F.struct(p["player"].alias("player"), F.when(i == 0, "deepest_player_proxy").otherwise(
+        F.concat(F.col("_f.shape"), F.lit(":slot-"), (F.get("_f.slots", i) + 1).cast("string"))).alias("role"))
+    named = F.when(F.col("_f.slots").isNotNull(), F.transform("_p", role)).otherwise(F.array().cast(f"array<struct<player:{players.schema['player'].dataType.simpleString()},role:string>>"))
+    return g.withColumn("_f", fit("_p")).select(*keys, "_f.shape", "_f.error", named.alias("roles"))
 
 
 def orientation_audit(tracking: DataFrame, frames_: DataFrame) -> DataFrame:

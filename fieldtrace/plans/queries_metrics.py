@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldtrace.operators import metrics
+from fieldtrace.operators import metrics, uncertainty
 from fieldtrace.plans.registry import DAY, EV, Tables, query
 
 SCORED = f"""{EV}, s AS (SELECT event_id, user_id % 5 AS grp, (k::DOUBLE / 100.0::DOUBLE) AS p, (cents * 7 + k * 13) % 100 < k AS y, event_type FROM ev)"""
@@ -107,6 +107,39 @@ def _(t: Tables):
     return metrics.displacement(d, ["grp"], ["user_id"], "us", F.abs(F.col("k") - 50).cast("double"))
 
 
+FORECAST = f"""{EV}, w AS (SELECT user_id % 10 AS grp, user_id, us // {7 * DAY} AS win, us, event_id, user_id % 3 = 0 AS cal, k::DOUBLE AS tx, (cents % 60)::DOUBLE AS ty, (k + cents % 7 - 3)::DOUBLE AS mx, (cents % 60 + k % 5 - 2)::DOUBLE AS my, 1 + (k % 4)::DOUBLE AS scale FROM ev),
+e AS (SELECT *, sqrt((tx - mx) * (tx - mx) + (ty - my) * (ty - my)) AS miss FROM w)"""
+
+
+def forecasts(t: Tables):
+    k, c = F.col("k"), F.col("cents")
+    d = t.ev.select((F.col("user_id") % 10).alias("grp"), "user_id", F.floor(F.col("us") / F.lit(7 * DAY)).alias("win"), "us", k.cast("double").alias("tx"), (c % 60).cast("double").alias("ty"), (k + c % 7 - 3).cast("double").alias("mx"),
+                    (c % 60 + k % 5 - 2).cast("double").alias("my"), (1 + k % 4).cast("double").alias("scale"))
+    return d.filter("user_id % 3 = 0"), d.filter("user_id % 3 <> 0")
+
+
+@query("agg25_gaussian_coverage", f"""WITH {FORECAST}, r AS (SELECT grp, miss / scale AS z, row_number() OVER (PARTITION BY grp ORDER BY miss / scale) - 1 AS i, count(*) OVER (PARTITION BY grp) AS n FROM e WHERE cal),
+q AS (SELECT grp, max(z) FILTER (WHERE i = ceil(0.9::DOUBLE * (n - 1))) AS factor FROM r GROUP BY 1),
+t AS (SELECT e.*, factor, miss * miss / (2 * scale * scale) + 2 * ln(scale) + ln(2 * pi()) AS l, miss <= scale * sqrt(-2 * ln(1 - 0.9::DOUBLE)) AS own, miss <= factor * scale AS inside, factor * scale AS radius FROM e JOIN q USING (grp) WHERE NOT cal),
+p AS (SELECT grp, user_id, win, count(*) AS n, sum(l) AS l, count_if(own) AS own, count_if(inside) AS ins, arg_max(inside, us)::INT AS ei, arg_max(radius, us) AS er, any_value(factor) AS factor FROM t GROUP BY ALL)
+SELECT grp, count(*) AS windows, sum(n)::BIGINT AS points, max(factor) AS factor, round(sum(l) / sum(n), 9) AS mean_nll, sum(own) / sum(n) AS own_coverage, sum(ins) / sum(n) AS coverage, avg(ei) AS end_coverage, round(avg(er), 9) AS mean_end_radius FROM p GROUP BY 1""")
+def _(t: Tables):
+    """A third of the users calibrates the radius, the others are covered by it or not."""
+    calibration, test = forecasts(t)
+    return uncertainty.gaussian_report(calibration, test, ["grp"], ["user_id", "win"], "us")
+
+
+@query("agg25_age_radii", f"""WITH {EV}, a AS (SELECT user_id % 10 AS grp, user_id % 3 = 0 AS cal, event_id, (cents % 400) / 100.0::DOUBLE AS age, (k * (1 + cents % 5))::DOUBLE AS err, event_type <> 'error' AS est FROM ev),
+b AS (SELECT grp, err, b, row_number() OVER (PARTITION BY grp, b ORDER BY err) - 1 AS i, count(*) OVER (PARTITION BY grp, b) AS n FROM a, range(1, 4) u(b) WHERE cal AND age > b - 1 AND age <= b + 1e-6),
+q AS (SELECT grp, b, max(err) FILTER (WHERE i = ceil(0.9::DOUBLE * (n - 1))) AS radius FROM b GROUP BY ALL)
+SELECT event_id, CASE WHEN est THEN radius END AS radius, CASE WHEN est THEN err <= radius END AS covered FROM a LEFT JOIN q ON q.grp = a.grp AND q.b = least(greatest(ceil(age - 1e-6), 1), 3) WHERE NOT cal""")
+def _(t: Tables):
+    d = t.ev.select((F.col("user_id") % 10).alias("grp"), "user_id", "event_id", (F.col("cents") % 400 / F.lit(100.0)).alias("age"), (F.col("k") * (1 + F.col("cents") % 5)).cast("double").alias("err"), "event_type")
+    radii = uncertainty.age_radii(d.filter("user_id % 3 = 0"), ["grp"], "age", "err")
+    out = uncertainty.with_radii(d.filter("user_id % 3 <> 0"), radii, ["grp"], "age", estimated=F.col("event_type") != "error")
+    return out.select("event_id", "radius", (F.col("err") <= F.col("radius")).alias("covered"))
+
+
 @query("agg26_multiclass", f"""WITH {EV}, s AS (SELECT event_type AS tr, CASE WHEN k % 3 = 0 THEN 'click' ELSE event_type END AS pr FROM ev),
 c AS (SELECT tr AS c FROM s UNION SELECT pr FROM s),
 m AS (SELECT c.c, (SELECT count(*) FROM s WHERE tr = c.c) AS t, (SELECT count(*) FROM s WHERE pr = c.c) AS p, (SELECT count(*) FROM s WHERE tr = c.c AND pr = c.c) AS tp FROM c)
