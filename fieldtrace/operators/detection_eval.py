@@ -144,3 +144,29 @@ def mean_precision(table: DataFrame, label: str) -> DataFrame:
     each = table.groupBy(F.col(label).cast("string").alias("label")).agg(F.avg("ap").alias("map"), pick(0.5).alias("ap50"), pick(0.75).alias("ap75"))
     both = each.unionByName(each.groupBy(F.lit("all").alias("label")).agg(*[F.avg(c).alias(c) for c in ("map", "ap50", "ap75")]))
     return both.select("label", *[F.round(c, 9).alias(c) for c in ("map", "ap50", "ap75")])
+
+
+def chain_churn(boxes: DataFrame, keys: list[str], frame: str, box_id: str, track: str, min_iou: float, min_chain: int, hot_rows: int | None = None) -> DataFrame:
+    """AGG-34: boxes linked from frame to frame into chains, and how often a chain changes its track id.
+
+    Between a frame and the next one with boxes, pairs are taken by falling overlap, one to one, from ``min_iou`` on. Chains
+    are the components of these links, closed by label jumps in logarithmically many rounds; a flip is a link between
+    different tracks. Flips count on chains of ``min_chain`` boxes at least.
+    """
+    from fieldtrace.operators.linking import components
+    from fieldtrace.operators.matching import greedy_match
+    from fieldtrace.operators.ordered import next_
+    from fieldtrace.session import cut_lineage
+
+    step = scan(boxes.select(*keys, frame).distinct(), keys, [frame], {"_to": next_(F.col(frame))}, hot_rows).filter("_to IS NOT NULL")
+    b = boxes.select(*keys, F.col(frame).alias("_to"), F.col(box_id).alias("_b"), F.col(track).alias("_tb"), *[F.col(c).alias(f"r_{c}") for c in BOX])
+    pairs = boxes.select(*keys, frame, F.col(box_id).alias("_a"), F.col(track).alias("_ta"), *BOX).join(step, [*keys, frame]).join(b, [*keys, "_to"])
+    pairs = pairs.withColumn("_o", -G.iou(box(), box("r_"))).filter(F.col("_o") <= -min_iou).select(*keys, frame, "_a", "_b", "_o", (~F.col("_ta").eqNullSafe(F.col("_tb"))).cast("long").alias("_flip"))
+    links = cut_lineage(greedy_match(pairs, [*keys, frame], "_a", "_b", ["_o", "_a", "_b"]))
+    roots = components(boxes.select(*keys, F.col(box_id).alias("_a")).distinct(), links, keys, "_a", "_a", "_b")
+    flips = links.groupBy(*keys, "_a").agg(F.sum("_flip").alias("_flip"))
+    chains = roots.join(flips, [*keys, "_a"], "left").groupBy(*keys, "root").agg(F.count("*").alias("_n"), F.coalesce(F.sum("_flip"), F.lit(0)).alias("_f"))
+    long_ = F.col("_n") >= min_chain
+    d = chains.groupBy(*keys).agg(F.count("*").alias("chains"), F.count_if(long_).alias("long_chains"), F.count_if(long_ & (F.col("_f") > 0)).alias("flipped"),
+                                  F.coalesce(F.sum(F.when(long_, F.col("_f"))), F.lit(0)).alias("flips"), F.coalesce(F.max(F.when(long_, F.col("_f"))), F.lit(0)).alias("most_flips"))
+    return d.withColumn("flip_rate", F.col("flipped") / F.greatest("long_chains", F.lit(1))).withColumn("flips_per_chain", F.col("flips") / F.greatest("long_chains", F.lit(1)))

@@ -163,3 +163,19 @@ def _(t: Tables):
     """Candidates and elimination together; a third of the events is taken before."""
     items, names, events = named_orders(t)
     return matching.pair_items(items, names, events, "item", "event", events.filter(F.col("event") % 3 == 0))
+
+
+@query("agg34_chain_churn", f"""WITH RECURSIVE {EV}, b AS (SELECT event_id, user_id, us // {2 * DAY} AS d, k % 4 AS track, (k // 4)::DOUBLE AS x1, (cents % 20)::DOUBLE AS y1, (k // 4)::DOUBLE + 30 AS x2, (cents % 20)::DOUBLE + 26 AS y2 FROM ev),
+nx AS (SELECT user_id, d, lead(d) OVER (PARTITION BY user_id ORDER BY d) AS nd FROM (SELECT DISTINCT user_id, d FROM b)),
+pr AS (SELECT p.user_id || '-' || p.d AS frame, 0 AS label, 0.5::DOUBLE AS limit_, p.event_id AS pid, t.event_id AS tid, {sql_iou('p', 't')} AS value FROM b p JOIN nx ON nx.user_id = p.user_id AND nx.d = p.d JOIN b t ON t.user_id = p.user_id AND t.d = nd),
+{greedy('pr', 'value DESC, pid, tid', 'value >= 0.5')},
+ch AS (SELECT event_id AS node, event_id AS root FROM b WHERE event_id NOT IN (SELECT tid FROM m) UNION ALL SELECT m.tid, root FROM ch JOIN m ON m.pid = node),
+fl AS (SELECT ch.root, count_if(p.track <> t.track) AS f FROM m JOIN ch ON ch.node = m.pid JOIN b p ON p.event_id = m.pid JOIN b t ON t.event_id = m.tid GROUP BY 1),
+c AS (SELECT b.user_id, ch.root, count(*) AS n, coalesce(any_value(f), 0) AS f FROM ch JOIN b ON b.event_id = ch.node LEFT JOIN fl ON fl.root = ch.root GROUP BY ALL),
+g AS (SELECT user_id, count(*) AS chains, count_if(n >= 3) AS long_chains, count_if(n >= 3 AND f > 0) AS flipped, coalesce(sum(f) FILTER (WHERE n >= 3), 0)::BIGINT AS flips, coalesce(max(f) FILTER (WHERE n >= 3), 0) AS most_flips FROM c GROUP BY 1)
+SELECT *, flipped / greatest(long_chains, 1) AS flip_rate, flips / greatest(long_chains, 1) AS flips_per_chain FROM g""")
+def _(t: Tables):
+    """A user's two days are a frame; boxes are chained over frames, tracks are a number's remainder."""
+    k, y = F.floor(F.col("k") / 4).cast("double"), (F.col("cents") % 20).cast("double")
+    d = t.ev.select("user_id", F.floor(F.col("us") / F.lit(2 * DAY)).alias("d"), "event_id", (F.col("k") % 4).alias("track"), k.alias("x1"), y.alias("y1"), (k + 30).alias("x2"), (y + 26).alias("y2"))
+    return detection_eval.chain_churn(d, ["user_id"], "d", "event_id", "track", 0.5, 3)

@@ -162,3 +162,14 @@ def test_only_reviewed_frames_are_scored(spark):
             score(*bad)
     with pytest.raises(ValueError):
         score(t.unionByName(t), p, cover)
+
+
+def test_chains_count_their_flips(spark):
+    rows, n = [], 0
+    for f in (1, 2, 4, 5):  # frame 3 has no boxes, so 2 and 4 are neighbours
+        for lane, track in ((0.0, "a" if f < 4 else "b"), (100.0, "c")):
+            rows.append(("m", f, n, track, lane + f, 0.0, lane + f + 20, 20.0))
+            n += 1
+    rows += [("m", 5, n, "d", 500.0, 0.0, 520.0, 20.0), ("m", 5, n + 1, "e", 6.0, 8.0, 26.0, 28.0)]  # alone, and a poorer match of the first lane
+    r = de.chain_churn(spark.createDataFrame(rows, f"match string, frame int, id int, track string, {COLS}"), ["match"], "frame", "id", "track", 0.3, 3).first()
+    assert (r["chains"], r["long_chains"], r["flipped"], r["flips"], r["most_flips"]) == (4, 2, 1, 1, 1) and r["flip_rate"] == 0.5 and r["flips_per_chain"] == 0.5
