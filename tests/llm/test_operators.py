@@ -453,3 +453,68 @@ def test_long_shared_notices_hide_no_common_line(spark):
     assert common == {line_quality.line_hash(x.encode()) for x in [*notices, banner]}
     kept = {r["doc_id"]: r["kept"] for r in line_quality.judge(docs, min_docs=50, share=0.1).collect()}
     assert not any(kept[i] for i in range(150)) and all(kept[1000 + i] for i in range(120))
+
+
+def common_of(docs):
+    return {r["line"] for r in line_quality.common_lines(line_quality.line_facts(docs)).collect()}
+
+
+def test_small_hosts_lose_their_banner(spark):
+    rng = random.Random(51)
+    banner = "All rights are with the weekly paper of our town"
+    rows = [(i, "h", f"{lorem(rng, 30)}\n{banner}") for i in range(90)] + [(500 + i, "few", f"{lorem(rng, 30)}\n{banner}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert [(r["host"], r["line"], r["n_docs"], r["bound"]) for r in line_quality.common_lines(line_quality.line_facts(docs)).collect()] == [("h", line_quality.line_hash(banner.encode()), 90, 5.0)]
+    cleaned = {r["doc_id"]: r["text"] for r in line_quality.clean(docs).collect()}
+    assert len(cleaned) == 95 and all((banner in t) == (k >= 500) for k, t in cleaned.items())
+
+
+def test_bylines_hide_no_banner(spark):
+    rng = random.Random(52)
+    banner = "Read all of it in the printed paper"
+    by = "This article was first published by the weekend desk of our paper number {}"
+    docs = spark.createDataFrame([(i, "h", f"{by.format(i)}\n{lorem(rng, 9)}\n{banner}") for i in range(400)], "doc_id long, source string, text string")
+    assert common_of(docs) == {line_quality.line_hash(banner.encode())}
+
+
+def test_near_copies_keep_their_lines(spark):
+    rng = random.Random(53)
+    lines = [lorem(rng, 25, 3000).split() for _ in range(8)]
+    rows = [(i, "h", lorem(rng, 60, 3000)) for i in range(100)]
+    for i in range(500):  # three words of each copy are others
+        own = [list(x) for x in lines]
+        for _ in range(3):
+            own[rng.randrange(8)][rng.randrange(25)] = f"edit{rng.randrange(10 ** 6)}"
+        rows.append((1000 + i, "h", "\n".join(" ".join(x) for x in own)))
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert common_of(docs) == set() and all(r["kept"] for r in line_quality.judge(docs).collect())
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    rng = random.Random(54)
+    banner = "All rights are with the weekly paper of our town"
+    rows = [(i, "h", f"{lorem(rng, 30)}\n{banner}") for i in range(20)] + [(7, "h", lorem(rng, 40)), (7, "h", f"one two\n{banner}")]
+    got = [(r["n_words"], r["lost_words"], r["kept"]) for r in line_quality.judge(spark.createDataFrame(rows, "doc_id long, source string, text string")).where("doc_id = 7").collect()]
+    assert sorted(got, key=str) == [(12, 10, False), (40, 10, True), (40, None, True)]
+
+
+def test_quality_rules_against_sql_where_lines_go(spark, tmp_path):
+    rng = random.Random(55)
+    notice, banner = " ".join(f"n{k}" for k in range(50)), "Sign up for our letter"
+    by = "This article was first published by the weekend desk of our paper number {}"
+    rows = [(i, "a", "\n".join([lorem(rng, 8), notice, banner])) for i in range(60)]
+    rows += [(100 + i, "b", "\n".join([by.format(i), lorem(rng, rng.randrange(4, 14)), banner])) for i in range(80)]
+    line = [lorem(rng, 12).split() for _ in range(5)]
+    for i in range(60):
+        own = [list(x) for x in line]
+        own[i % 5][rng.randrange(12)] = f"e{i}"
+        rows.append((300 + i, "a" if i % 2 else None, "\n".join(" ".join(x) for x in own)))
+    rows += [(400 + i, "a", rows[3][2].upper()) for i in range(30)] + [(500, "a", None), (501, "a", ""), (502, None, banner)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    registry.load()
+    status, _, _, info = compare(spark, con, "op10_line_quality", str(tmp_path))
+    assert status == "OK", info
+    kept = {r["doc_id"]: r["kept"] for r in line_quality.op10(spark, str(tmp_path)).collect()}
+    assert not any(kept[i] for i in range(60)) and all(kept[i] for i in range(300, 360))
