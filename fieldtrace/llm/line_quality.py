@@ -5,9 +5,10 @@ each hash are counted; lines above the host's limit go, and a document that lose
 rejected. Copies of one document must not turn its own lines into boilerplate, so they count as one document:
 
 * Rows of a host with the same set of lines are one document.
-* A document counts by itself if it has a line of its own: six words or more, in no other document of the host, and
-  none of the four smallest hashes of its three words in a row in any other line of the host. An edited copy of a line
-  keeps most of its hashes and so is not a line of its own; neither is a byline that differs in a number.
+* A document that shares no line with another counts by itself. So does one with a line of its own: six words or more,
+  and none of the four smallest hashes of its three words in a row in any other line of documents with shared lines. An
+  edited copy of a line keeps most of its hashes and so is not a line of its own; neither is a byline that differs in a
+  number.
 * Documents without such a line, which are near copies or made of shared lines alone, count once for the rarest of the
   lines that they share with others.
 
@@ -155,18 +156,21 @@ def line_facts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.mapInArrow(_facts, _FACTS)
 
 
-def distinct_documents(docs: DataFrame, shared: DataFrame, counted: DataFrame) -> DataFrame:
+def distinct_documents(facts: DataFrame, sets: DataFrame, shared: DataFrame) -> DataFrame:
     """(host, line_set, document): what each set of lines counts as.
 
-    ``counted``: (host, line, n, line_set, marks) of distinct lines; ``shared``: (host, line_set, line, n) of lines with n >= 2.
+    ``sets``: (host, line_set); ``shared``: (host, line_set, line, n) of the lines in n >= 2 sets. A set without shared lines
+    counts for itself and takes no part in the comparison of marks.
     """
-    marks = counted.where(F.size("marks") > 0).select("host", "line", F.when(F.col("n") == 1, F.col("line_set")).alias("line_set"), F.explode("marks").alias("mark"))
-    # a mark that one line has comes out of the aggregate with that line and the one document of it
-    single = marks.groupBy("host", "mark").agg(F.count("*").alias("c"), F.first("line").alias("line"), F.first("line_set").alias("line_set")).where("c = 1 AND line_set IS NOT NULL")
-    novel = single.groupBy("host", "line_set", "line").agg(F.count("*").alias("c")).where(F.col("c") == len(_ORDERS)).select("host", "line_set").distinct().withColumn("novel", F.lit(True))
+    set_key = F.xxhash64("host", "line_set")
     rarest = shared.groupBy("host", "line_set").agg(F.min(F.struct("n", "line")).alias("least")).select("host", "line_set", F.col("least.line").alias("rarest"))
-    sets = docs.select("host", "line_set").join(novel, ["host", "line_set"], "left").join(rarest, ["host", "line_set"], "left")
-    return sets.select("host", "line_set", F.when(F.col("novel") | F.col("rarest").isNull(), F.struct(F.lit(0).alias("kind"), F.col("line_set").alias("key"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("rarest").alias("key"))).alias("document"))
+    asked = facts.select("host", "line_set", "sketches").join(rarest.select("host", "line_set"), ["host", "line_set"]).groupBy("host", "line_set").agg(F.first("sketches").alias("sketches"))
+    marks = asked.select("host", set_key.alias("doc"), F.posexplode("sketches").alias("at", "own")).select(F.explode("own").alias("mark"), "host", "doc", "at").select(F.xxhash64("host", "mark").alias("mark"), "doc", "at")
+    # a mark that stands once comes out of the aggregate with its line
+    single = marks.groupBy("mark").agg(F.count("*").alias("c"), F.first("doc").alias("doc"), F.first("at").alias("at")).where("c = 1").select("doc", "at")
+    novel = single.groupBy("doc", "at").agg(F.count("*").alias("c")).where(F.col("c") == len(_ORDERS)).select("doc").distinct().withColumn("novel", F.lit(True))
+    known = rarest.withColumn("doc", set_key).join(novel, "doc", "left").where("novel IS NULL").select("host", "line_set", "rarest")
+    return sets.join(known, ["host", "line_set"], "left").select("host", "line_set", F.struct(F.col("rarest").isNull().alias("own"), F.coalesce("rarest", "line_set").alias("key")).alias("document"))
 
 
 def common_lines(facts: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
@@ -174,12 +178,11 @@ def common_lines(facts: DataFrame, min_docs: int = MIN_DOCS, share: float = SHAR
 
     Lines and documents are made distinct on (host, line, document) first, so that no task meets all documents of a hot line.
     """
-    docs = facts.where(F.size("lines") > 0).groupBy("host", "line_set").agg(F.first(F.struct("lines", "sketches")).alias("d")).select("host", "line_set", "d.*")
-    lines = docs.select("host", "line_set", F.explode(F.arrays_zip("lines", "sketches")).alias("x"))
-    counted = core.cut(lines.groupBy("host", F.col("x.lines").alias("line")).agg(F.count("*").alias("n"), F.first("line_set").alias("line_set"), F.first("x.sketches").alias("marks")))
-    bare = docs.select("host", "line_set", F.explode("lines").alias("line"))
-    shared = core.cut(bare.join(counted.where("n > 1").select("host", "line", "n"), ["host", "line"]).select("host", "line_set", "line", "n"))
-    documents = core.cut(distinct_documents(docs, shared, counted))
+    sets = facts.where(F.size("lines") > 0).groupBy("host", "line_set").agg(F.first("lines").alias("lines"))
+    lines = sets.select("host", "line_set", F.explode("lines").alias("line"))
+    counted = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where("n > 1")
+    shared = core.cut(lines.join(counted, ["host", "line"]).select("host", "line_set", "line", "n"))
+    documents = core.cut(distinct_documents(facts, facts.where(F.size("lines") > 0).select("host", "line_set").distinct(), shared))
     sizes = documents.select("host", "document").distinct().groupBy("host").agg(F.greatest(F.lit(float(min_docs)), F.count("*") * F.lit(share)).alias("bound"))
     often = shared.where(F.col("n") > min_docs).join(documents, ["host", "line_set"]).select("host", "line", "document").distinct()
     return often.groupBy("host", "line").agg(F.count("*").alias("n_docs")).join(sizes, "host").where("n_docs > bound")
@@ -248,14 +251,15 @@ dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM real_lines GROU
 sets AS (SELECT host, hash AS s, list_distinct(flatten(list(x))) AS x FROM (SELECT doc_id, host, md5(string_agg(norm, chr(10) ORDER BY norm)) AS hash, list(norm) AS x
                  FROM (SELECT DISTINCT doc_id, host, norm FROM real_lines) GROUP BY doc_id, host) GROUP BY host, hash),
 held AS (SELECT host, s, unnest(x) AS norm FROM sets),
-uses AS (SELECT host, norm, count(*) AS n, min(s) AS s, string_split(norm, ' ') AS w FROM held GROUP BY host, norm),
-numbers AS (SELECT host, norm, n, s, list_transform(w, lambda x: md5_number_lower(x)::HUGEINT) AS v FROM uses WHERE len(w) >= 6),
-orders AS (SELECT * FROM (VALUES {orders}) o(j, a, b, c)),
-marks AS (SELECT host, norm, n, s, j, min((v[i] * a + v[i + 1] * b + v[i + 2] * c) % 18446744073709551616) AS mark
-            FROM (SELECT *, unnest(range(1, len(v) - 1)) AS i FROM numbers), orders GROUP BY host, norm, n, s, j),
-alone AS (SELECT host, norm, n, s, count(*) OVER (PARTITION BY host, mark) AS c FROM marks),
-novel AS (SELECT DISTINCT host, s FROM (SELECT host, s, norm FROM alone WHERE n = 1 GROUP BY host, s, norm HAVING max(c) = 1)),
+uses AS (SELECT host, norm, count(*) AS n FROM held GROUP BY host, norm),
 rarest AS (SELECT host, h.s, arg_min(norm, (n, md5_number_lower(norm) // 2)) AS norm FROM held h JOIN uses u USING (host, norm) WHERE n > 1 GROUP BY host, h.s),
+numbers AS (SELECT host, s, held.norm, list_transform(string_split(held.norm, ' '), lambda x: md5_number_lower(x)::HUGEINT) AS v
+              FROM held JOIN rarest USING (host, s) WHERE len(string_split(held.norm, ' ')) >= 6),
+orders AS (SELECT * FROM (VALUES {orders}) o(j, a, b, c)),
+marks AS (SELECT host, s, norm, j, min((v[i] * a + v[i + 1] * b + v[i + 2] * c) % 18446744073709551616) AS mark
+            FROM (SELECT *, unnest(range(1, len(v) - 1)) AS i FROM numbers), orders GROUP BY host, s, norm, j),
+alone AS (SELECT host, s, norm, count(*) OVER (PARTITION BY host, mark) AS c FROM marks),
+novel AS (SELECT DISTINCT host, s FROM (SELECT host, s, norm FROM alone GROUP BY host, s, norm HAVING max(c) = 1)),
 documents_of AS (SELECT host, sets.s, CASE WHEN novel.s IS NOT NULL OR rarest.s IS NULL THEN 'set ' || sets.s ELSE 'line ' || rarest.norm END AS document
                    FROM sets LEFT JOIN novel USING (host, s) LEFT JOIN rarest USING (host, s)),
 sizes AS (SELECT host, greatest(5.0, count(DISTINCT document) * 0.05) AS bound FROM documents_of GROUP BY host),
