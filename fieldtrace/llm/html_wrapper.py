@@ -14,7 +14,8 @@ families nothing is learnt, and lists of links outside an article are left out i
 
 Matching works on tree shapes, and equal pairs of shapes are matched once per worker; texts travel as hashes. Defined
 cases: null or empty html has an empty text; a null url shares one host with other urls without a host; a page cut off
-inside a tag ends before it; rows that repeat a page_id are each extracted.
+inside a tag ends before it; elements nest to any depth, and end tags of nothing open are passed over; rows that repeat a
+page_id are each extracted.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ import functools
 import html as entities
 import json
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +56,7 @@ KEEPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*\Z", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+(?![a-z])")
+_TOKEN = re.compile(r"[\[\]]|\"(?:[^\"\\]|\\.)*\"")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
@@ -93,6 +96,7 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node, int]]]:
     root = Node("", "", False, 0, False)
     stack, homes, blocks, parts, linked = [root], [root], [], [], 0
     at, end = 0, len(page)
+    opened: Counter = Counter()  # an end tag of nothing open costs no look through the stack
 
     def flush():
         nonlocal linked
@@ -117,7 +121,7 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node, int]]]:
             if stack[-1].tag in BLOCK or stack[-1].dropped and not stack[-2].dropped:
                 flush()
                 homes.pop()
-            stack.pop()
+            opened[stack.pop().tag] -= 1
 
     while at < end:
         m = _TAG.search(page, at)
@@ -128,10 +132,11 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node, int]]]:
         if not tag:
             continue
         if m[1]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    close(depth)
-                    break
+            if opened[tag]:
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth].tag == tag:
+                        close(depth)
+                        break
             continue
         if tag == "br":
             parts.append(" ")
@@ -168,6 +173,7 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node, int]]]:
             homes[-1].children.append(node)
             homes.append(node)
         stack.append(node)
+        opened[tag] += 1
     close(1)
     flush()
     return root, blocks
@@ -175,85 +181,92 @@ def parse(page: str) -> tuple[Node, list[tuple[str, Node, int]]]:
 
 # --- trees
 
-def fold(node: Node):
-    """(label, children, blocks) with equal neighbours made one, deeply."""
-
-    def join(items):
-        out = []
-        for label, children, blocks in items:
-            if out and out[-1][0] == label:
-                out[-1] = (label, out[-1][1] + children, out[-1][2] + blocks)
+def fold(node: Node) -> list:
+    """[label, children, blocks] with equal neighbours made one, deeply; without recursion, as pages nest to any depth."""
+    root = [node.label, [], list(node.blocks)]
+    todo = [(root, node.children)]
+    while todo:
+        into, children = todo.pop()
+        groups: list[tuple[list, list[Node]]] = []
+        for c in children:
+            if groups and groups[-1][0][0] == c.label:
+                groups[-1][0][2].extend(c.blocks)
+                groups[-1][1].extend(c.children)
             else:
-                out.append((label, children, blocks))
-        return [(label, join(children), blocks) for label, children, blocks in out]
-
-    def plain(n: Node):
-        return n.label, [plain(c) for c in n.children], n.blocks
-
-    return join([plain(node)])[0]
+                groups.append(([c.label, [], list(c.blocks)], list(c.children)))
+        into[1] = [item for item, _ in groups]
+        todo += groups
+    return root
 
 
 def shape(folded) -> tuple[str, list[list[int]]]:
     """(JSON of labels in nested lists, blocks of each node in pre-order)."""
-    held = []
-
-    def walk(item):
+    out, held, todo = [], [], [folded]
+    while todo:
+        item = todo.pop()
+        if item is None:
+            out.append("]")
+            continue
         label, children, blocks = item
         held.append(blocks)
-        return [label, *(walk(c) for c in children)]
-
-    return json.dumps(walk(folded), separators=(",", ":")), held
+        out.append(f"{',' if out else ''}[{json.dumps(label)}")
+        todo.append(None)
+        todo += reversed(children)
+    return "".join(out), held
+
+
+def _tree(text: str) -> tuple[list[str], list[list[int]]]:
+    """(labels, children) of the nodes of a shape in pre-order."""
+    labels, children, stack = [], [], []
+    for token in _TOKEN.findall(text):
+        if token == "[":
+            if stack:
+                children[stack[-1]].append(len(children))
+            stack.append(len(children))
+            children.append([])
+        elif token == "]":
+            stack.pop()
+        else:
+            labels.append(token)
+    return labels, children
 
 
 @functools.lru_cache(maxsize=4096)
 def align(mine: str, reference: str) -> tuple[int, ...]:
     """For each node of a shape in pre-order, the node of the reference that simple tree matching pairs it with, or -1."""
+    names, under = _tree(mine)
     if mine == reference:
-        return tuple(range(mine.count("[")))
-
-    def number(tree, at=0):
-        label, *children = tree
-        out, own = [], at
-        at += 1
-        for c in children:
-            item, at = number(c, at)
-            out.append(item)
-        return (label, out, own), at
-
-    a, n = number(json.loads(mine))
-    b, _ = number(json.loads(reference))
-    known: dict[tuple[int, int], tuple] = {}
-
-    def weigh(x, y) -> int:
-        """Pairs in the largest matching of two trees; their tables are kept for the way back."""
-        if x[0] != y[0]:
-            return 0
-        if (x[2], y[2]) not in known:
-            best = np.zeros((len(x[1]) + 1, len(y[1]) + 1), np.int64)
-            own = [[weigh(c, d) for d in y[1]] for c in x[1]]
-            for i, row in enumerate(own, 1):
-                for j, w in enumerate(row, 1):
-                    best[i, j] = max(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1] + w)
-            known[x[2], y[2]] = (best, own)
-        return 1 + int(known[x[2], y[2]][0][-1, -1])
-
-    out = [-1] * n
-
-    def pair(x, y):
-        out[x[2]] = y[2]
-        best, own = known[x[2], y[2]]
-        i, j = len(x[1]), len(y[1])
+        return tuple(range(len(names)))
+    other_names, other_under = _tree(reference)
+    out = [-1] * len(names)
+    if names[0] != other_names[0]:
+        return tuple(out)
+    # a pair of nodes has one pair of parents, so each is met once, after its parents
+    pairs = [(0, 0)]
+    for x, y in pairs:
+        pairs += [(c, d) for c in under[x] for d in other_under[y] if names[c] == other_names[d]]
+    weight: dict[tuple[int, int], int] = {}
+    tables: dict[tuple[int, int], np.ndarray] = {}
+    for x, y in reversed(pairs):
+        best = tables[x, y] = np.zeros((len(under[x]) + 1, len(other_under[y]) + 1), np.int64)
+        for i, c in enumerate(under[x], 1):
+            for j, d in enumerate(other_under[y], 1):
+                best[i, j] = max(best[i - 1, j], best[i, j - 1], best[i - 1, j - 1] + weight.get((c, d), 0))
+        weight[x, y] = 1 + int(best[-1, -1])
+    todo = [(0, 0)]
+    while todo:
+        x, y = todo.pop()
+        out[x] = y
+        best, i, j = tables[x, y], len(under[x]), len(other_under[y])
         while i and j:
-            if own[i - 1][j - 1] and best[i, j] == best[i - 1, j - 1] + own[i - 1][j - 1]:
-                pair(x[1][i - 1], y[1][j - 1])
+            c, d = under[x][i - 1], other_under[y][j - 1]
+            if (c, d) in weight and best[i, j] == best[i - 1, j - 1] + weight[c, d]:
+                todo.append((c, d))
                 i, j = i - 1, j - 1
             elif best[i, j] == best[i - 1, j]:
                 i -= 1
             else:
                 j -= 1
-
-    if weigh(a, b):
-        pair(a, b)
     return tuple(out)
 
 

@@ -68,6 +68,14 @@ def test_wrapper_is_learnt_where_no_element_names_it(spark):
     assert got == {i: f"T{i}\n{t}" for i, t in enumerate(bodies)}
 
 
+def test_pages_nest_to_any_depth_and_may_hold_stray_end_tags(spark):
+    rng = random.Random(61)
+    pages = [(i, f"http://a.b/{i}", "<div>" * depth + f"<p>{lorem(rng, 20)} end{i}" + "</b></div>" * 9) for i, depth in enumerate([3, 3, 4, 5, 6, 7, 900, 100_000])]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert len(got) == 8 and all(got[i].endswith(f"end{i}") for i in range(8))
+    assert html_wrapper.content("<p>a<b>b" * 3 + "</i>" * 20_000 + "c") == "ab\nab\nabc"
+
+
 def test_article_without_what_surrounds_it():
     page = ("<html><head><title>x</title></head><body class='has-sidebar'><header>Site</header><nav><a href='/'>Home</a></nav><article><header><h1>A &amp; B</h1></header>"
             "<p>one <b>two</b>\n three<br>four<p>five&nbsp;six<div class='cookie-notice'>ok?</div><ul><li>x<li>y</ul><form>f</form><section id='comments'>no</section></article>"
