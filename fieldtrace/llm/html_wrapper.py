@@ -38,6 +38,7 @@ from fieldtrace.llm.registry import query
 FAMILIES = 5  # a host with fewer teaches nothing
 CONSTANT = 0.5  # share of a host's families in which a constant text stands
 RECURRING = 0.5  # distinct texts per use below which a slot outside the article is template
+ORDERS = np.array([1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)  # odd multipliers: orders of hashes
 SALTS = 16  # shares in which a host's pages meet its wrapper
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -278,8 +279,15 @@ def _pages(batch) -> list[str]:
     return [x.decode("utf-8", "replace") for x in core.blobs(batch)]
 
 
+def signatures(texts: list[str]) -> list[int]:
+    """Smallest hash of three words in a row of all texts end to end, in each order; of the words where they are fewer."""
+    words = core.hash_words([w.encode("utf-8", "surrogatepass") for t in texts for w in t.split()])
+    three = core.rolling(words, min(3, max(1, len(words))))
+    return [int((three * k).min() >> np.uint64(1)) if len(three) else 0 for k in ORDERS]
+
+
 def _learn(batches):
-    """(host, salt, shape, size, family, nodes, texts): the tree of each page with its texts as hashes."""
+    """(host, salt, shape, size, families, nodes, texts): the tree of each page with its texts as hashes."""
     for batch in core.slices(batches):
         rows = []
         for page in _pages(batch):
@@ -287,13 +295,12 @@ def _learn(batches):
             tree, held = shape(fold(root))
             nodes = [k for k, own in enumerate(held) for _ in own]
             hashes = [_hash(blocks[b][0]) for own in held for b in own]
-            longest = max((text for text, home, _ in blocks if not home.dropped), key=len, default="").split()
-            family = min((_hash(" ".join(longest[i:i + 3])) for i in range(max(1, len(longest) - 2))), default=0)
-            rows.append((tree, len(held), family, nodes, hashes))
+            families = signatures([text for text, home, _ in blocks if not home.dropped])
+            rows.append((tree, len(held), families, nodes, hashes))
         cols = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("salt"), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("salt"), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.list_(pa.int64())),
                                           pa.array(cols[3], pa.list_(pa.int32())), pa.array(cols[4], pa.list_(pa.int64()))],
-                                         names=["host", "salt", "shape", "size", "family", "nodes", "texts"])
+                                         names=["host", "salt", "shape", "size", "families", "nodes", "texts"])
 
 
 def _slots(batches):
@@ -345,14 +352,17 @@ def content(page: str, reference: str | None = None, template=(), constants=())
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """(host, reference, template, constants) of hosts; pages: (host, salt, data)."""
-    parsed = pages.select("host", "salt", "data").mapInArrow(_learn, "host string, salt long, shape string, size int, family long, nodes array<int>, texts array<long>")
+    parsed = pages.select("host", "salt", "data").mapInArrow(_learn, "host string, salt long, shape string, size int, families array<long>, nodes array<int>, texts array<long>")
     folder = files.new_folder(pages.sparkSession, "trees")  # as Parquet, where the few shapes of a host cost little
     parsed.write.parquet(folder)
     trees = pages.sparkSession.read.parquet(folder)
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt")
-    reference = core.cut(trees.groupBy("host").agg(F.max(F.struct("size", "shape")).alias("most"), F.count_distinct("family").alias("families")).select("host", "families", F.col("most.shape").alias("reference")))
+    told = trees.select("host", F.posexplode("families").alias("order", "family")).groupBy("host", "order", "family").agg(F.lit(1).alias("one"))
+    best = told.groupBy("host", "order").agg(F.count("*").alias("n")).groupBy("host").agg(F.max(F.struct("n", (-F.col("order")).alias("back"))).alias("b")).select("host", F.col("b.n").alias("families"), (-F.col("b.back")).alias("order"))
+    fullest = trees.groupBy("host").agg(F.max(F.struct("size", "shape")).alias("most")).select("host", F.col("most.shape").alias("reference"))
+    reference = core.cut(fullest.join(best, "host"))
     teach = reference.where(F.col("families") >= FAMILIES)
-    slots = trees.join(teach.select("host", "reference", salts), ["host", "salt"]).mapInArrow(_slots, "host string, family long, slot int, text long")
+    slots = trees.join(teach.select("host", "reference", "order", salts), ["host", "salt"]).withColumn("family", F.get("families", "order")).drop("families", "order").mapInArrow(_slots, "host string, family long, slot int, text long")
     uses = slots.distinct().groupBy("host", "slot", "text").agg(F.count("*").alias("uses"))
     uses = uses.join(teach.select("host", "families"), "host")
     # at most two texts can fill half of a slot each, so the lists are short

@@ -76,6 +76,17 @@ def test_pages_nest_to_any_depth_and_may_hold_stray_end_tags(spark):
     assert html_wrapper.content("<p>a<b>b" * 3 + "</i>" * 20_000 + "c") == "ab\nab\nabc"
 
 
+@pytest.mark.parametrize("frame", ["<div>{}</div>", "<article>{}</article>"])
+def test_long_constant_notice_is_template(spark, frame):
+    rng = random.Random(62)
+    notice = lorem(rng, 120)
+    bodies = [lorem(rng, 60, 5000) for _ in range(40)]
+    copies = [bodies[0]] * 30  # copies of one page make nothing of it constant
+    rows = [(i, f"http://a.b/{i}", "<body>" + frame.format(f"<div class='lead'>The Site</div><p>{t}</p><div class='low'>{notice}</div>") + "</body>") for i, t in enumerate(bodies + copies)]
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(bodies + copies))
+
+
 def test_article_without_what_surrounds_it():
     page = ("<html><head><title>x</title></head><body class='has-sidebar'><header>Site</header><nav><a href='/'>Home</a></nav><article><header><h1>A &amp; B</h1></header>"
             "<p>one <b>two</b>\n three<br>four<p>five&nbsp;six<div class='cookie-notice'>ok?</div><ul><li>x<li>y</ul><form>f</form><section id='comments'>no</section></article>"
