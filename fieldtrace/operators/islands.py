@@ -41,12 +41,16 @@ def label_runs(df: DataFrame, keys: list[str], order: list[str], label: str, max
 
 def merge_spans(df: DataFrame, keys: list[str], start: str, end: str, max_gap: int = 0,
                 hot_rows: int | None = None) -> DataFrame:
-    """WIN-04: union of overlapping or nearly touching spans (gap <= ``max_gap``)."""
-    d = scan(df, keys, [start, end], {"_m": running_max(F.col(end), inclusive=False)}, hot_rows)
+    """WIN-04: union of overlapping or nearly touching spans (gap <= ``max_gap``).
+
+    Equal spans are one counted row of both scans: their order would be open, and could differ from scan to scan.
+    """
+    counted = df.groupBy(*keys, start, end).agg(F.count(F.lit(1)).alias("_n"))
+    d = scan(counted, keys, [start, end], {"_m": running_max(F.col(end), inclusive=False)}, hot_rows)
     opens = (F.col("_m").isNull() | (F.col(start) - F.col("_m") > max_gap)).cast("long")
     d = scan(d.withColumn("_o", opens), keys, [start, end], {"_g": running_sum(F.col("_o"))}, hot_rows)
     return d.groupBy(*keys, "_g").agg(
-        F.min(start).alias("start"), F.max(end).alias("end"), F.count(F.lit(1)).alias("n")).drop("_g")
+        F.min(start).alias("start"), F.max(end).alias("end"), F.sum("_n").alias("n")).drop("_g")
 
 
 def live_spans(df: DataFrame, keys: list[str], clock: str, max_gap: int,
