@@ -2,7 +2,7 @@
 
 import random
 
-from fieldtrace.operators import islands
+from fieldtrace.operators import islands, pairs
 
 
 def merged(spans, max_gap):
@@ -32,3 +32,19 @@ def test_equal_spans_open_one_union(spark, monkeypatch):
     for hot in (None, 200):
         got = islands.merge_spans(df, ["k"], "s", "e", 1, hot)
         assert sorted((r["start"], r["end"], r["n"]) for r in got.collect()) == merged(spans, 1)
+
+
+def test_nearest_value_like_all_pairs(spark):
+    rng = random.Random(5)
+    left = [(i, rng.randrange(3), rng.choice([None, rng.randrange(60)])) for i in range(300)]
+    right = [(i, rng.randrange(2), rng.choice([None, rng.randrange(0, 60, 4)])) for i in range(60)]
+    a, b = spark.createDataFrame(left, "id long, f long, v long"), spark.createDataFrame(right, "rid long, f long, rv long")
+    want = []
+    for i, f, v in left:
+        near = min(((abs(v - rv), r) for r, g, rv in right if g == f and rv is not None), default=None) if v is not None else None
+        if near and near[0] <= 2:
+            want.append((i, f, v, near[1], near[0]))
+    for hot in (None, 20):
+        got = pairs.nearest_value_in_frame(a, b, ["f"], "v", "rv", 2, {"who": "rid"}, ["rid"], hot)
+        assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString() or hot
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
