@@ -59,8 +59,8 @@ z AS (SELECT coalesce(p.user_id, ex.user_id) AS user_id, x, det FROM p FULL JOIN
 SELECT count(*) AS n, count_if(x IS NULL) AS unavailable, count_if(x IS NOT NULL AND det) AS detected, count_if(x IS NOT NULL AND NOT det) AS extrapolated, count_if(user_id % 2 = 0 AND user_id IN (SELECT user_id FROM pl)) AS team_a, count_if(user_id NOT IN (SELECT user_id FROM pl)) AS no_team FROM z""")
 def _(t: Tables):
     """JSON-lines frames (one per hour) read with the provider schema; a user is expected from the day before to the day after each signup."""
-    e = t.ev.select(F.floor(F.col("us") / F.lit(HOUR)).cast("int").alias("frame"), "event_type", "user_id", F.col("k").cast("double").alias("x"), "cents")
-    p = e.groupBy("frame", "user_id").agg(F.min_by(F.struct(F.when(F.col("cents") % 5 != 0, F.col("x")).alias("x"), (F.col("event_type") == "view").alias("d")), F.struct("event_type", "x")).alias("_v"))
+    e = t.ev.select(F.floor(F.col("us") / F.lit(HOUR)).cast("int").alias("frame"), "event_id", "event_type", "user_id", F.col("k").cast("double").alias("x"), "cents")
+    p = e.groupBy("frame", "user_id").agg(F.min_by(F.struct(F.when(F.col("cents") % 5 != 0, F.col("x")).alias("x"), (F.col("event_type") == "view").alias("d")), F.struct("event_type", "x", "event_id")).alias("_v"))  # the SQL keeps the first row of a tie
     frames = p.groupBy("frame").agg(F.collect_list(F.struct(F.col("user_id").alias("player_id"), F.col("_v.x").alias("x"), F.col("_v.x").alias("y"), F.col("_v.d").alias("is_detected"))).alias("player_data"))
     path = stage.scratch(t.spark)
     frames.select("frame", F.lit(1).alias("period"), F.lit("0:00:01.00").alias("timestamp"), "player_data").write.json(path)

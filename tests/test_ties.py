@@ -1,8 +1,12 @@
 """Rows that tie in an order or lie far from the frame size."""
 
+import datetime
 import random
 
 from fieldtrace.operators import islands, pairs
+from fieldtrace.plans import load_queries
+
+QUERIES = load_queries()[0]
 
 
 def merged(spans, max_gap):
@@ -48,3 +52,11 @@ def test_nearest_value_like_all_pairs(spark):
         got = pairs.nearest_value_in_frame(a, b, ["f"], "v", "rv", 2, {"who": "rid"}, ["rid"], hot)
         assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString() or hot
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_skillcorner_keeps_the_first_of_a_tie(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(n, at + datetime.timedelta(hours=n // 2), 1, "view", 0.01 + 0.04 * (n % 2 == 0), '{"k": 7}') for n in range(40)]
+    spark.createDataFrame(rows[::-1], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["src08_skillcorner"](spark, str(tmp_path)).first()
+    assert (got["n"], got["unavailable"]) == (20, 20)
