@@ -3,6 +3,8 @@
 import datetime
 import random
 
+from pyspark.sql import functions as F
+
 from fieldtrace.operators import islands, pairs
 from fieldtrace.plans import load_queries
 from fieldtrace.sources import tracking
@@ -66,3 +68,17 @@ def test_skillcorner_keeps_the_first_of_a_tie(spark, tmp_path):
 def test_clock_step_counts_equal_clocks(spark):
     df = spark.createDataFrame([(1, v) for v in (0, 0, 0, 10, 30)], "game long, us long")
     assert [tuple(r) for r in tracking.clock_step(df, ["game"], "us").collect()] == [(1, 4, 5.0)]
+
+
+def test_crowded_frames_make_no_pairs(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def gap(a, b):
+        met.add(1)
+        return float(abs(a - b))
+
+    balls = spark.createDataFrame([(1, float(i)) for i in range(50)] + [(2, 5.0)], "f long, x double")
+    players = spark.createDataFrame([(f, i % 2, float(i)) for f in (1, 2) for i in range(20)], "f long, team long, px double")
+    got = sorted(tuple(r) for r in pairs.possession_by_frame(balls, players, ["f"], gap("x", "px"), "team", 5.0, 0.5, 4).collect())
+    assert got == [(1, 50, None, None), (2, 1, 0.0, 1)] and met.value <= 40
