@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from fieldtrace.operators import islands, pairs
-from fieldtrace.plans import load_queries
+from fieldtrace.plans import hoops, load_queries
 from fieldtrace.sources import tracking
 
 QUERIES = load_queries()[0]
@@ -41,6 +41,19 @@ def test_equal_spans_open_one_union(spark, monkeypatch):
         assert sorted((r["start"], r["end"], r["n"]) for r in got.collect()) == merged(spans, 1)
 
 
+def test_clock_step_counts_equal_clocks(spark):
+    df = spark.createDataFrame([(1, v) for v in (0, 0, 0, 10, 30)], "game long, us long")
+    assert [tuple(r) for r in tracking.clock_step(df, ["game"], "us").collect()] == [(1, 4, 5.0)]
+
+
+def test_skillcorner_keeps_the_first_of_a_tie(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(n, at + datetime.timedelta(hours=n // 2), 1, "view", 0.01 + 0.04 * (n % 2 == 0), '{"k": 7}') for n in range(40)]
+    spark.createDataFrame(rows[::-1], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = QUERIES["src08_skillcorner"](spark, str(tmp_path)).first()
+    assert (got["n"], got["unavailable"]) == (20, 20)
+
+
 def test_nearest_value_like_all_pairs(spark):
     rng = random.Random(5)
     left = [(i, rng.randrange(3), rng.choice([None, rng.randrange(60)])) for i in range(300)]
@@ -57,19 +70,6 @@ def test_nearest_value_like_all_pairs(spark):
         assert sorted(tuple(r) for r in got.collect()) == sorted(want)
 
 
-def test_skillcorner_keeps_the_first_of_a_tie(spark, tmp_path):
-    at = datetime.datetime(2024, 1, 1)
-    rows = [(n, at + datetime.timedelta(hours=n // 2), 1, "view", 0.01 + 0.04 * (n % 2 == 0), '{"k": 7}') for n in range(40)]
-    spark.createDataFrame(rows[::-1], "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
-    got = QUERIES["src08_skillcorner"](spark, str(tmp_path)).first()
-    assert (got["n"], got["unavailable"]) == (20, 20)
-
-
-def test_clock_step_counts_equal_clocks(spark):
-    df = spark.createDataFrame([(1, v) for v in (0, 0, 0, 10, 30)], "game long, us long")
-    assert [tuple(r) for r in tracking.clock_step(df, ["game"], "us").collect()] == [(1, 4, 5.0)]
-
-
 def test_crowded_frames_make_no_pairs(spark):
     met = spark.sparkContext.accumulator(0)
 
@@ -82,3 +82,12 @@ def test_crowded_frames_make_no_pairs(spark):
     players = spark.createDataFrame([(f, i % 2, float(i)) for f in (1, 2) for i in range(20)], "f long, team long, px double")
     got = sorted(tuple(r) for r in pairs.possession_by_frame(balls, players, ["f"], gap("x", "px"), "team", 5.0, 0.5, 4).collect())
     assert got == [(1, 50, None, None), (2, 1, 0.0, 1)] and met.value <= 40
+
+
+def test_one_control_for_each_instant(spark):
+    cols = "job_id long, frame_idx long, ts_ms long, det_idx long, cls int, entity_id long, team_cluster long, court_x double, court_y double, court_conf double"
+    ball, person = hoops.BALL, hoops.PERSON
+    once = [(1, 0, 5, 1, ball, None, None, 10.0, 10.0, 1.0), (1, 0, 6, 2, person, 7, 0, 12.0, 10.0, 1.0), (1, 0, 7, 3, person, 8, 1, 8.0, 10.0, 1.0)]
+    rows = [(*r[:3], r[3] + 10 * i, *r[4:]) for i in range(4) for r in once]
+    got = hoops.ball_controls(spark.createDataFrame(rows, cols), fill=False).select("job_id", "ts_ms", "entity_id", "dist_ft").collect()
+    assert [tuple(r) for r in got] == [(1, 5, 7, 2.0)]
