@@ -451,6 +451,66 @@ class Lock:
     gallery: int = 16
 
 
+class _Locks:
+    """Locks of one sweep: one record each, the distinct vectors of their galleries, and per team the arrays that a
+    segment is compared with.
+
+    Segments come in start order, so of the intervals of a lock only the furthest end can still overlap one; a segment
+    costs a few array operations over the locks of its team, however long the sweep is. Dumped as the list of records.
+    """
+
+    MOTION = ("busy", "t_last", "cx", "cy", "h", "vx", "vy")
+
+    def __init__(self, records: list[dict]):
+        import numpy as np
+
+        self.records, self.teams, self.known, self.bank = [], {}, {}, np.zeros((16, 0))
+        for i, r in enumerate(records):
+            self.put(i, {**r, "gallery": [(q, self.vector(v)) for q, v in r["gallery"]]})
+        self.full = 2 * len(self.known) + 1024  # beyond that, vectors that no gallery holds any more are left behind
+
+    def __iter__(self):
+        return ({**r, "gallery": [[q, self.bank[k].tolist()] for q, k in r["gallery"]]} for r in self.records)
+
+    def vector(self, v) -> int:
+        """Row of ``v`` in the bank; a shorter vector counts as filled with zeros."""
+        import numpy as np
+
+        v = tuple(float(x) for x in v)
+        if v not in self.known:
+            old = self.bank
+            if len(self.known) == len(old) or len(v) > old.shape[1]:
+                self.bank = np.zeros((2 * max(len(old), len(self.known)), max(len(v), old.shape[1])))
+                self.bank[:len(old), :old.shape[1]] = old
+            self.bank[len(self.known), :len(v)] = v
+            self.known[v] = len(self.known)
+        return self.known[v]
+
+    def similar(self, row: int):
+        """The vector against all."""
+        return self.bank[:len(self.known)] @ self.bank[row]
+
+    def put(self, i: int, record: dict) -> None:
+        import numpy as np
+
+        team = self.teams.setdefault(record["team"], {"number": [], "row": {}, "motion": np.zeros((len(self.MOTION), 4)), "gallery": np.zeros((4, 1), dtype=np.int64)})
+        if i == len(self.records):
+            self.records.append(record)
+            team["row"][i] = len(team["number"])
+            team["number"].append(i)
+        self.records[i] = record
+        at, old, held = team["row"][i], team["gallery"], list(dict.fromkeys(k for _, k in record["gallery"]))
+        if at >= len(old) or len(held) > old.shape[1]:
+            more = 2 * at if at >= len(old) else len(old)
+            team["motion"] = np.concatenate([team["motion"], np.zeros((len(self.MOTION), more - len(old)))], axis=1)
+            team["gallery"] = np.zeros((more, max(len(held), old.shape[1])), dtype=np.int64)
+            team["gallery"][:len(old)] = old[:, :1]
+            team["gallery"][:len(old), :old.shape[1]] = old
+        team["motion"][:, at] = [record[c] for c in self.MOTION]
+        team["gallery"][at] = held[0]  # free places repeat the first vector
+        team["gallery"][at, :len(held)] = held
+
+
 def lock_rule(cfg: Lock = Lock()) -> Rule:
     """WIN-35 over segments in start order: attach to the best compatible lock or open one.
 
@@ -458,42 +518,47 @@ def lock_rule(cfg: Lock = Lock()) -> Rule:
     appearance (best cosine between galleries) reaches the floor, which is lower when the predicted
     position agrees. Without a gallery a segment attaches only if exactly one lock agrees in motion.
     """
-    def moves(lock, r):
-        gap = r["t0"] - lock["t_last"]
-        if not 0 < gap <= cfg.coast:
-            return False
-        dx, dy = lock["cx"] + lock["vx"] * gap - r["fx"], lock["cy"] + lock["vy"] * gap - r["fy"]
-        return (dx * dx + dy * dy) ** 0.5 <= (cfg.gate_base + cfg.gate_grow * gap / 1000) * lock["h"]
-
     def step(state, r):
-        locks = state or []
-        gallery = None if r["gallery"] is None or not len(r["gallery"]) else [[float(g["q"]), [float(v) for v in g["v"]]] for g in r["gallery"]]
-        options = []
-        for i, lock in enumerate(locks):
-            if lock["team"] != r["team"] or any(min(r["t1"], b) - max(r["t0"], a) > cfg.overlap for a, b in lock["spans"]):
-                continue
-            motion = moves(lock, r)
+        import numpy as np
+
+        locks = state if isinstance(state, _Locks) else _Locks(state or [])
+        if len(locks.known) > locks.full:
+            locks = _Locks(list(locks))
+        gallery = None if r["gallery"] is None or not len(r["gallery"]) else [(float(g["q"]), locks.vector(g["v"])) for g in r["gallery"]]
+        options, t0, t1 = [], float(r["t0"]), float(r["t1"])
+        fx, fy = (np.nan if r[c] is None else float(r[c]) for c in ("fx", "fy"))
+        team = locks.teams.get(r["team"])
+        if team is not None:
+            n = len(team["number"])
+            busy, t_last, *rest = team["motion"][:, :n]
+            free = np.minimum(t1, busy) - t0 <= cfg.overlap
+            recent = np.flatnonzero(free & (t0 - t_last > 0) & (t0 - t_last <= cfg.coast))
+            gap, (cx, cy, h, vx, vy) = t0 - t_last[recent], (c[recent] for c in rest)
+            motion = np.zeros(n, dtype=bool)
+            motion[recent] = np.hypot(cx + vx * gap - fx, cy + vy * gap - fy) <= (cfg.gate_base + cfg.gate_grow * gap / 1000) * h
             if gallery is None:
-                if motion:
-                    options.append((cfg.motion_score, 0.0, i, "motion"))
-                continue
-            sim = max(sum(a * b for a, b in zip(u, v)) for _, u in lock["gallery"] for _, v in gallery)
-            if sim >= (cfg.sim_motion if motion else cfg.sim):
-                options.append((sim + (cfg.bonus if motion else 0.0), sim, i, "motion+app" if motion else "appearance"))
+                options = [(cfg.motion_score, 0.0, team["number"][i], "motion") for i in np.flatnonzero(motion)]
+            else:
+                sim = np.max([locks.similar(k) for _, k in gallery], axis=0)[team["gallery"][:n]]
+                sim = sim[:, 0] if sim.shape[1] == 1 else sim.max(axis=1)
+                hits = np.flatnonzero(free & (sim >= np.where(motion, cfg.sim_motion, cfg.sim)))
+                score = sim[hits] + np.where(motion[hits], cfg.bonus, 0.0)
+                hits = hits[score == score.max()] if len(hits) else hits
+                options = [(float(sim[i]) + (cfg.bonus if motion[i] else 0.0), float(sim[i]), team["number"][i], "motion+app" if motion[i] else "appearance") for i in hits]
         if gallery is None and len(options) != 1:
             return locks, [{"segment": r["segment"], "lock": None, "how": "ambiguous" if options else "no_gallery"}]
         kinematics = {k: float(r[k]) for k in ("t_last", "cx", "cy", "h", "vx", "vy")}
         if options:
             _, _, i, how = max(options)
-            old = locks[i]
+            old = locks.records[i]
             merged = sorted(old["gallery"] + (gallery or []), key=lambda g: -g[0])[:cfg.gallery]
-            new = {**old, "spans": sorted(old["spans"] + [[float(r["t0"]), float(r["t1"])]]), "gallery": merged}
+            new = {**old, "busy": max(old["busy"], t1), "gallery": merged}
             if kinematics["t_last"] >= old["t_last"]:
                 new.update(kinematics)
-            locks = locks[:i] + [new] + locks[i + 1:]
+            locks.put(i, new)
         else:
-            i, how = len(locks), "opened"
-            locks = locks + [{"team": r["team"], "spans": [[float(r["t0"]), float(r["t1"])]], "gallery": gallery, **kinematics}]
+            i, how = len(locks.records), "opened"
+            locks.put(i, {"team": r["team"], "busy": t1, "gallery": gallery, **kinematics})
         return locks, [{"segment": r["segment"], "lock": i, "how": how}]
     return Rule(step)
 
@@ -501,5 +566,17 @@ def lock_rule(cfg: Lock = Lock()) -> Rule:
 def sweep_locks(segments: DataFrame, keys: list[str], cfg: Lock = Lock(), hot_rows: int | None = None) -> DataFrame:
     """WIN-35: ``segments`` has segment, t0, t1, team, fx, fy (first centre), t_last, cx, cy, h, vx, vy
     (motion at the end) and gallery array<struct<q, v>> (null when too few clean crops)."""
-    cols = ["segment", "t0", "t1", "team", "fx", "fy", "t_last", "cx", "cy", "h", "vx", "vy", "gallery"]
-    return fold(segments.select(*keys, *cols), keys, ["t0", "segment"], lock_rule(cfg), "segment bigint, lock bigint, how string", hot_rows)
+    cols = ["segment", "t0", "t1", "team", "fx", "fy", "t_last", "cx", "cy", "h", "vx", "vy"]
+    # flat arrays reach the tasks without a Python object for each crop
+    flat = [F.transform("gallery", lambda g: g["q"].cast("double")).alias("_q"), F.transform("gallery", lambda g: F.size(g["v"])).alias("_n"),
+            F.flatten(F.transform("gallery", lambda g: g["v"].cast("array<double>"))).alias("_v")]
+    rule = lock_rule(cfg)
+
+    def step(state, r):
+        gallery = None
+        if r["_q"] is not None:
+            ends = [int(x) for x in r["_n"].cumsum()]
+            gallery = [{"q": q, "v": r["_v"][b - n:b].tolist()} for q, n, b in zip(r["_q"], r["_n"], ends, strict=True)]
+        return rule.step(state, {**r, "gallery": gallery})
+
+    return fold(segments.select(*keys, *cols, *flat), keys, ["t0", "segment"], Rule(step), "segment bigint, lock bigint, how string", hot_rows)

@@ -244,6 +244,72 @@ def test_lock_sweep(spark):
     assert got == [(1, 0, "opened"), (2, 1, "opened"), (3, 0, "motion"), (4, 1, "appearance"), (5, None, "no_gallery")]
 
 
+def test_a_long_lock_sweep_costs_no_more_per_segment(spark):
+    import json
+    import random
+    import time
+
+    rng = random.Random(5)
+    cfg, unit = folds.Lock(), [[1.0 if i == j else 0.0 for j in range(8)] for i in range(8)]
+
+    def plain(segments):
+        """Every interval of every lock, as the rule says."""
+        locks, out = [], []
+        for r in segments:
+            g, options = r["gallery"], []
+            for i, lock in enumerate(locks):
+                if lock["team"] != r["team"] or any(min(r["t1"], b) - max(r["t0"], a) > cfg.overlap for a, b in lock["spans"]):
+                    continue
+                gap = r["t0"] - lock["t_last"]
+                motion = 0 < gap <= cfg.coast and abs(lock["cx"] + lock["vx"] * gap - r["fx"]) <= (cfg.gate_base + cfg.gate_grow * gap / 1000) * lock["h"]
+                if g is None:
+                    options += [(cfg.motion_score, 0.0, i, "motion")] if motion else []
+                    continue
+                sim = max(sum(a * b for a, b in zip(u, x["v"])) for u in lock["vectors"] for x in g)
+                if sim >= (cfg.sim_motion if motion else cfg.sim):
+                    options.append((sim + (cfg.bonus if motion else 0.0), sim, i, "motion+app" if motion else "appearance"))
+            if g is None and len(options) != 1:
+                out.append((r["segment"], None, "ambiguous" if options else "no_gallery"))
+                continue
+            last = {c: r[c] for c in ("t_last", "cx", "h", "vx")}
+            _, _, i, how = max(options) if options else (0, 0, len(locks), "opened")
+            if not options:
+                locks.append({"team": r["team"], "spans": [], "vectors": [], **last})
+            lock = locks[i]
+            lock["spans"].append((r["t0"], r["t1"]))
+            lock["vectors"] += [x["v"] for x in g or [] if x["v"] not in lock["vectors"]]
+            if last["t_last"] >= lock["t_last"]:
+                lock.update(last)
+            out.append((r["segment"], i, how))
+        return out
+
+    def segments(n, step):
+        t, out = 0.0, []
+        for i in range(n):
+            t += rng.choice([0, step])
+            end, x = t + rng.choice([50, 400, 900]), float(rng.randrange(300))
+            out.append({"segment": i, "t0": t, "t1": end, "team": rng.randrange(2), "fx": x, "fy": 0.0, "t_last": end, "cx": x + 5, "cy": 0.0, "h": 40.0, "vx": 0.01, "vy": 0.0,
+                        "gallery": None if i % 6 == 0 else [{"q": rng.random(), "v": rng.choice(unit)}]})
+        return out
+
+    def swept(data, again=0):
+        state, out = None, []
+        for i, r in enumerate(data):
+            if again and i % again == 0:
+                state = json.loads(folds._dump(state))
+            state, got = folds.lock_rule().step(state, r) if again else rule.step(state, r)
+            out += [(x["segment"], x["lock"], x["how"]) for x in got]
+        return out
+
+    rule, data = folds.lock_rule(), segments(500, 120)
+    want = plain(data)
+    assert swept(data) == want and swept(data, 37) == want  # the state survives its JSON form
+    assert {how for *_, how in want} == {"opened", "appearance", "motion", "motion+app", "ambiguous", "no_gallery"}
+    long, t0 = segments(30_000, 300), time.time()
+    swept(long)
+    assert time.time() - t0 < 30  # every interval of every lock: minutes
+
+
 def test_offset_band_and_inheritance(spark):
     ball = spark.createDataFrame([(1, 100, 5.0)], "j int, frame int, x double").withColumn("bid", F.lit(1))
     rim = spark.createDataFrame([(1, 98, 5.0, "a"), (1, 108, 5.0, "b")], "j int, rframe int, rx double, rim string")
