@@ -181,3 +181,37 @@ def test_one_class_has_no_ranking(spark):
     d = spark.createDataFrame([("a", 0.4, True), ("b", 0.4, False), ("c", 0.2, True), ("c", 0.1, False)], "g string, p double, y boolean")
     got = {r["g"]: r for r in metrics.probability_metrics(d, ["g"], "p", F.col("y")).collect()}
     assert got["a"]["auc"] is None and got["b"]["average_precision"] is None and got["b"]["skill"] is None and got["c"]["auc"] == 1.0
+
+
+def test_pass_options_of_a_crowded_frame(spark):
+    """All options against all opponents by numpy; a frame of thousands takes seconds (before: an expression for each pair)."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from fieldtrace.plans import pitch
+
+    def frame(n):
+        rng = np.random.default_rng(n)
+        people = [(1, 1, 5, 3.0, int(i % 2), f"p{i}", float(rng.integers(0, 105)), float(rng.integers(0, 68))) for i in range(n)]
+        return people, spark.createDataFrame([*people, (1, 1, 5, 3.0, None, "ball", 50.0, 30.0)], "game int, period int, frame int, time_s double, team int, player string, x_m double, y_m double")
+
+    def options(tracking):
+        event = spark.createDataFrame([(1, "e", 1, 3.0, 1, "p1", "p3")], "game int, event_id string, period int, time_s double, team int, passer string, receiver string")
+        return pitch.pass_options(event, tracking, spark.createDataFrame([(1, 1, 1, -1)], "game int, period int, team int, direction int"))
+
+    people, tracking = frame(60)
+    got = {r["option"]: r for r in options(tracking).collect()}
+    b, opp = np.array([55.0, 30.0]), np.array([(105.0 - p[6], p[7]) for p in people if p[4] == 0])
+    want = {}
+    for p in people:
+        r = np.array([105.0 - p[6], p[7]])
+        if p[4] == 1 and p[5] != "p1" and np.linalg.norm(r - b) >= 1:
+            s = np.clip((opp - b) @ (r - b) / ((r - b) @ (r - b)), 0, 1)
+            want[p[5]] = (np.linalg.norm(r - b), np.linalg.norm(opp - (b + s[:, None] * (r - b)), axis=1).min(), np.linalg.norm(opp - r, axis=1).min(), np.linalg.norm(opp - b, axis=1).min())
+    assert set(got) == set(want) and [o for o, r in got.items() if r["chosen"]] == ["p3"]
+    for o, w in want.items():
+        assert np.allclose([got[o][c] for c in ("length", "lane_clearance", "receiver_pressure", "passer_pressure")], w, atol=1e-9)
+    many, t0 = options(frame(6000)[1]), time.time()
+    assert many.agg(F.sum("lane_clearance")).first()[0] is not None
+    assert time.time() - t0 < 20
