@@ -370,3 +370,18 @@ def test_rounding_goes_by_the_binary_value(spark):
     d = spark.createDataFrame([(v,) for v in values], "v double")
     for r in d.select("v", round_binary(F.col("v"), 2).alias("a"), round_binary(F.col("v"), 1).alias("b"), round_binary(F.col("v"), 4).alias("c")).collect():
         assert (r["a"], r["b"], r["c"]) == (round(r["v"], 2), round(r["v"], 1), round(r["v"], 4)), r["v"]
+
+
+def test_seekers_of_a_crowded_frame():
+    """Costs of all seekers and boxes of a frame at once (before: a Python step for each pair)."""
+    import time
+
+    from fieldtrace.operators.seekers import seeker_rule
+    rule, state, out, t0 = seeker_rule(), None, [], time.time()
+    for f in range(12):
+        boxes = [{"det": i, "x1": 400.0 * i + f, "y1": 0.0, "x2": 400.0 * i + f + 40, "y2": 100.0} for i in range(600)]
+        state, got = rule.step(state, {"t": 40 * f, "frame": f, "boxes": boxes})
+        out += got
+    assert len(out) == 12 * 600 and not any(r["contested"] or r["coasted"] for r in out)
+    assert all(r["seeker"] == r["det"] + 1 for r in out)
+    assert time.time() - t0 < 8
