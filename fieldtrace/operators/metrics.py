@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from fieldtrace.operators.ordered import SMALL_BYTES, remaining_sum, running_sum, scan
+from fieldtrace.operators.ordered import HOT_ROWS, SMALL_BYTES, remaining_sum, running_sum, scan
 from fieldtrace.session import plan_bytes
 
+TASK_BYTES = 8 * 1024 * 1024  # bytes of the input's files whose rows one task sorts
 SLICES = 1024  # score slices of a curve; the slice totals are this many rows
 
 
@@ -251,7 +252,35 @@ def displacement(df: DataFrame, keys: list[str], window: list[str], step: str, e
 
 
 def robust_prior(df: DataFrame, keys: list[str], value: str, hot_rows: int | None = None) -> DataFrame:
-    """AGG-29: median and median absolute deviation per key."""
+    """AGG-29: median and median absolute deviation per key.
+
+    Where no key is hot, the rows go once to the partition of their key and are sorted there for both medians. Partitions
+    grow with the input, so that a task's memory does not.
+    """
+    known = df.filter(F.col(value).isNotNull()).select(*keys, value)
+    size = plan_bytes(known)
+    if hot_rows is None and keys and size is not None and size > SMALL_BYTES and known.groupBy(*keys).count().filter(F.col("count") > HOT_ROWS).isEmpty():
+        n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
+        by = Window.partitionBy(*keys)
+        pos = (F.col("n") - 1) * F.lit(0.5)
+
+        def median(c):
+            at = lambda i: F.min(F.when(F.col("_c") > i, F.col(c)))
+            return at(F.floor(pos)), at(F.ceil(pos))
+
+        def between(lo, hi):
+            return (lo + (hi - lo) * (pos - F.floor(pos))).cast("double")
+
+        for k in keys:
+            known = known.filter(F.col(k).isNotNull())  # as the join below does
+        d = known.repartition(n, *keys).select("*", F.row_number().over(by.orderBy(value)).alias("_c"), F.count(F.lit(1)).over(by).alias("n"))
+        lo, hi = median(value)
+        d = d.select(*keys, value, "n", between(lo.over(by), hi.over(by)).alias("median"))
+        d = d.select(*keys, "n", "median", F.abs(F.col(value) - F.col("median")).alias("_d"))
+        d = d.withColumn("_c", F.row_number().over(by.orderBy("_d")))
+        lo, hi = median("_d")
+        g = d.groupBy(*keys, "n", "median").agg(lo.alias("_lo"), hi.alias("_hi"))
+        return g.select(*keys, "n", "median", between(F.col("_lo"), F.col("_hi")).alias("mad"))
     med = quantiles(df, keys, value, {"median": (0.5, "linear")}, hot_rows).withColumnRenamed("n", "_rows")
     dev = df.select(*keys, value).join(med, keys).withColumn("_d", F.abs(F.col(value) - F.col("median")))
     # the median rides along as part of the key, so the second pass already has it

@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from conftest import rows
-from fieldtrace.operators import linking
+from fieldtrace.operators import linking, metrics
 from fieldtrace.plans import hoops
 
 PEOPLE = "job_id int, entity_id int, ts_ms long, court_x double, court_y double"
@@ -71,3 +71,21 @@ def test_fragments_of_a_crowd(spark):
     f = ids.select("job", "id", F.lit(10).cast("long").alias("us"), F.lit(4).cast("long").alias("k")).unionByName(
         ids.select("job", F.col("id") + n, F.lit(20).cast("long").alias("us"), F.lit(5).cast("long").alias("k")).toDF("job", "id", "us", "k"))
     assert rows(linking.nearest_in_gap(f, ["job"], "id", "us", "k", (1, 50), 3)) == [(1, 0, n, -1)]
+
+
+def test_robust_prior_sorts_the_rows_of_a_key_in_one_shuffle(spark, tmp_path, monkeypatch):
+    import numpy as np
+    rnd = random.Random(11)
+    data = [(rnd.randrange(40), rnd.randrange(-500, 500) if rnd.random() > 0.05 else None) for _ in range(3000)] + [(None, 1), (77, None), (78, 5)]
+    spark.createDataFrame(data, "key int, v long").repartition(3).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    monkeypatch.setattr(metrics, "SMALL_BYTES", 0)
+    monkeypatch.setattr(metrics, "TASK_BYTES", 1000)
+    out = metrics.robust_prior(df, ["key"], "v")
+    groups = {}
+    for k, v in data:
+        if k is not None and v is not None:
+            groups.setdefault(k, []).append(v)
+    want = {k: (len(v), float(np.median(v)), float(np.median(np.abs(np.array(v) - np.median(v))))) for k, v in groups.items()}
+    assert {r["key"]: (r.n, r.median, r.mad) for r in out.collect()} == want
+    assert out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
