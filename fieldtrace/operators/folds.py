@@ -9,14 +9,18 @@ while no task holds more than one slice, and rules that soon forget their past s
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import accumulate
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from fieldtrace.operators.ordered import fill_forward, next_, row_number, running_sum, scan, with_slices
@@ -49,6 +53,43 @@ def _dump(state: Any) -> str:
     return json.dumps(state, sort_keys=True, default=lambda o: o.item() if hasattr(o, "item") else list(o))
 
 
+def _column(batch: pa.RecordBatch, i: int, nan) -> list:
+    values = batch.column(i).to_pylist()
+    return [nan if v != v else v for v in values] if pa.types.is_floating(batch.schema.field(i).type) else values
+
+
+def _keys_in_turn(rule: Rule, n_keys: int, rest: list[str], full: T.StructType):
+    """Fold of rows sorted by key and order: keys follow each other, so that a small key costs no Python call of its own."""
+    schema = to_arrow_schema(full)
+    names = full.names[n_keys:]
+
+    def told(key: tuple, rows: list) -> list[tuple]:
+        return [(*key, *(map(r.get, names) if isinstance(r, dict) else r)) for r in rows]
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows) if rows else [()] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type, from_pandas=i >= n_keys) for i, (c, f) in enumerate(zip(columns, schema))], schema=schema)
+
+    def run(batches):
+        key, state = None, None
+        for batch in batches:
+            out = []
+            keys = zip(*[_column(batch, i, math.nan) for i in range(n_keys)])  # one NaN object equals itself
+            values = zip(*[_column(batch, n_keys + i, None) for i in range(len(rest))])
+            for k, v in zip(keys, values):
+                if k != key:
+                    if key is not None:
+                        out += told(key, rule.close(state))
+                    key, state = k, None
+                state, rows = rule.step(state, dict(zip(rest, v)))
+                if rows:
+                    out += told(key, rows)
+            yield batch_of(out)
+        if key is not None:
+            yield batch_of(told(key, rule.close(state)))
+    return run
+
+
 def fold(df: DataFrame, keys: list[str], order: list[str], rule: Rule, out: str, hot_rows: int | None = None) -> DataFrame:
     """Rows emitted by ``rule``, with the keys in front. ``out`` is a DDL list of the emitted columns."""
     key_type = T.StructType([f for f in df.schema.fields if f.name in keys])
@@ -64,11 +105,10 @@ def fold(df: DataFrame, keys: list[str], order: list[str], rule: Rule, out: str,
 
     sliced = with_slices(df, keys, order, hot_rows)
     if sliced is None:
-        def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            state, rows = _run(pdf.drop(columns=key_type.names), rule, order, None)
-            return frame(rows + rule.close(state), key)
-
-        return spread(df, key_type.names).groupBy(*key_type.names).applyInPandas(whole, full)
+        rest = [c for c in df.columns if c not in key_type.names]
+        sort = [*key_type.names, *[F.col(c).asc_nulls_last() for c in order]]
+        ready = spread(df.select(*key_type.names, *rest), key_type.names).sortWithinPartitions(*sort)
+        return ready.mapInArrow(_keys_in_turn(rule, len(key_type.names), rest, full), full)
 
     part = [*key_type.names, "_slice"]
     rows = sliced.withColumn("_slice", F.coalesce("_slice", F.lit(0)))
@@ -575,8 +615,7 @@ def sweep_locks(segments: DataFrame, keys: list[str], cfg: Lock = Lock(), hot_ro
     def step(state, r):
         gallery = None
         if r["_q"] is not None:
-            ends = [int(x) for x in r["_n"].cumsum()]
-            gallery = [{"q": q, "v": r["_v"][b - n:b].tolist()} for q, n, b in zip(r["_q"], r["_n"], ends, strict=True)]
+            gallery = [{"q": q, "v": [float(x) for x in r["_v"][b - n:b]]} for q, n, b in zip(r["_q"], r["_n"], accumulate(r["_n"]), strict=True)]
         return rule.step(state, {**r, "gallery": gallery})
 
     return fold(segments.select(*keys, *cols, *flat), keys, ["t0", "segment"], Rule(step), "segment bigint, lock bigint, how string", hot_rows)

@@ -385,3 +385,14 @@ def test_seekers_of_a_crowded_frame():
     assert len(out) == 12 * 600 and not any(r["contested"] or r["coasted"] for r in out)
     assert all(r["seeker"] == r["det"] + 1 for r in out)
     assert time.time() - t0 < 8
+
+
+def test_a_fold_calls_python_for_partitions_not_for_keys(spark):
+    """Many keys in one task: each keeps its own state, nulls and NaN are keys, and missing numbers arrive as None."""
+    data = [(None if i % 50 == 0 else float("nan") if i % 50 == 1 else float(i % 50), t, None if (i + t) % 3 else t) for i in range(50) for t in range(4)]
+    d = spark.createDataFrame(data, "j double, t int, v int")
+    seen = folds.Rule(lambda state, r: ((state or []) + [r["v"]], []), lambda state: [{"n": len(state), "none": state.count(None), "kinds": len({type(v) for v in state})}])
+    got = folds.fold(d, ["j"], ["t"], seen, "n int, none int, kinds int")
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+    assert sorted((str(r["j"]), r["n"]) for r in got.collect()) == sorted((str(j), 4) for j in {str(x[0]): x[0] for x in data}.values())
+    assert sum(r["none"] for r in got.collect()) == sum(x[2] is None for x in data)
