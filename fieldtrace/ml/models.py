@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 
 from fieldtrace.functions.decide import thin
 from fieldtrace.operators.metrics import probability_metrics
-from fieldtrace.session import cut_lineage
+from fieldtrace.session import cut_lineage, spread
+
+BROADCAST_JOBS = 5_000  # checked bound for tables of a few vectors per job
 
 
 def forest(train: DataFrame, features: list[str], label: str, trees: int = 160, depth: int = 6, weight: str | None = None, seed: int = 7):
@@ -79,11 +81,14 @@ def team_clusters(rows: DataFrame, keys: list[str], row_id: str, vector: str, k:
     first; jobs with fewer than ``min_rows`` rows get -1.
 
     Seeds are the smallest id and then the farthest rows, so the result does not depend on a random draw.
-    A round joins rows to the array of centres of their job and averages; no job has to fit a task. Rounds go on until no
+    A round joins rows to the array of centres of their job and averages; no job has to fit a task. The centres travel to
+    the rows, not the rows to the centres, unless there are more than ``BROADCAST_JOBS`` jobs. Rounds go on until no
     centre of any job moves, ``rounds`` at most.
     """
-    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    big = cut_lineage(rows.join(n.filter(F.col("_n") >= min_rows).drop("_n"), keys, "left_semi").select(*keys, row_id, F.transform(vector, lambda v: v.cast("double")).alias("_v")))
+    n = cut_lineage(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")))
+    side = F.broadcast if n.count() <= BROADCAST_JOBS else (lambda d: d)
+    kept = rows.join(side(n.filter(F.col("_n") >= min_rows).drop("_n")), keys, "left_semi").select(*keys, row_id, F.transform(vector, lambda v: v.cast("double")).alias("_v"))
+    big = cut_lineage(spread(kept, [*keys, row_id]))  # a file of few splits would leave all rounds to few tasks
 
     def sq(a, b):
         return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
@@ -92,7 +97,7 @@ def team_clusters(rows: DataFrame, keys: list[str], row_id: str, vector: str, k:
         """Rows with their distances to the centres of their job, nearest first; a job's centres are one array."""
         packed = centres.groupBy(*keys).agg(F.collect_list(F.struct("_k", "_c")).alias("_all"))
         near = F.array_sort(F.transform("_all", lambda c: F.struct(F.sqrt(sq(F.col("_v"), c["_c"])).alias("d"), c["_k"].alias("k"))))
-        return big.join(packed, keys).select(*keys, row_id, "_v", near.alias("_near"))
+        return big.join(side(packed), keys).select(*keys, row_id, "_v", near.alias("_near"))
 
     first = lambda i, f: F.get("_near", F.lit(i))[f]
     centres = big.groupBy(*keys).agg(F.min_by("_v", row_id).alias("_c")).withColumn("_k", F.lit(0))
@@ -102,14 +107,16 @@ def team_clusters(rows: DataFrame, keys: list[str], row_id: str, vector: str, k:
     for _ in range(rounds):
         cells = distances(centres).select(*keys, first(0, "k").alias("_k"), F.posexplode("_v").alias("_i", "_x"))
         mean = cells.groupBy(*keys, "_k", "_i").agg((F.sum(F.col("_x").cast(T.DecimalType(28, 12))).cast("double") / F.count(F.lit(1))).alias("_m"))
-        moved = cut_lineage(mean.groupBy(*keys, "_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("_c")))
-        still = moved.join(centres.select(*keys, "_k", F.col("_c").alias("_old")), [*keys, "_k"], "left").filter(~F.col("_c").eqNullSafe(F.col("_old"))).isEmpty()
-        centres = moved
+        moved = mean.groupBy(*keys, "_k").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("_c"))
+        old = centres.select(*keys, "_k", F.col("_c").alias("_old"))
+        moved = cut_lineage(moved.join(side(old), [*keys, "_k"], "left").select(*keys, "_k", "_c", F.col("_c").eqNullSafe(F.col("_old")).alias("_still")))
+        still = moved.filter(~F.col("_still")).isEmpty()
+        centres = moved.drop("_still")
         if still:
             break
     got = distances(centres).select(*keys, row_id, first(0, "k").alias("_k"), (first(1, "d") - first(0, "d")).alias("margin"))
     size = got.groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("_n"))
     from fieldtrace.operators.ordered import top_k
     rank = top_k(size, keys, [F.col("_n").desc(), F.col("_k")], k, "_r").select(*keys, "_k", (F.col("_r") - 1).alias("cluster"))
-    named = got.join(rank, [*keys, "_k"]).select(*keys, row_id, "cluster", "margin")
+    named = got.join(side(rank), [*keys, "_k"]).select(*keys, row_id, "cluster", "margin")
     return rows.select(*keys, row_id).join(named, [*keys, row_id], "left").withColumn("cluster", F.coalesce("cluster", F.lit(-1)))

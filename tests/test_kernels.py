@@ -215,3 +215,11 @@ def test_pass_options_of_a_crowded_frame(spark):
     many, t0 = options(frame(6000)[1]), time.time()
     assert many.agg(F.sum("lane_clearance")).first()[0] is not None
     assert time.time() - t0 < 20
+
+
+def test_team_centres_travel_to_the_rows(spark):
+    """Vectors are not shuffled in each round: few jobs' centres are broadcast, and a file of one split is dealt to all tasks."""
+    from fieldtrace.ml.models import team_clusters
+    pts = spark.createDataFrame([(j, i, [float(i % 3 * 10), float(i)]) for j in range(2) for i in range(30)], "job int, id int, v array<double>").coalesce(1)
+    plan = team_clusters(pts, ["job"], "id", "v", rounds=2)._jdf.queryExecution().sparkPlan().toString().splitlines()
+    assert not any("SortMergeJoin" in x and "Inner" in x for x in plan) and any("BroadcastHashJoin" in x and "Inner" in x for x in plan)
