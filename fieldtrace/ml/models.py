@@ -27,7 +27,8 @@ def forest(train: DataFrame, features: list[str], label: str, trees: int = 160,
     rf = RandomForestClassifier(featuresCol="_x", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed, probabilityCol="_p", predictionCol="_pred", rawPredictionCol="_raw")
     if weight:
         rf = rf.setWeightCol(weight)
-    return Pipeline(stages=[*stages, rf]).fit(train)
+    # a file of few splits would leave all trees to few tasks
+    return Pipeline(stages=[*stages, rf]).fit(spread(train, train.columns))
 
 
 def score(model, rows: DataFrame, out: str = "score") -> DataFrame:

@@ -223,3 +223,13 @@ def test_team_centres_travel_to_the_rows(spark):
     pts = spark.createDataFrame([(j, i, [float(i % 3 * 10), float(i)]) for j in range(2) for i in range(30)], "job int, id int, v array<double>").coalesce(1)
     plan = team_clusters(pts, ["job"], "id", "v", rounds=2)._jdf.queryExecution().sparkPlan().toString().splitlines()
     assert not any("SortMergeJoin" in x and "Inner" in x for x in plan) and any("BroadcastHashJoin" in x and "Inner" in x for x in plan)
+
+
+def test_forest_rows_are_dealt_to_all_tasks(spark, monkeypatch):
+    from fieldtrace.ml import models
+    seen, fit = [], models.Pipeline.fit
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, d: seen.append(d.rdd.getNumPartitions()) or fit(self, d))
+    d = spark.createDataFrame([(i, float(i % 7), int(i % 7 > 3)) for i in range(80)], "id int, x double, y int").coalesce(1)
+    m = models.forest(d, ["x"], "y", trees=3, depth=2)
+    assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
+    assert {(r["y"], r["_pred"]) for r in m.transform(d).collect()} == {(0, 0.0), (1, 1.0)}
