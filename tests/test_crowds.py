@@ -3,10 +3,11 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import rows
-from fieldtrace.operators import linking, matching, metrics
+from fieldtrace.operators import kernels, linking, matching, metrics
 from fieldtrace.plans import hoops
 
 PEOPLE = "job_id int, entity_id int, ts_ms long, court_x double, court_y double"
@@ -74,7 +75,6 @@ def test_fragments_of_a_crowd(spark):
 
 
 def test_robust_prior_sorts_the_rows_of_a_key_in_one_shuffle(spark, tmp_path, monkeypatch):
-    import numpy as np
     rnd = random.Random(11)
     data = [(rnd.randrange(40), rnd.randrange(-500, 500) if rnd.random() > 0.05 else None) for _ in range(3000)] + [(None, 1), (77, None), (78, 5)]
     spark.createDataFrame(data, "key int, v long").repartition(3).write.parquet(str(tmp_path / "t"))
@@ -97,3 +97,62 @@ def test_many_small_groups_are_matched_without_a_call_each(spark):
     got = matching.greedy_match(p, ["g"], "l", "r", ["o"])
     assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
     assert got.agg(F.count("*"), F.count_distinct("g"), F.max("l")).first()[:] == (n, n, 0)
+
+
+def control(balls, people, radius):
+    best = {}
+    for j, f, t, x, y in balls:
+        for q, g, det, e, px, py in people:
+            if (q, g) == (j, f) and None not in (px, py) and (d := math.sqrt((px - x) ** 2 + (py - y) ** 2)) <= radius:
+                best[j, f, t] = min(best.get((j, f, t), (math.inf,)), (d, det, e))
+    return sorted((*k, v[2], v[0]) for k, v in best.items())
+
+
+POS = "job_id int, frame_idx long, ts_ms long, det_idx long, cls int, entity_id int, team_cluster int, court_x double, court_y double, court_conf double"
+
+
+def test_controls_like_all_pairs(spark):
+    """Equal distances, instants with several balls, frames without people or balls, frames over several batches."""
+    rnd = random.Random(7)
+    spot = lambda: (float(rnd.randrange(30)), float(rnd.randrange(30)))
+    balls = [(rnd.randrange(2), rnd.randrange(6), rnd.randrange(40), *spot()) for _ in range(200)]
+    people = [(rnd.randrange(2), rnd.randrange(1, 7), i, rnd.randrange(12), *(spot() if i % 50 else (None, 3.0))) for i in range(700)]
+    rows_ = [(j, f, t, 1000 + i, hoops.BALL, None, None, x, y, 1.0) for i, (j, f, t, x, y) in enumerate(balls)]
+    rows_ += [(j, f, 0, det, hoops.PERSON, e, e % 2, x, y, 1.0) for j, f, det, e, x, y in people]
+    pos = spark.createDataFrame(rows_, POS)
+    want = control(balls, people, 2.0)
+    for size in ("10000", "37"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = hoops.ball_controls(pos, hoops.Hoops(control_radius=2.0), fill=False).select("job_id", "frame_idx", "ts_ms", "entity_id", "dist_ft")
+            assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 50
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_nearest_points_in_blocks(monkeypatch):
+    monkeypatch.setattr(kernels, "PAIRS", 50)
+    rng = np.random.default_rng(4)
+    px, py, x, y = rng.integers(0, 40, 300) / 2, rng.integers(0, 40, 300) / 2, rng.integers(0, 50, 120) / 2, rng.integers(0, 40, 120) / 2
+    px = np.concatenate([np.sort(px[:200]), np.sort(px[200:])])
+    lo, hi = np.repeat([0, 200, 300], 40), np.repeat([200, 300, 300], 40)
+    rank = rng.permutation(300)
+    hit, d = kernels.nearest_points(x, y, lo, hi, px, py, rank, 1.5)
+    for i in range(120):
+        all_ = [(math.sqrt((px[j] - x[i]) ** 2 + (py[j] - y[i]) ** 2), rank[j], j) for j in range(lo[i], hi[i])]
+        best = min(all_, default=(math.inf, 0, -1))
+        assert hit[i] == (best[2] if best[0] <= 1.5 else -1) and (hit[i] < 0 or d[i] == best[0])
+    assert 20 < (hit >= 0).sum() < 80
+
+
+def test_controls_of_a_crowd(spark):
+    n = 100_000  # 10 billion pairs in one frame, all places apart
+    at = spark.range(n).select(F.col("id").alias("i"))
+    none = F.lit(None).cast("int")
+    ball = at.select(F.lit(1).alias("job_id"), F.lit(0).cast("long").alias("frame_idx"), F.col("i").alias("ts_ms"), F.col("i").alias("det_idx"), F.lit(hoops.BALL).alias("cls"),
+                     none.alias("entity_id"), none.alias("team_cluster"), (F.col("i") * 0.5).alias("court_x"), F.lit(0.0).alias("court_y"), F.lit(1.0).alias("court_conf"))
+    person = ball.withColumn("cls", F.lit(hoops.PERSON)).withColumn("entity_id", (F.col("ts_ms") % 7).cast("int")).withColumn("court_x", F.col("court_x") + 0.125).withColumn("court_y", F.lit(3.0))
+    got = hoops.ball_controls(ball.unionByName(person), fill=False)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CartesianProduct" not in plan
+    assert got.agg(F.count("*"), F.count_if(F.col("entity_id") == F.col("ts_ms") % 7), F.max("dist_ft")).first()[:] == (n, n, math.sqrt(9 + 0.125 ** 2))
