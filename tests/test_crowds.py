@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from fieldtrace.operators import kernels, linking, matching, metrics
-from fieldtrace.plans import hoops
+from fieldtrace.plans import hoops, load_queries
 
 PEOPLE = "job_id int, entity_id int, ts_ms long, court_x double, court_y double"
 SHOTS = "job_id int, event_id int, ts_start_ms long, court_end string"
@@ -156,3 +156,9 @@ def test_controls_of_a_crowd(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "CartesianProduct" not in plan
     assert got.agg(F.count("*"), F.count_if(F.col("entity_id") == F.col("ts_ms") % 7), F.max("dist_ft")).first()[:] == (n, n, math.sqrt(9 + 0.125 ** 2))
+
+
+def test_plans_read_kept_controls(spark, sf_dir):
+    """The scans behind the controls read them; none makes them again."""
+    plan = load_queries()[0]["hoops_events"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Scan ExistingRDD" in plan and "FileScan" not in plan
