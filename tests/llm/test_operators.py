@@ -544,3 +544,16 @@ def test_quality_rules_against_sql_where_lines_go(spark, tmp_path):
     assert status == "OK", info
     kept = {r["doc_id"]: r["kept"] for r in line_quality.op10(spark, str(tmp_path)).collect()}
     assert not any(kept[i] for i in range(60)) and all(kept[i] for i in range(300, 360))
+
+
+def test_heavy_light_tells_wanted_texts_before_a_shuffle(spark):
+    """Of many texts those of a few ids go on, before any exchange of texts."""
+    from fieldtrace.llm import heavy_light
+    rows = spark.range(5000).selectExpr("id * 7 - 900 AS doc_id", "encode(concat('text ', id), 'utf-8') AS data").unionByName(spark.sql("SELECT cast(NULL AS long) AS doc_id, encode('none', 'utf-8') AS data"))
+    wanted = spark.range(0, 5000, 50).selectExpr("id * 7 - 900 AS _doc")
+    got = heavy_light.among(rows, wanted)
+    ids = {r["doc_id"] for r in got.collect()}
+    assert {r["_doc"] for r in wanted.collect()} <= ids and len(ids) < 150
+    pairs = spark.createDataFrame([(-900, -893)], "a long, b long")
+    plan = heavy_light.decide(pairs, rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bitmap_construct_agg" in plan
